@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def crc_mod(column: str, modulus: int):
 
 def text_slices(batch: pa.RecordBatch, column: int = 0, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` whose texts make up about ``limit`` bytes, at least a row each."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start, size = 0, 0
     for i, n in enumerate(lengths):
         if i > start and size + n > limit:
@@ -57,7 +58,7 @@ def text_slices(batch: pa.RecordBatch, column: int = 0, limit: int = SLICE_BYTES
 
 def filled(column: pa.Array) -> pa.Array:
     """Texts with null as the empty text, with offsets of 64 bits so that no slice overflows them."""
-    return pa.compute.fill_null(column.cast(pa.large_string()), "")
+    return pc.fill_null(column.cast(pa.large_string()), "")
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
