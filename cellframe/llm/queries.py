@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellframe.llm import packing, simhash, tokencounts
+from cellframe.llm import bpe, packing, simhash, tokencounts
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -25,6 +25,10 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
 
