@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, packing, simhash, tokencounts
+from cellframe.llm import bpe, language, packing, simhash, tokencounts
+from cellframe.llm.common import crc_mod
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -25,6 +27,13 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    told = language.identify(docs, language.train(docs.where(~held_out)))
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
