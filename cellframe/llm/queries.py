@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, language, packing, simhash, tokencounts
+from cellframe.llm import bpe, language, packing, simhash, tokencounts, toxicity
 from cellframe.llm.common import crc_mod
 
 WORD_BPE = "word_bpe_49k.json"
@@ -38,6 +38,14 @@ def op6_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").where(~held_out)
+    scored = toxicity.score(docs, toxicity.train(labelled))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows")
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
 
