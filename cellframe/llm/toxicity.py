@@ -1,15 +1,19 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-One dictionary is trained on toxic text, one on ordinary text: each holds the passages that are
-frequent in its class and rare in the other.  A text is cut into windows, each window is compressed
-with either dictionary, and the differences of the lengths tell how much toxic material it holds.  A
-logistic curve, calibrated on the training rows, turns the differences of the whole text into a score.
+One dictionary is trained on toxic text: the words and parts of words that are frequent there and rare
+elsewhere.  One is trained on ordinary text: the frequent ordinary words that begin or end as those
+do, so that what both classes have in common is shortened by either dictionary alike.  A text is cut
+into windows at its words, each window is compressed with either dictionary, and the lengths are
+compared: a window counts if the toxic dictionary covers it and saves enough bytes against the other.
+How much is enough is calibrated on the training rows, and so is the logistic curve that turns the
+number and share of such windows into a score.
 
 Labels are learnt from a bounded sample: ``sample`` documents of either class, chosen by a hash of the
-id.  Passages are counted over that sample in Spark; what comes to the driver is the dictionaries'
-content and one short row of differences per sampled document.
+id, of near copies one (passages would otherwise be frequent because their document is copied).
+Passages are counted over that sample in Spark; what comes to the driver is the dictionaries' content
+and a row of counts per sampled document.
 
-Defined cases: null and empty texts have no difference and score as a clean text; rows without label
+Defined cases: null and empty texts have no window and score as a clean text; rows without label
 train nothing; without labels of both classes every text scores 0; repeated rows repeat; an empty
 table gives an empty result; further columns are ignored.
 """
@@ -23,71 +27,115 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.llm.common import filled, materialise, text_slices
 
 #: Characters of the passages that are counted.
 GRAM = 6
-#: Bytes of a window, and of its overlap with the one before.
-WINDOW, OVERLAP = 192, 16
+#: Characters of the longest window; longer words are cut.
+WINDOW = 128
 #: Share of a class's documents that hold a passage, and its rate against the other class.
 LEAST_SHARE, LEAST_RATIO = 0.008, 50.0
-#: Bytes of a dictionary.
-DICTIONARY = 8192
-#: Bytes that a window must save with the toxic dictionary to count.
-SAVING = 3
+#: Bytes of a dictionary, and ordinary words with the same beginning or end that it takes.
+DICTIONARY, ALIKE = 8192, 16
+#: Calibrated choices: bytes saved against the ordinary dictionary, bytes over the length of a covered window.
+SAVINGS, SLACKS = (2, 3, 4, 5, 6), (0, 1, 2)
+#: Windows whose lengths a worker remembers; beyond it forgets all, which changes no result.
+REMEMBERED = 500_000
+EDGE = "    "
 _words = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Toxicity:
-    """Contents of both dictionaries and the calibration's weights."""
+    """Contents of both dictionaries, the length of a covered window, the thresholds and the curve's weights."""
 
     toxic: bytes = b""
     ordinary: bytes = b""
+    covered: int = 0
+    saving: int = SAVINGS[0]
+    slack: int = SLACKS[0]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def spaced(word: str) -> str:
-    """A word with the marks of its start and end, wide enough that a passage at them stands out."""
+    """A word with the marks of its start and end."""
     return f"  {word}  "
 
 
-def normal(text: str) -> bytes:
-    return spaced("  ".join(_words.findall(text.lower()))).encode()
+def edged(passage: str) -> str:
+    """A passage as it stands in a window: the marks of a word's start and end widened."""
+    return (EDGE if passage.startswith("  ") else "") + passage.strip(" ") + (EDGE if passage.endswith("  ") else "")
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    dictionary = zstandard.ZstdCompressionDict(content or b"~" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_FAST, min_match=7, window_log=15, hash_log=14, chain_log=14, search_log=1, target_length=0,
-        write_content_size=False, write_dict_id=False, write_checksum=False,
-    )
-    dictionary.precompute_compress(compression_params=how)
-    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how)
+def windows(text: str) -> list[str]:
+    """The words of a text, long ones cut."""
+    return [w[i : i + WINDOW] for w in _words.findall(text.lower()) for i in range(0, len(w), WINDOW)]
 
 
-def differences(text: str, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> np.ndarray:
-    """Of each window the bytes that the toxic dictionary saves against the ordinary one."""
-    data = normal(text)
-    windows = [data[max(0, i - OVERLAP) : i + WINDOW] for i in range(0, len(data), WINDOW)]
-    return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows])
+class Lengths:
+    """Bytes that the toxic dictionary saves in a window and bytes that it leaves, each window compressed once."""
 
+    def __init__(self, model: Toxicity):
+        self.ordinary, self.toxic = self._compressor(model.ordinary), self._compressor(model.toxic)
+        self.known: dict[str, tuple[int, int]] = {}
 
-def features(saved: np.ndarray) -> list[float]:
-    """What the curve sees of a text: constant, largest saving, windows that save, their share."""
-    count = int((saved >= SAVING).sum())
-    return [1.0, min(float(saved.max()), 12.0) / 4, float(saved.max() >= SAVING), float(np.log1p(count)), min(count / len(saved), 0.5) * 4]
+    @staticmethod
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+        dictionary = zstandard.ZstdCompressionDict(content or b"~" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=15, hash_log=14, chain_log=14, search_log=4, target_length=0,
+            write_content_size=False, write_dict_id=False, write_checksum=False,
+        )
+        dictionary.precompute_compress(compression_params=how)
+        return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how)
+
+    def left(self, passage: str) -> int:
+        return len(self.toxic.compress(edged(passage).encode()))
+
+    def of(self, text: str) -> list[tuple[int, int]]:
+        """(saved, left) of each window."""
+        known, found = self.known, windows(text)
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in found:
+            if w not in known:
+                data = edged(spaced(w)).encode()
+                left = len(self.toxic.compress(data))
+                known[w] = (len(self.ordinary.compress(data)) - left, left)
+        return [known[w] for w in found]
+
+
+def features(count: int, total: int) -> list[float]:
+    """What the curve sees of a text: constant, whether a window counts, how many, what share."""
+    return [1.0, float(count > 0), float(np.log1p(count)), min(1.0, 20 * count / max(total, 1))]
+
+
+def _signature(text: str, seed: int) -> int:
+    """Smallest hash of the text's triples of words; near copies mostly share it."""
+    words = _words.findall(text.lower())
+    return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), seed) >> 1 for i in range(max(1, len(words) - 2))), default=0)
 
 
 def _sample(labelled: DataFrame, sample: int) -> DataFrame:
     usable = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     sizes = usable.groupBy("toxic").agg(F.count("*").alias("_n"))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("_n") < F.lit(sample).cast("long") * (1 << 20)
-    return usable.join(F.broadcast(sizes), "toxic").where(part).select("doc_id", "text", "toxic")  # two sizes at most
+    chosen = usable.join(F.broadcast(sizes), "toxic").where(part).select("doc_id", "text", "toxic")  # two sizes at most
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = filled(batch.column(1)).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([_signature(t, k) for t in texts], pa.int64()) for k in (1, 2))], ["doc_id", "text", "toxic", "a", "b"])
+
+    rows = materialise(chosen.mapInArrow(signed, "doc_id long, text string, toxic int, a long, b long"))
+    for key in ("a", "b"):
+        rows = rows.join(rows.groupBy("toxic", key).agg(F.min("doc_id").alias("doc_id")), ["toxic", key, "doc_id"], "left_semi")
+    return rows.select("text", "toxic")
 
 
 def _counted(rows: DataFrame, of_text, name: str) -> DataFrame:
@@ -105,14 +153,18 @@ def _counted(rows: DataFrame, of_text, name: str) -> DataFrame:
     return found.groupBy(name).agg(F.sum("toxic_n").alias("toxic_n"), F.sum("ordinary_n").alias("ordinary_n"))
 
 
-def _grams(text: str, toxic: int) -> set[str]:
+def _grams(text: str, _: int) -> set[str]:
+    """The words of a text and the grams in them."""
     words = {spaced(w) for w in set(_words.findall(text.lower()))}
-    return {w[i : i + GRAM] for w in words for i in range(len(w) - GRAM + 1)}
+    return words | {w[i : i + GRAM] for w in words for i in range(len(w) - GRAM + 1)}
 
 
 def _passages(text: str, telling: frozenset[str]) -> Iterator[str]:
-    """The longest stretches of words all of whose grams are telling."""
+    """Telling words, and of the other words the longest stretches all of whose grams are telling."""
     for word in map(spaced, _words.findall(text.lower())):
+        if word in telling:
+            yield word
+            continue
         at = 0
         while at <= len(word) - GRAM:
             end = at
@@ -129,40 +181,60 @@ def train(labelled: DataFrame, sample: int = 4000) -> Toxicity:
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Toxicity()
-    grams = materialise(_counted(rows, _grams, "gram").where(f"toxic_n + ordinary_n >= {max(3, int(LEAST_SHARE * min(sizes.values())))}"))
-
-    def content(own: str, other: str, label: int) -> bytes:
-        n, m = sizes[label], sizes[1 - label]
-        ratio = F.col(own) / n / ((F.col(other) + 0.5) / m)
-        frequent = grams.where((F.col(own) >= max(5.0, LEAST_SHARE * n)) & (ratio >= LEAST_RATIO))
-        top = {r["gram"]: r[own] for r in frequent.orderBy(F.desc(own), "gram").limit(4096).collect()}
-        telling, anchor = frozenset(top), frozenset(g for g, k in top.items() if k >= 2 * LEAST_SHARE * n)
-        if not telling:
-            return b""
-        found = _counted(rows.where(F.col("toxic") == label), lambda t, _: {p for p in _passages(t, telling) if any(p[i : i + GRAM] in anchor for i in range(len(p) - GRAM + 1))}, "passage")
-        best = found.where(f"{own} >= 3").orderBy(F.desc(own), "passage").limit(1024).collect()
-        return "".join(r["passage"] for r in reversed(best)).encode()[-DICTIONARY:]
-
-    model = Toxicity(content("toxic_n", "ordinary_n", 1), content("ordinary_n", "toxic_n", 0))
+    n, m = sizes[1], sizes[0]
+    least = max(5.0, LEAST_SHARE * n)
+    rate = (F.col("toxic_n") / n) / ((F.col("ordinary_n") + 0.5) / m)
+    frequent = _counted(rows, _grams, "gram").where((F.col("toxic_n") >= least) & (rate >= LEAST_RATIO))
+    telling = frozenset(r["gram"] for r in frequent.orderBy(F.desc("toxic_n"), "gram").limit(8192).collect())
+
+    passages = _counted(rows.where("toxic = 1"), lambda t, _: set(_passages(t, telling)), "passage").where("toxic_n >= 3")
+    toxic = [r["passage"] for r in passages.orderBy(F.desc("toxic_n"), "passage").limit(2048).collect()]
+    starts, ends = frozenset(p.strip()[:4] for p in toxic), frozenset(p.strip()[-4:] for p in toxic)
+
+    def alike(text: str, _: int) -> set[str]:
+        return {w for w in set(_words.findall(text.lower())) if w[:4] in starts or w[-4:] in ends}
+
+    common = _counted(rows.where("toxic = 0"), alike, "word").where("ordinary_n >= 3")
+    ranked = common
+    for name, key in (("_start", F.substring("word", 1, 4)), ("_end", F.expr("right(word, 4)"))):
+        ranked = ranked.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ordinary_n"), "word")))
+    ordinary = [spaced(r["word"]) for r in ranked.where((F.col("_start") <= ALIKE) | (F.col("_end") <= ALIKE)).orderBy(F.desc("ordinary_n"), "word").limit(2048).collect()]
+    model = Toxicity(_content(toxic), _content(ordinary))
+    if toxic:
+        lengths = Lengths(model)
+        model.covered = int(np.median([lengths.left(p) for p in toxic]))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinary, toxic = _compressor(model.ordinary), _compressor(model.toxic)
+        lengths = Lengths(model)
         for batch in batches:
-            x = [features(differences(t or "", ordinary, toxic)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
-
-    points = rows.select("text", "toxic").mapInArrow(seen, "x array<double>, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()  # within the sample's bound
-    model.weights = calibrate(np.array([p["x"] for p in points]), np.array([p["toxic"] for p in points]), np.array([p["count"] for p in points]))
+            counts = []
+            for text in filled(batch.column(0)).to_pylist():
+                own = np.array(lengths.of(text) or [(0, 1 << 20)])
+                counts.append([len(own)] + [int(((own[:, 0] >= s) & (own[:, 1] <= model.covered + c)).sum()) for s in SAVINGS for c in SLACKS])
+            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.list_(pa.int64())), batch.column(1)], ["counts", "toxic"])
+
+    points = rows.select("text", "toxic").mapInArrow(seen, "counts array<long>, toxic int").orderBy("toxic", "counts").collect()  # within the sample's bound
+    counts, y = np.array([p["counts"] for p in points]), np.array([p["toxic"] for p in points])
+    right = ((counts[:, 1:] > 0) == (y[:, None] == 1)).mean(axis=0)
+    best = int(np.flatnonzero(right == right.max())[0])
+    model.saving, model.slack = SAVINGS[best // len(SLACKS)], SLACKS[best % len(SLACKS)]
+    model.weights = calibrate(np.array([features(int(c), int(t)) for c, t in zip(counts[:, 1 + best], counts[:, 0], strict=True)]), y)
     return model
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _content(passages: list[str]) -> bytes:
+    """The passages up to the dictionary's size, the most frequent nearest to the text."""
+    sizes = np.cumsum([len(edged(p).encode()) for p in passages])
+    return "".join(edged(p) for p in reversed(passages[: int((sizes <= DICTIONARY).sum())])).encode()
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of the logistic curve by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ w)))
-        slope = x.T @ (n * (y - p)) - ridge * w
-        bend = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        slope = x.T @ (y - p) - ridge * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-9:
@@ -171,17 +243,18 @@ def calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """doc_id, score (0 to 1) and windows, the number of windows that the toxic dictionary shortens."""
+    """doc_id, score (0 to 1) and windows, the number of windows that count as toxic."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinary, toxic = _compressor(model.ordinary), _compressor(model.toxic)
+        lengths = Lengths(model)
+        limit = model.covered + model.slack
         for batch in batches:
             for a, b in text_slices(batch, 1):
-                scores, windows = [], []
+                scores, found = [], []
                 for text in filled(batch.column(1).slice(a, b - a)).to_pylist():
-                    saved = differences(text, ordinary, toxic)
-                    windows.append(int((saved >= SAVING).sum()))
-                    scores.append(float(1 / (1 + np.exp(-np.dot(features(saved), model.weights)))) if len(model.weights) else 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array(windows, pa.int64())], ["doc_id", "score", "windows"])
+                    own = lengths.of(text)
+                    found.append(sum(saved >= model.saving and left <= limit for saved, left in own))
+                    scores.append(float(1 / (1 + np.exp(-np.dot(features(found[-1], len(own)), model.weights)))) if len(model.weights) else 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array(found, pa.int64())], ["doc_id", "score", "windows"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, score double, windows long")
