@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, language, packing, simhash, tokencounts, toxicity
+from cellframe.llm import bpe, hamming, language, packing, simhash, tokencounts, topk, toxicity
 from cellframe.llm.common import crc_mod
 
 WORD_BPE = "word_bpe_49k.json"
@@ -34,10 +34,18 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), lambda i: i % 100 == 0)
+
+
 def op6_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming.nearest(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
@@ -54,5 +62,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+SQL = {
+    "op5_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM pairs
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
