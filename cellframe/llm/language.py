@@ -88,14 +88,16 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
     return table
 
 
-def train(labelled: DataFrame, sample_docs: int = 96, sample_letters: int = 400) -> Languages:
-    """Automata from rows (doc_id, text, lang); of each language at most ``sample_docs`` documents are used."""
-    usable = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))
+def train(labelled: DataFrame, sample_docs: int = 96, sample_letters: int = 400, most_languages: int = 256) -> Languages:
+    """Automata from rows (doc_id, text, lang): of the ``most_languages`` most frequent languages ``sample_docs`` documents each."""
+    usable = labelled.where("lang is not null and text is not null")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most_languages)
     # Hash thinning leaves a few hundred rows of a language, however many it has, before rows are ranked.
     thin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.floor(F.col("_n") / (4 * sample_docs)))) == 0
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = usable.join(sizes, "lang").where(thin).select("lang", "doc_id", F.substring("text", 1, 4 * sample_letters).alias("text")).withColumn("_rank", rank).where(F.col("_rank") <= sample_docs)
+    ids = usable.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(thin).withColumn("_rank", rank).where(F.col("_rank") <= sample_docs).select("doc_id", "lang", "_rank")
+    # Both bounds make the ids small enough to be sent to where the texts are.
+    rows = usable.select("doc_id", "lang", F.substring("text", 1, 4 * sample_letters).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
     texts: dict[str, list[str]] = {}
     for row in rows.orderBy("lang", "_rank").toLocalIterator():
         texts.setdefault(row["lang"], []).append(letters(row["text"])[:sample_letters])

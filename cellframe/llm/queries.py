@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, hamming, language, packing, simhash, tokencounts, topk, toxicity
+from cellframe.llm import bpe, hamming, language, packing, quality, simhash, tokencounts, topk, toxicity
 from cellframe.llm.common import crc_mod
 
 WORD_BPE = "word_bpe_49k.json"
@@ -42,6 +42,11 @@ def op6_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op7_quality_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return quality.judge(table(spark, folder, "documents"), trusted)
+
+
 def op8_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return hamming.nearest(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
 
@@ -49,8 +54,7 @@ def op8_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").where(~held_out)
-    scored = toxicity.score(docs, toxicity.train(labelled))
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows")
 
 

@@ -121,11 +121,13 @@ def _signature(text: str, seed: int) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), seed) >> 1 for i in range(max(1, len(words) - 2))), default=0)
 
 
-def _sample(labelled: DataFrame, sample: int) -> DataFrame:
-    usable = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sizes = usable.groupBy("toxic").agg(F.count("*").alias("_n"))
+def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    usable = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    sizes = usable.groupBy("toxic").agg(F.count("*").alias("_n"))  # two rows at most
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("_n") < F.lit(sample).cast("long") * (1 << 20)
-    chosen = usable.join(F.broadcast(sizes), "toxic").where(part).select("doc_id", "text", "toxic")  # two sizes at most
+    ids = usable.join(F.broadcast(sizes), "toxic").where(part).select("doc_id", "toxic").limit(4 * sample)
+    # The sample's bound makes the ids small enough to be sent to where the texts are.
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +177,9 @@ def _passages(text: str, telling: frozenset[str]) -> Iterator[str]:
             at = end + 1
 
 
-def train(labelled: DataFrame, sample: int = 4000) -> Toxicity:
-    """From rows (doc_id, text, toxic) learns the dictionaries and the calibration."""
-    rows = materialise(_sample(labelled, sample))
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Toxicity:
+    """From texts (doc_id, text) and ``labels`` (doc_id, toxic) learns the dictionaries and the calibration."""
+    rows = materialise(_sample(docs, labels, sample))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Toxicity()
