@@ -38,6 +38,15 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``: what groups by it later needs no shuffle."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    writer.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``; null ids count as in no held-out part."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

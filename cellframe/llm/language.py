@@ -161,24 +161,40 @@ def parse(languages: Languages, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     return total / np.maximum(sizes, 1), sizes
 
 
+def _told(languages: Languages, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Each text's language and score."""
+    if not languages.names:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    rates, sizes = parse(languages, texts)
+    ranked = np.sort(rates, axis=0)
+    second = ranked[1] if len(ranked) > 1 else np.ones(len(texts))
+    scores = np.where(sizes > 0, second / np.maximum(second + ranked[0], 1e-12), 0.0)
+    return [languages.names[k] if n else "und" for k, n in zip(rates.argmin(axis=0).tolist(), sizes.tolist(), strict=True)], scores
+
+
 def identify(docs: DataFrame, languages: Languages) -> DataFrame:
     """doc_id, lang_pred and score: how much of the best two languages' phrases the runner-up needs, 0.5 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(languages)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             for a, b in text_slices(batch, 1):
-                texts = filled(batch.column(1).slice(a, b - a)).to_pylist()
-                names, scores = ["und"] * len(texts), np.zeros(len(texts))
-                if own.names:
-                    rates, sizes = parse(own, texts)
-                    best = rates.argmin(axis=0)
-                    ranked = np.sort(rates, axis=0)
-                    second = ranked[1] if len(ranked) > 1 else np.ones(len(texts))
-                    some = sizes > 0
-                    scores[some] = (second / np.maximum(second + ranked[0], 1e-12))[some]
-                    names = [own.names[k] if s else "und" for k, s in zip(best.tolist(), some.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                names, scores = _told(shared.value, filled(batch.column(1).slice(a, b - a)).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(told, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, languages: Languages, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(languages)
+    text = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_slices(batch, text):
+                part = batch.slice(a, b - a)
+                names, scores = _told(shared.value, filled(part.column(text)).to_pylist())
+                yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, hamming, language, packing, quality, simhash, tokencounts, topk, toxicity
+from cellframe.llm import bpe, chat, hamming, language, packing, quality, simhash, tokencounts, topk, toxicity
 from cellframe.llm.common import crc_mod
 
 WORD_BPE = "word_bpe_49k.json"
@@ -27,6 +27,11 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
+    linked = chat.link_turns(table(spark, folder, "conversations"))
+    return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
@@ -67,15 +72,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL = {
+    "op3_tool_call_linking": """
+        WITH RECURSIVE calls AS (
+            SELECT CAST(conv_id AS VARCHAR) AS conversation, concat(conv_id, ':', turn) AS call_id, turn, text,
+                   CASE role WHEN 'system' THEN 'configure' ELSE 'respond' END AS name,
+                   concat(conv_id, ':', turn - 1) AS dep1, concat(conv_id, ':', turn - 2) AS dep2
+            FROM conversations WHERE role IN ('system', 'user')
+        ), edges AS (
+            SELECT c.call_id, d.call_id AS dep FROM calls c JOIN calls d ON d.call_id IN (c.dep1, c.dep2)
+        ), walks AS (
+            SELECT call_id, 0 AS level FROM calls
+            UNION
+            SELECT e.call_id, w.level + 1 FROM edges e JOIN walks w ON w.call_id = e.dep
+        ), levels AS (
+            SELECT call_id, max(level) AS level FROM walks GROUP BY call_id
+        ), answers AS (
+            SELECT concat(conv_id, ':', turn - 1) AS call_id, min(text) AS content, count(*) AS n_results
+            FROM conversations WHERE role = 'assistant' GROUP BY ALL
+        )
+        SELECT c.conversation, c.call_id, CAST(l.level AS INTEGER) AS level,
+               CASE WHEN c.text IS NULL THEN 'invalid' WHEN a.n_results IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+               CASE WHEN c.text IS NULL THEN 'prompt is missing' ELSE '' END AS errors, CAST(a.n_results AS BIGINT) AS n_results,
+               CAST(to_json({'arguments': {'prompt': c.text, 'turn': c.turn}, 'id': c.call_id, 'name': c.name, 'result': a.content}) AS VARCHAR) AS message
+        FROM calls c JOIN levels l USING (call_id) LEFT JOIN answers a USING (call_id)""",
     "op5_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), pairs AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                   CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
         ), ranked AS (
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score

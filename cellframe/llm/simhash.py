@@ -187,3 +187,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     labels = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     hexadecimal = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return hashed.join(labels, "fp", "left").select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id; all columns are kept.
+
+    Rows with one id are one document; rows without id cannot be told apart and all stay.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    key = names[docs.columns.index("doc_id")]
+    first = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = plain.join(first, key, "left_semi").dropDuplicates([key]).unionByName(plain.where(F.col(key).isNull()))
+    return kept.toDF(*docs.columns)
