@@ -1,0 +1 @@
+"""Analytics over particle frames and trajectories as Spark DataFrames."""

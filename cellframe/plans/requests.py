@@ -1,0 +1,53 @@
+"""Rewrites before Catalyst: which tables a request needs, and one pair table for several analyses."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cellframe.model import Cell
+from cellframe.operators.neighbors import pairs
+
+#: Attributes that the frame's header alone answers.
+HEADER = ("CellLength.A", "CellLength.B", "CellLength.C", "CellAngle.Alpha", "CellAngle.Beta", "CellAngle.Gamma", "CellVolume", "Timestep", "Time", "NumberOfAtoms")
+
+
+def header_only(attributes: list[str]) -> bool:
+    """Whether no atom has to be read: all of the attributes are the header's."""
+    known = {h.lower() for h in HEADER}
+    return all(a.lower() in known for a in attributes)
+
+
+class SharedPairs:
+    """One pair table at the largest cutoff asked for; smaller cutoffs are filters of it."""
+
+    def __init__(self, atoms: DataFrame, cell: Cell, cutoffs: list[float]):
+        self.largest = max(cutoffs)
+        self.table = pairs(atoms, cell, self.largest).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def within(self, cutoff: float) -> DataFrame:
+        if cutoff > self.largest:
+            raise ValueError("The cutoff exceeds the shared pairs")
+        return self.table if cutoff == self.largest else self.table.where(F.col("d2") <= float(cutoff) ** 2)
+
+
+#: What each analysis needs first.
+NEEDS = {"strain": ("ptm",), "centrosymmetry-auto": ("cna",), "grains": ("ptm",)}
+
+
+def ordered_requests(kinds: list[str]) -> list[str]:
+    """Analyses with what they need before them, each once; a cycle is an error."""
+    found: list[str] = []
+
+    def visit(kind: str, above: tuple[str, ...]) -> None:
+        if kind in above:
+            raise ValueError(f"Analyses need each other: {' -> '.join([*above, kind])}")
+        for need in NEEDS.get(kind, ()):
+            visit(need, (*above, kind))
+        if kind not in found:
+            found.append(kind)
+
+    for kind in kinds:
+        visit(kind, ())
+    return found
