@@ -39,7 +39,7 @@ def smoothed(atoms: DataFrame, cell: Cell, half: int) -> DataFrame:
     """
     if not 0 <= half <= MOST_SMOOTHING:
         raise ValueError(f"Smoothing reaches at most {MOST_SMOOTHING} frames to either side")
-    near = atoms.select(F.explode(F.sequence(F.col("frame_index") - half, F.col("frame_index") + half)).cast("int").alias("frame_index"), "atom_id", *[F.col(a).alias(f"{a}_n") for a in AXES])
+    near = atoms.select(F.explode(F.sequence(F.col("frame_index") - half, F.col("frame_index") + half)).alias("frame_index"), "atom_id", *[F.col(a).alias(f"{a}_n") for a in AXES])
     both = atoms.select("frame_index", "atom_id", *AXES).join(near, ["frame_index", "atom_id"])
     means = []
     for axis, periodic in zip(AXES, cell.pbc, strict=True):
