@@ -4,7 +4,7 @@ Texts are split into words chunk by chunk.  A chunk (what one task reads, cut at
 documents as numbers into its own list of distinct words; the lists are dealt by a hash of the word,
 so each distinct word of the whole table is encoded in one place and once, and its ids go back to
 every chunk that holds it, where they are joined to the documents by position.  Only distinct words
-are shuffled twice; the documents travel as numbers of less than two bytes a word.
+are shuffled; the documents lie in a table bucketed by chunk, as numbers of less than two bytes a word.
 
 Decoding joins ids with the tokenizer's table of pieces, which the vocabulary bounds.
 
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import filled, gather, materialise, text_slices
+from cellframe.llm.common import bucketed, filled, gather, text_slices
 from cellframe.llm.wordtokens import listed, split_words, word_encoder
 
 #: Distinct words of a chunk, after which the next chunk begins.
@@ -117,7 +117,7 @@ def encode_lists(chunks: DataFrame, tokenizer: str) -> DataFrame:
 
 def encode_chunks(docs: DataFrame, tokenizer: str, each, schema: str) -> DataFrame:
     """Joins the ids back by position; ``each`` makes rows of (doc_ids, ids, starts of each document's ids, words, word table)."""
-    chunks = materialise(split_chunks(docs), "uncompressed")
+    chunks = bucketed(split_chunks(docs), "chunk")
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         lists = right.column("data").to_pylist()
