@@ -543,10 +543,10 @@ def _grid(spark: SparkSession, folder: str) -> DataFrame:
 GRID = EVENTS + ", gr AS (SELECT least(floor(sa * 6), 5)::INTEGER AS i, least(floor(sb * 5), 4)::INTEGER AS j, least(floor(sc * 4), 3)::INTEGER AS k, sum(value) AS value FROM ev GROUP BY 1, 2, 3)"
 
 
-@query(f"""WITH {GRID} SELECT count(*) AS count, round(min(value), 4) AS minimum, round(max(value), 4) AS maximum, round(avg(value), 4) AS mean, round(sum(value * CASE WHEN k IN (0, 3) THEN 0.5 ELSE 1 END) * 2.5, 3) AS integral FROM gr""")
+@query(f"""WITH {GRID} SELECT count(*) AS count, round(min(value), 4) AS minimum, round(max(value), 4) AS maximum, round(avg(value), 4) AS mean, round(sum(value * CASE WHEN k IN (0, 3) THEN 0.5 ELSE 1 END) * 2.5, 5) AS integral FROM gr""")
 def grid_statistics(spark: SparkSession, folder: str) -> DataFrame:
     found = crystal.grid_statistics(_grid(spark, folder), (6, 5, 4), 2.5, (True, True, False))
-    return rounded(rounded(found, "minimum", "maximum", "mean", places=4), "integral", places=3)
+    return rounded(rounded(found, "minimum", "maximum", "mean", places=4), "integral", places=5)
 
 
 @query(f"""WITH {GRID} SELECT j, k, round(max(value) FILTER (WHERE i = 5) * 0.75 + max(value) FILTER (WHERE i = 0) * 0.25, 4) AS value FROM gr WHERE i IN (5, 0) GROUP BY 1, 2""")
