@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellframe.functions import ieee
 from cellframe.model import Cell
 from cellframe.operators.neighbors import pairs
+from cellframe.plans.lineage import cut
 
 
 def require_unique(table: DataFrame, key: str, what: str) -> None:
@@ -131,9 +132,10 @@ def nearest_sites(atoms: DataFrame, sites: DataFrame, cell: Cell, radius: float)
         moved = todo.select("frame_index", (F.col("row_idx") + offset).alias("row_idx"), "sa", "sb", "sc")
         # Only atoms are centres, and only sites are met.
         found = pairs(sites.select(*columns), cell, radius, moved)
-        best = found.groupBy("i").agg(F.min(F.struct("d2", "j")).alias("b")).select((F.col("i") - offset).alias("row_idx"), F.col("b.j").alias("site"), F.sqrt("b.d2").alias("distance")).persist()
+        best = found.groupBy("i").agg(F.min(F.struct("d2", "j")).alias("b")).select((F.col("i") - offset).alias("row_idx"), F.col("b.j").alias("site"), F.sqrt("b.d2").alias("distance"))
+        best = cut(best)
         parts.append(best)
-        todo = todo.join(best.select("row_idx"), "row_idx", "left_anti").persist()
+        todo = cut(todo.join(best.select("row_idx"), "row_idx", "left_anti"))
         if radius > far or not todo.limit(1).count():
             break
         radius *= 2

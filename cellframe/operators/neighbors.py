@@ -11,11 +11,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.model import AXES, Cell
+from cellframe.plans.lineage import cut
 
 #: Room for rounding in reduced coordinates.
 SLACK = 1e-9
@@ -73,7 +73,7 @@ def nearest(atoms: DataFrame, cell: Cell, k: int, radius: float | None = None) -
     Atoms that find fewer within the radius look again within 1.6 times it.  Without periodic axes an
     atom has at most all others.
     """
-    atoms = atoms.persist(StorageLevel.MEMORY_AND_DISK)
+    atoms = cut(atoms)
     sizes = atoms.groupBy("frame_index").agg(F.count("*").alias("n"))
     most = int(sizes.agg(F.max("n")).first()[0] or 0)
     if radius is None:
@@ -83,11 +83,11 @@ def nearest(atoms: DataFrame, cell: Cell, k: int, radius: float | None = None) -
     while True:
         found = pairs(atoms, cell, radius, centres)
         rank = F.row_number().over(Window.partitionBy("frame_index", "i").orderBy(*ORDER))
-        ranked = found.withColumn("rank", rank).where(F.col("rank") <= k).persist(StorageLevel.MEMORY_AND_DISK)
+        ranked = cut(found.withColumn("rank", rank).where(F.col("rank") <= k))
         have = ranked.groupBy("frame_index", F.col("i").alias("row_idx")).agg(F.count("*").alias("have"))
         want = F.least(F.lit(k), F.col("n") - 1) if open_cell else F.lit(k)
         asked = centres.join(have, ["frame_index", "row_idx"], "left").join(sizes, "frame_index")
-        short = asked.where(F.coalesce("have", F.lit(0)) < want).select(*atoms.columns).persist(StorageLevel.MEMORY_AND_DISK)
+        short = cut(asked.where(F.coalesce("have", F.lit(0)) < want).select(*atoms.columns))
         parts.append(ranked.join(short.select("frame_index", F.col("row_idx").alias("i")), ["frame_index", "i"], "left_anti"))
         if not short.limit(1).count():
             break

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.functions import ieee
+from cellframe.plans.lineage import cut
 
 #: Fixed limits: groups, and ids over all groups.
 MOST_GROUPS, MOST_IDS = 64, 1_000_000
@@ -76,7 +77,7 @@ def expanded(start: DataFrame, links: DataFrame, iterations: int = 1) -> DataFra
     known = frontier = start.select("row_idx").distinct()
     for _ in range(iterations):
         reached = links.join(frontier.select(F.col("row_idx").alias("i")), "i").select(F.col("j").alias("row_idx")).distinct()
-        frontier = reached.join(known, "row_idx", "left_anti").persist()
+        frontier = cut(reached.join(known, "row_idx", "left_anti"))
         if not frontier.limit(1).count():
             break
         known = known.union(frontier)

@@ -29,9 +29,9 @@ def _records(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
     """file, file_no, place, text: one row a frame of a dump, or a file of another format."""
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
     if kind == "dump":
-        found = spark.read.option("lineSep", "ITEM: TIMESTEP\n").text(paths)
+        found = spark.read.text(paths, lineSep="ITEM: TIMESTEP\n")
     else:
-        found = spark.read.option("wholetext", True).text(paths)
+        found = spark.read.text(paths, wholetext=True)
     rows = found.select(F.col("value").alias("text"), *place, F.monotonically_increasing_id().alias("place")).where(F.trim("text") != "")
     return rows.withColumn("name", F.element_at(F.split("file", "/"), -1))
 
@@ -49,7 +49,7 @@ def read(spark: SparkSession, paths: list[str] | str, kind: str | None = None, p
     Properties are those of the first frame; where a frame lacks one its atoms have NaN.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    first = spark.read.option("wholetext", True).text(paths).limit(1).select(F.substring("value", 1, 1 << 16).alias("v"), F.col("_metadata.file_path").alias("f")).first()
+    first = spark.read.text(paths, wholetext=True).limit(1).select(F.substring("value", 1, 1 << 16).alias("v"), F.col("_metadata.file_path").alias("f")).first()
     if first is None:
         raise FormatError("No file")
     kind = kind or formats.detect(first["v"], first["f"])
@@ -89,7 +89,9 @@ def read(spark: SparkSession, paths: list[str] | str, kind: str | None = None, p
                 table = pd.DataFrame({"frame_index": i, **{k: v for k, v in own.items() if k not in frame.properties}})
                 yield table.assign(**{n: frame.properties.get(n, float("nan")) for n in names})
 
-    return frames, texts.mapInPandas(columns, BASE + "".join(f", `{n}` double" for n in names))
+    atoms = texts.mapInPandas(columns, BASE + "".join(f", `{n}` double" for n in names))
+    # pandas hands NaN over as null.
+    return frames, atoms.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit(float("nan"))) for n in names}) if names else atoms
 
 
 def _counter(parse):
