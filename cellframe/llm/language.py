@@ -128,8 +128,9 @@ def phrases(languages: Languages, windows: np.ndarray, sizes: np.ndarray) -> np.
         now = state[:, :alive]
         to = table[now + symbol]
         missed = to == 0
-        count[:, :alive] += missed
         again = table[roots + symbol]
+        # A miss ends a phrase; a letter that no phrase starts with is one by itself.
+        count[:, :alive] += missed.astype(np.int32) + (missed & (again == 0) & (now != roots))
         state[:, :alive] = np.where(missed, np.where(again == 0, roots, again), to)
     return count + (state != roots)
 
