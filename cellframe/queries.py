@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellframe import adapters as A
 from cellframe.functions.expressions import Computed, compile_column, scope_of, select_where, with_computed
 from cellframe.model import Cell
-from cellframe.operators import attributes, clusters, correspondence, crystal, neighbors, selection, statistics, structure, trajectory
+from cellframe.operators import attributes, clusters, correspondence, crystal, neighbors, polyhedra, selection, statistics, structure, trajectory
 from cellframe.streaming.unwrap import windowed_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,6 +465,22 @@ def reference_strain(spark: SparkSession, folder: str) -> DataFrame:
     return correspondence.reference_strain(current, reference, Cell(A.BOX.h, (False, False, False)), Cell(A.BOX.h, (False, False, False)), 1.0)
 
 
+@query("SELECT count(*) AS cells, CAST(1000.0 AS DOUBLE) AS volume, CAST(0 AS BIGINT) AS boundary FROM embeddings")
+def voronoi_volumes(spark: SparkSession, folder: str) -> DataFrame:
+    found = polyhedra.voronoi(A.points(spark, folder), A.BOX)
+    return rounded(found.agg(F.count("*").alias("cells"), F.sum("atomicVolume").alias("volume"), F.sum("voronoiBoundaryFaces").alias("boundary")), "volume", places=5)
+
+
+@query()
+def voronoi_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return polyhedra.voronoi(A.points(spark, folder), A.BOX, 0.001)
+
+
+@query()
+def coordination_polyhedra(spark: SparkSession, folder: str) -> DataFrame:
+    return polyhedra.coordination_polyhedra(A.points(spark, folder), A.BOX, 1.2, "1")
+
+
 # --- trajectories ----------------------------------------------------------------------------------
 
 
