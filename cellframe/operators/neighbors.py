@@ -67,8 +67,8 @@ def distinct_pairs(found: DataFrame) -> DataFrame:
     return other.groupBy("frame_index", "i", "j").agg(F.min(F.struct("d2", "dx", "dy", "dz")).alias("p")).select("frame_index", "i", "j", "p.*")
 
 
-def nearest(atoms: DataFrame, cell: Cell, k: int, radius: float | None = None) -> DataFrame:
-    """The ``k`` nearest images of each atom, ranked: pairs with rank from 1.
+def nearest(atoms: DataFrame, cell: Cell, k: int, radius: float | None = None, centres: DataFrame | None = None) -> DataFrame:
+    """The ``k`` nearest images of each atom (or of each of the ``centres``), ranked: pairs with rank from 1.
 
     Atoms that find fewer within the radius look again within 1.6 times it.  Without periodic axes an
     atom has at most all others.
@@ -79,7 +79,7 @@ def nearest(atoms: DataFrame, cell: Cell, k: int, radius: float | None = None) -
     if radius is None:
         radius = 1.6 * (cell.volume * max(k, 1) / max(most, 1)) ** (1 / 3)
     open_cell = not any(cell.pbc)
-    centres, parts = atoms, []
+    centres, parts = atoms if centres is None else centres.select(*atoms.columns), []
     while True:
         found = pairs(atoms, cell, radius, centres)
         rank = F.row_number().over(Window.partitionBy("frame_index", "i").orderBy(*ORDER))
