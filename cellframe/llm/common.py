@@ -70,6 +70,11 @@ def filled(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def let_go() -> None:
+    """Gives memory that a task's batches took back to the system; the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions of the runs (start, length), run after run."""
     ends = np.cumsum(lengths)

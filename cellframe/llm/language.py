@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import filled, text_slices
+from cellframe.llm.common import filled, let_go, text_slices
 
 #: Letters of a window; a phrase ends with its window.
 WINDOW = 512
@@ -197,5 +197,6 @@ def keep_identified(docs: DataFrame, languages: Languages, least: float) -> Data
                 part = batch.slice(a, b - a)
                 names, scores = _told(shared.value, filled(part.column(text)).to_pylist())
                 yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
+        let_go()
 
     return docs.mapInArrow(kept, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import filled, materialise, text_slices
+from cellframe.llm.common import filled, let_go, materialise, text_slices
 from cellframe.llm.wordtokens import encode_texts, word_encoder
 
 #: Rows of pieces that one task numbers.
@@ -52,6 +52,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                 if keep_ids:
                     columns, named = [*columns, pa.array(texts, type=pa.list_(pa.int32()))], [*named, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, named)
+        encoder.forget()
+        let_go()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES + ", ids array<int>" * keep_ids)
 

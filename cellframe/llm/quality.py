@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellframe.llm.common import bucketed, filled, materialise, text_slices
+from cellframe.llm.common import bucketed, filled, let_go, materialise, text_slices
 
 ORDER = 4
 #: Bytes of text of a chunk.
@@ -100,20 +100,27 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct, numbers[values]
 
 
+def _text_parts(table: pa.Table, text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Rows a to b of ``table`` and their texts, about a megabyte at a time."""
+    batch = pa.RecordBatch.from_arrays([filled(table.column(text).combine_chunks())], ["text"])
+    for a, b in text_slices(batch, 0, 1 << 20):
+        yield a, b, batch.column(0).slice(a, b - a).to_pylist()
+
+
 def gram_counts(chunks: DataFrame, text: str, trusted: DataFrame) -> DataFrame:
     """chunk, gram, n: every n-gram of a chunk with its count in the chunk's ``trusted`` rows (chunk, row)."""
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.column("row").to_numpy()
         good = np.isin(rows, right.column("row").to_numpy())
-        texts = filled(left.column(text).combine_chunks()).to_pylist()
         tables = []
-        for a in range(0, len(texts), 1024):
-            grams = Grams(texts[a : a + 1024])
+        for a, b, texts in _text_parts(left, text):
+            grams = Grams(texts)
             distinct, numbers = np.unique(grams.codes, return_inverse=True)
-            counts = np.bincount(numbers[np.repeat(good[a : a + 1024], grams.sizes)], minlength=len(distinct))
+            counts = np.bincount(numbers[np.repeat(good[a:b], grams.sizes)], minlength=len(distinct))
             tables.append(pa.table({"gram": pa.array(grams.spelled(distinct).astype(object), pa.string()), "n": counts.astype(np.int64)}))
         summed = pa.concat_tables(tables).group_by("gram").aggregate([("n", "sum")])
+        let_go()
         chunk = pa.array(np.full(len(summed), left.column("chunk")[0].as_py() if len(left) else 0))
         return pa.table([chunk, summed.column("gram"), summed.column("n_sum")], names=["chunk", "gram", "n"])
 
@@ -163,19 +170,19 @@ def surprise(chunks: DataFrame, text: str, probabilities: DataFrame) -> DataFram
     """chunk, row, grams, nats: how many n-grams a row has and minus the sum of their log-probabilities."""
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = filled(left.column(text).combine_chunks()).to_pylist()
         names = right.column("gram").to_numpy().astype(f"<U{ORDER}") if len(right) else np.zeros(0, f"<U{ORDER}")
         order = np.argsort(names)
         names, values = names[order], right.column("logp").to_numpy()[order]
         sizes, nats = [], []
-        for a in range(0, len(texts), 1024):
-            grams = Grams(texts[a : a + 1024])
+        for _, _, texts in _text_parts(left, text):
+            grams = Grams(texts)
             distinct, numbers = np.unique(grams.codes, return_inverse=True)
             logp = values[np.searchsorted(names, grams.spelled(distinct))] if len(distinct) else np.zeros(0)
             sums = np.concatenate([[0.0], np.cumsum(logp[numbers])])
             ends = np.cumsum(grams.sizes)
             sizes.append(grams.sizes)
             nats.append(-(sums[ends] - sums[ends - grams.sizes]))
+        let_go()
         return pa.table([left.column("chunk"), left.column("row"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nats))], names=["chunk", "row", "grams", "nats"])
 
     schema = "chunk long, row long, grams long, nats double"

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import filled, materialise, text_slices
+from cellframe.llm.common import filled, let_go, materialise, text_slices
 from cellframe.llm.components import connected_components
 
 #: Fixed value: the seed of the shingles' hash.
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 texts = filled(batch.column(1).slice(a, b - a)).to_pylist()
                 found = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found)], ["doc_id", "fp"])
+        let_go()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, fp long")
 

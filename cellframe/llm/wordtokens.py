@@ -19,7 +19,7 @@ from cellframe.llm.common import gather
 #: Punctuation that is split from the end of a word.
 TRAILING = ".,!$%*#&?;:"
 #: Words that a worker remembers; beyond it forgets all and starts anew, which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Words that are encoded as one string.
 JOINED = 256
 #: Words that normalise to lower case and stay one pre-token: letters of the Latin-1 range.
