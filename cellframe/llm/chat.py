@@ -2,7 +2,7 @@
 
 Calls meet their results in a hash join on the identifier; results that share one are reduced to one
 first, so the join cannot multiply.  The order is that of a topological sort: a call's level is one
-more than the highest of the calls that it depends on, found level by level over the whole table.
+more than the highest of the calls that it depends on; calls that hang together are ordered together.
 Arguments are validated against the schema of the call's tool, joined by name, and each call is
 written as JSON with sorted keys, no white space and shortest numbers, so equal calls are equal text.
 
@@ -19,16 +19,22 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.llm.common import materialise
+from cellframe.llm.components import connected_components
 
 #: JSON types by the names that schemas use.
 TYPES = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,)}
 
 
+#: Dependencies of calls that hang together, up to which one task orders them.
+COMPONENT = 100_000
+
+
 def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
@@ -51,24 +57,65 @@ def violations(arguments: str | None, schema: str | None) -> tuple[object, list[
     return value, found
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """call_id and level from calls (call_id, depends_on); ids on or behind a cycle have none."""
-    nodes = materialise(calls.select("call_id").where("call_id is not null").distinct())
-    edges = calls.select("call_id", F.explode("depends_on").alias("dep")).where("dep is not null").distinct()
-    edges = materialise(edges.join(nodes.select(F.col("call_id").alias("dep")), "dep").join(nodes, "call_id", "left_semi"))
+def _ordered(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """Levels of one component's calls from (call, what it needs); calls on or behind a cycle are left out."""
+    needs: dict[str, int] = {}
+    above: dict[str, list[str]] = {}
+    for call, dep in edges:
+        needs[call] = needs.get(call, 0) + 1
+        needs.setdefault(dep, 0)
+        above.setdefault(dep, []).append(call)
+    ready, found = [c for c, n in needs.items() if not n], {}
+    level = 0
+    while ready:
+        found.update(dict.fromkeys(ready, level))
+        following = []
+        for done in ready:
+            for call in above.get(done, ()):
+                needs[call] -= 1
+                if not needs[call]:
+                    following.append(call)
+        ready, level = following, level + 1
+    return found
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """Levels of components of any size, level by level over the whole table."""
+    nodes = edges.select("call_id").union(edges.select("dep")).distinct()
     ready = materialise(nodes.join(edges, "call_id", "left_anti"))
     waiting = materialise(edges.groupBy("call_id").agg(F.count("*").alias("open")))
-    level, done = 0, []
+    level, done = 0, nodes.where("false").withColumn("level", F.lit(0))
     while ready.limit(1).count():
-        done.append(ready.withColumn("level", F.lit(level)))
+        done = done.unionByName(ready.withColumn("level", F.lit(level)))
         met = edges.join(ready.select(F.col("call_id").alias("dep")), "dep").groupBy("call_id").agg(F.count("*").alias("met"))
         left = materialise(waiting.join(met, "call_id", "left").select("call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
         ready, waiting = left.where("open = 0").select("call_id"), left.where("open > 0")
         level += 1
-    found = done[0] if done else nodes.where("false").withColumn("level", F.lit(0))
-    for more in done[1:]:
-        found = found.unionByName(more)
-    return found
+    return done
+
+
+def levels(calls: DataFrame, bound: int = COMPONENT) -> DataFrame:
+    """call_id and level from calls (call_id, depends_on); ids on or behind a cycle have none.
+
+    Calls that hang together are ordered in one task if they have at most ``bound`` dependencies; what is
+    larger is ordered level by level over the whole table.
+    """
+    nodes = materialise(calls.select("call_id").where("call_id is not null").distinct())
+    edges = calls.select("call_id", F.explode("depends_on").alias("dep")).where("dep is not null").distinct()
+    edges = materialise(edges.join(nodes.select(F.col("call_id").alias("dep")), "dep").join(nodes, "call_id", "left_semi").select("call_id", "dep"))
+    roots = connected_components(edges.select(F.col("call_id").alias("a"), F.col("dep").alias("b"))).select(F.col("node").alias("call_id"), "root")
+    rooted = edges.join(roots, "call_id", "left").withColumn("root", F.coalesce("root", "call_id"))
+    sized = materialise(rooted.join(rooted.groupBy("root").agg(F.count("*").alias("n")), "root"))
+
+    def order(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_ordered(list(zip(group["call_id"], group["dep"], strict=True))).items(), columns=["call_id", "level"])
+
+    found = sized.where(F.col("n") <= bound).groupBy("root").applyInPandas(order, "call_id string, level int")
+    large = sized.where(F.col("n") > bound).select("call_id", "dep")
+    if large.limit(1).count():
+        found = found.unionByName(_by_rounds(large))
+    alone = nodes.join(edges.select("call_id").union(edges.select("dep")), "call_id", "left_anti").withColumn("level", F.lit(0))
+    return found.unionByName(alone)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

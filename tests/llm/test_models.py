@@ -167,6 +167,8 @@ def test_tool_calls(spark):
     assert (by["3"].level, by["3"].errors, by["3"].n_results) == (2, ["arguments are no object"], 1)
     assert by["4"].errors == ["arguments are no JSON"] and by["5"].status == by["9"].status == "unknown"
     assert by["6"].status == by["7"].status == "cyclic" and by["6"].level is None and by[None].errors == ["z is not in the schema"]
+    for bound in (0, 2, 100):
+        assert {r.call_id: r.level for r in chat.levels(args[0].where("call_id is not null"), bound).collect()} == {"1": 0, "2": 1, "3": 2, "4": 0, "5": 0, "9": 0}
     assert chat.link(*(a.limit(0) for a in args)).count() == 0
     talk = spark.createDataFrame([(1, 0, "system", "s", 9), (1, 1, "user", "ü\n", 9), (1, 2, "assistant", "ok", 9), (1, 3, "user", None, 9), (None, 0, "user", "x", 9), (1, 4, None, "y", 9)], "conv_id long, turn long, role string, text string, level int")
     found = {r.call_id: (r.level, r.status, r.message) for r in chat.link_turns(talk).collect()}
