@@ -10,8 +10,6 @@ from cellframe.model import AXES, Cell, with_positions
 
 IMAGES = ("ix", "iy", "iz")
 MOST_SMOOTHING = 50
-#: Fixed limits of physical replication.
-MOST_ATOMS = 4_000_000
 
 
 def unwrapped(atoms: DataFrame, cell: Cell) -> DataFrame:
@@ -65,10 +63,12 @@ def trajectory_lines(atoms: DataFrame, stride: int = 1, least: int = 2) -> DataF
 def replicated(atoms: DataFrame, cell: Cell, counts: tuple[int, int, int]) -> tuple[DataFrame, Cell]:
     """Copies of the frame along the cell vectors, a fastest; the first copy keeps its ids, others are copy:a:b:c:id."""
     na, nb, nc = counts
-    if min(counts) < 1 or atoms.count() * na * nb * nc > MOST_ATOMS:
-        raise ValueError(f"Copies count from one and make at most {MOST_ATOMS} atoms")
-    copies = atoms.sparkSession.range(na * nb * nc).select(F.col("id").alias("copy"), (F.col("id") % na).alias("ca"), (F.floor(F.col("id") / na) % nb).alias("cb"), F.floor(F.col("id") / (na * nb)).alias("cc"))
-    both = atoms.crossJoin(F.broadcast(copies))  # at most MOST_ATOMS rows in all
+    if min(counts) < 1:
+        raise ValueError("Copies count from one")
+    both = atoms
+    for c, n in zip(("ca", "cb", "cc"), counts, strict=True):  # row by row, so any number of copies streams
+        both = both.withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    both = both.withColumn("copy", F.col("ca") + na * (F.col("cb") + nb * F.col("cc")))
     atom_id = F.when(F.col("copy") == 0, F.col("atom_id")).otherwise(F.concat_ws(":", F.lit("copy"), "ca", "cb", "cc", "atom_id"))
     size = F.lit(atoms.agg(F.max("row_idx")).first()[0] + 1)
     s = {a: (F.col(a) + F.col(c)) / n for a, c, n in zip(AXES, ("ca", "cb", "cc"), counts, strict=True)}

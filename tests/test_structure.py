@@ -122,3 +122,12 @@ def test_displacement_in_a_skewed_cell(spark):
     for k in range(30):
         images = [np.linalg.norm((after[k] - before[k] + np.array(n)) @ cell.matrix) for n in itertools.product((-2, -1, 0, 1, 2), repeat=3)]
         assert found[str(k)] == pytest.approx(min(images))
+
+
+def test_replication_has_no_largest_number_of_copies(spark):
+    from cellframe.operators import trajectory
+
+    atoms, cell = crystal(spark, "sc", 1, 2.0)
+    large, box = trajectory.replicated(atoms, cell, (1000, 1000, 5))
+    found = large.agg(F.count("*").alias("n"), F.countDistinct("row_idx").alias("ids"), F.max("sa").alias("sa")).first()
+    assert found.n == found.ids == 5_000_000 and found.sa < 1 and box.volume == pytest.approx(8.0 * 5e6)
