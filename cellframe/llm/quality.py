@@ -8,7 +8,11 @@ Documents stay where they are: they are stored once in chunks of bounded size, b
 what moves is each chunk's list of distinct n-grams, to the shards and back.  A document's
 log-perplexity is shrunk towards its language's mean by ``SHRINK`` characters, so that chance does not
 decide over short texts, and rejected if it exceeds the threshold of its language: a quantile of the
-language's trusted documents plus a margin.
+language's trusted documents plus a margin.  A model finds the documents that trained it less
+perplexing than others like them, so for means and thresholds each trusted document is read by the
+model of the fold that it is not in; two folds, equal texts in one, are counted side by side in the
+same tables.  A language with fewer than ``FEWEST`` trusted documents has no such quantile of its own:
+it takes its mean plus the quantile of how far the documents of all languages lie from their means.
 
 Defined cases: null and empty texts have no n-gram, perplexity null, and are rejected; null is a
 language of its own; languages without trusted documents take the threshold of all; without trusted
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +44,11 @@ START, END = "\x02", "\x03"
 SHRINK = 64
 #: Share of a language's trusted documents under the threshold, and nats above it that are still kept.
 QUANTILE, MARGIN = 0.99, 0.05
+#: Trusted documents from which a language has a quantile of its own.
+FEWEST = 100
+#: The folds of the trusted documents, and the models: the one of all, and each fold's own.
+FOLDS = ("n0", "n1")
+MODELS = ("n", *FOLDS)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -107,8 +117,13 @@ def _text_parts(table: pa.Table, text: str) -> Iterator[tuple[int, int, list[str
         yield a, b, batch.column(0).slice(a, b - a).to_pylist()
 
 
+def fold(text: str) -> int:
+    """The fold of a trusted text."""
+    return xxhash.xxh64_intdigest(text) & 1
+
+
 def gram_counts(chunks: DataFrame, text: str, trusted: DataFrame) -> DataFrame:
-    """chunk, gram, n: every n-gram of a chunk with its count in the chunk's ``trusted`` rows (chunk, row)."""
+    """chunk, gram, n0, n1: every n-gram of a chunk with its counts in either fold of the chunk's ``trusted`` rows (chunk, row)."""
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.column("row").to_numpy()
@@ -117,75 +132,89 @@ def gram_counts(chunks: DataFrame, text: str, trusted: DataFrame) -> DataFrame:
         for a, b, texts in _text_parts(left, text):
             grams = Grams(texts)
             distinct, numbers = np.unique(grams.codes, return_inverse=True)
-            counts = np.bincount(numbers[np.repeat(good[a:b], grams.sizes)], minlength=len(distinct))
-            tables.append(pa.table({"gram": pa.array(grams.spelled(distinct).astype(object), pa.string()), "n": counts.astype(np.int64)}))
-        summed = pa.concat_tables(tables).group_by("gram").aggregate([("n", "sum")])
+            folds = np.array([fold(t) if g else -1 for t, g in zip(texts, good[a:b].tolist(), strict=True)])
+            counts = [np.bincount(numbers[np.repeat(folds == k, grams.sizes)], minlength=len(distinct)).astype(np.int64) for k in (0, 1)]
+            tables.append(pa.table({"gram": pa.array(grams.spelled(distinct).astype(object), pa.string()), "n0": counts[0], "n1": counts[1]}))
+        summed = pa.concat_tables(tables).group_by("gram").aggregate([("n0", "sum"), ("n1", "sum")])
         let_go()
         chunk = pa.array(np.full(len(summed), left.column("chunk")[0].as_py() if len(left) else 0))
-        return pa.table([chunk, summed.column("gram"), summed.column("n_sum")], names=["chunk", "gram", "n"])
+        return pa.table([chunk, summed.column("gram"), summed.column("n0_sum"), summed.column("n1_sum")], names=["chunk", "gram", *FOLDS])
 
-    schema = "chunk long, gram string, n long"
+    schema = "chunk long, gram string, n0 long, n1 long"
     return chunks.select("chunk", "row", text).groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(count, schema)
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The three modified Kneser-Ney discounts from the counts of counts."""
-    found = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}  # four rows at most
-    n1, n2, n3, n4 = (found.get(i, 0) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
+def discounts(counts: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """For each model the three modified Kneser-Ney discounts from the counts of counts."""
+    of = {(m, i): F.count_if(F.col(m) == i).alias(f"{m}_{i}") for m in MODELS for i in (1, 2, 3, 4)}
+    row = counts.agg(*of.values()).first()
+    result = {}
+    for m in MODELS:
+        n1, n2, n3, n4 = (row[f"{m}_{i}"] for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        result[m] = tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
+    return result
 
 
 def model_tables(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from four down: (gram, own), the discounted share of an n-gram, and (context, rest), what is left for lower orders."""
+    """For each order from four down, with a column for each model: (gram, own), the discounted share of an n-gram, and (context, rest), what is left for lower orders."""
     tables = []
     for order in range(ORDER, 0, -1):
         counts = materialise(counts)
-        d1, d2, d3 = discounts(counts)
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        off = {m: F.when(F.col(m) == 0, 0.0).when(F.col(m) == 1, d[0]).when(F.col(m) == 2, d[1]).otherwise(d[2]) for m, d in discounts(counts).items()}
         context = F.substring("gram", 1, order - 1) if order > 1 else F.lit("")
-        sums = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("off"))
-        rest = sums.select("context", "total", (F.col("off") / F.col("total")).alias("rest"))
-        own = counts.withColumn("context", context).join(rest, "context").select("gram", ((F.col("n") - off) / F.col("total")).alias("own"))
-        tables.append((own, rest.select("context", "rest")))
-        counts = counts.groupBy(F.substring("gram", 2, order - 1).alias("gram")).agg(F.count("*").alias("n"))
+        sums = counts.groupBy(context.alias("context")).agg(*[F.sum(m).alias(f"total_{m}") for m in MODELS], *[F.sum(off[m]).alias(f"off_{m}") for m in MODELS])
+        # A context that a model never has leaves all to lower orders.
+        rest = sums.select("context", *[f"total_{m}" for m in MODELS], *[F.when(F.col(f"total_{m}") > 0, F.col(f"off_{m}") / F.col(f"total_{m}")).alias(f"rest_{m}") for m in MODELS])
+        own = counts.withColumn("context", context).join(rest, "context").select("gram", *[F.when(F.col(m) > 0, (F.col(m) - off[m]) / F.col(f"total_{m}")).alias(f"own_{m}") for m in MODELS])
+        tables.append((own, rest.select("context", *[f"rest_{m}" for m in MODELS])))
+        counts = counts.groupBy(F.substring("gram", 2, order - 1).alias("gram")).agg(*[F.count_if(F.col(m) > 0).alias(m) for m in MODELS])
     return tables
 
 
 def gram_probabilities(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """gram, logp for every one of ``grams`` under the model of ``counts`` (gram, n)."""
+    """gram and logp_n, logp_n0, logp_n1 for every one of ``grams`` under each model of ``counts`` (gram, n, n0, n1); null under a model of nothing."""
     tables = model_tables(counts)
-    symbols = tables[-1][0].count() + 1  # one more for what trusted text never has
-    found = grams.withColumn("p", F.lit(1.0 / symbols))
+    symbols = tables[-1][0].agg(*[F.count(f"own_{m}").alias(m) for m in MODELS]).first()
+    # One more for what trusted text never has.
+    found = grams.select("gram", *[F.lit(1.0 / (symbols[m] + 1) if symbols[m] or m == "n" else None).cast("double").alias(f"p_{m}") for m in MODELS])
     for order, (own, rest) in zip(range(1, ORDER + 1), reversed(tables), strict=True):
         tail = F.substring("gram", ORDER - order + 1, order)
         found = found.withColumn("_g", tail).withColumn("_c", F.substring("gram", ORDER - order + 1, order - 1) if order > 1 else F.lit(""))
         found = found.join(own.withColumnRenamed("gram", "_g"), "_g", "left").join(rest.withColumnRenamed("context", "_c"), "_c", "left")
-        found = found.select("gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("p")).alias("p"))
-    return found.select("gram", F.log("p").alias("logp"))
+        found = found.select("gram", *[(F.coalesce(f"own_{m}", F.lit(0.0)) + F.coalesce(f"rest_{m}", F.lit(1.0)) * F.col(f"p_{m}")).alias(f"p_{m}") for m in MODELS])
+    return found.select("gram", *[F.log(f"p_{m}").alias(f"logp_{m}") for m in MODELS])
 
 
 def surprise(chunks: DataFrame, text: str, probabilities: DataFrame) -> DataFrame:
-    """chunk, row, grams, nats: how many n-grams a row has and minus the sum of their log-probabilities."""
+    """chunk, row, grams, nats, held: how many n-grams a row has, minus the sum of their log-probabilities, and that by the other fold's model, which holds for trusted rows."""
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         names = right.column("gram").to_numpy().astype(f"<U{ORDER}") if len(right) else np.zeros(0, f"<U{ORDER}")
         order = np.argsort(names)
         names, values = names[order], right.column("logp").to_numpy()[order]
-        sizes, nats = [], []
+        others = [np.nan_to_num(right.column(c).to_numpy()[order].astype(float)) for c in ("held0", "held1")]
+        sizes, nats, held = [], [], []
+
+        def sums(of: np.ndarray, grams: Grams, at: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+            """Minus the sum of each text's values."""
+            behind = np.concatenate([[0.0], np.cumsum(of[at][numbers])])
+            ends = np.cumsum(grams.sizes)
+            return -(behind[ends] - behind[ends - grams.sizes])
+
         for _, _, texts in _text_parts(left, text):
             grams = Grams(texts)
             distinct, numbers = np.unique(grams.codes, return_inverse=True)
-            logp = values[np.searchsorted(names, grams.spelled(distinct))] if len(distinct) else np.zeros(0)
-            sums = np.concatenate([[0.0], np.cumsum(logp[numbers])])
-            ends = np.cumsum(grams.sizes)
+            at = np.searchsorted(names, grams.spelled(distinct)) if len(distinct) else np.zeros(0, np.int64)
             sizes.append(grams.sizes)
-            nats.append(-(sums[ends] - sums[ends - grams.sizes]))
+            nats.append(sums(values, grams, at, numbers))
+            folds = np.array([fold(t) for t in texts])
+            held.append(np.where(folds == 0, *(sums(o, grams, at, numbers) for o in others)))
         let_go()
-        return pa.table([left.column("chunk"), left.column("row"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nats))], names=["chunk", "row", "grams", "nats"])
+        return pa.table([left.column("chunk"), left.column("row"), *(pa.array(np.concatenate(v)) for v in (sizes, nats, held))], names=["chunk", "row", "grams", "nats", "held"])
 
-    schema = "chunk long, row long, grams long, nats double"
+    schema = "chunk long, row long, grams long, nats double, held double"
     return chunks.select("chunk", "row", text).groupBy("chunk").cogroup(probabilities.groupBy("chunk")).applyInArrow(read, schema)
 
 
@@ -195,23 +224,25 @@ def _judged(chunks: DataFrame, columns: list[str], trusted_ids: DataFrame, quant
     keys = materialise(chunks.select("chunk", "row", F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")))
     trusted = materialise(keys.join(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select("chunk", "row"))
     grams = materialise(gram_counts(chunks, text, trusted))
-    counts = grams.groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = grams.groupBy("gram").agg(*[F.sum(n).alias(n) for n in FOLDS]).withColumn("n", F.col("n0") + F.col("n1"))
     probabilities = materialise(gram_probabilities(counts.select("gram"), counts.where("n > 0")))
-    read = materialise(surprise(chunks, text, grams.select("chunk", "gram").join(probabilities, "gram")))
+    # Only the rows of the one fold are read by the other's model; a fold of nothing leaves all to the model of all.
+    values = grams.join(probabilities, "gram").select("chunk", "gram", F.col("logp_n").alias("logp"), *[F.when(F.col(own) > 0, F.coalesce(f"logp_{other}", "logp_n")).alias(f"held{k}") for k, (own, other) in enumerate(zip(FOLDS, reversed(FOLDS), strict=True))])
+    read = materialise(surprise(chunks, text, values))
     rows = keys.join(read, ["chunk", "row"]).join(trusted.withColumn("trusted", F.lit(True)), ["chunk", "row"], "left").fillna({"trusted": False})
     # Means and quantiles of a language are aggregated piecewise; nothing is gathered by language.
     basis = rows.where("trusted and grams > 0")
-    mean = lambda of: (F.sum("nats") / F.sum("grams")).alias(of)
+    mean = lambda of: (F.sum("held") / F.sum("grams")).alias(of)
     overall = basis.agg(mean("all_mean"))
-    shrunk = (F.col("nats") + SHRINK * F.col("mean")) / (F.col("grams") + SHRINK)
+    shrunk = lambda nats: (F.col(nats) + SHRINK * F.col("mean")) / (F.col("grams") + SHRINK)
     means = basis.groupBy("lang").agg(mean("own_mean")).withColumnRenamed("lang", "mean_lang")
     rows = rows.join(means, F.col("lang").eqNullSafe(F.col("mean_lang")), "left").crossJoin(F.broadcast(overall)).withColumn("mean", F.coalesce("own_mean", "all_mean", F.lit(0.0)))
-    rows = materialise(rows.withColumn("level", F.when(F.col("grams") > 0, shrunk)).select("chunk", "row", "doc_id", "lang", "grams", "nats", "trusted", "level"))
-    at = F.percentile_approx("level", F.lit(quantile), F.lit(10_000))
-    basis = rows.where("trusted and level is not null")
-    limits = basis.groupBy("lang").agg(at.alias("own_limit")).withColumnRenamed("lang", "limit_lang")
-    limited = rows.join(limits, F.col("lang").eqNullSafe(F.col("limit_lang")), "left").crossJoin(F.broadcast(basis.agg(at.alias("all_limit"))))
-    limit = F.coalesce("own_limit", "all_limit") + margin
+    rows = materialise(rows.withColumn("level", F.when(F.col("grams") > 0, shrunk("nats"))).withColumn("held", F.when(F.col("trusted") & (F.col("grams") > 0), shrunk("held"))).select("chunk", "row", "doc_id", "lang", "grams", "nats", "mean", "level", "held"))
+    at = lambda of: F.percentile_approx(of, F.lit(quantile), F.lit(10_000))
+    basis = rows.where("held is not null")
+    limits = basis.groupBy("lang").agg(F.when(F.count("*") >= FEWEST, at("held")).alias("own_limit"), F.first("mean").alias("_mean")).withColumnRenamed("lang", "limit_lang")
+    limited = rows.join(limits, F.col("lang").eqNullSafe(F.col("limit_lang")), "left").crossJoin(F.broadcast(basis.agg(at("held").alias("all_limit"), at(F.col("held") - F.col("mean")).alias("all_beyond"))))
+    limit = F.coalesce("own_limit", F.col("_mean") + F.col("all_beyond"), "all_limit") + margin
     keep = F.col("level").isNotNull() & (limit.isNull() | (F.col("level") <= limit))
     return limited.select("chunk", "row", "doc_id", "lang", F.when(F.col("grams") > 0, F.exp(F.col("nats") / F.col("grams"))).alias("perplexity"), F.exp("level").alias("level"), F.exp(limit).alias("threshold"), keep.alias("keep"))
 

@@ -130,6 +130,21 @@ def test_quality_rejects_what_is_unlike_trusted_text(spark, docs):
     assert quality.judge(docs.limit(0), docs.select("doc_id")).count() == 0
 
 
+def test_quality_keeps_clean_documents_that_trained_nothing(spark):
+    rng = random.Random(12)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(1500)] for lang, letters in {"en": "abcdefghijklm", "fr": "nopqrstuvwxyz"}.items()}
+    rows = [(k, " ".join(rng.choices(words["fr" if k % 10 == 0 else "en"], k=60)), "fr" if k % 10 == 0 else "en") for k in range(400)]
+    rows += [(1000 + k, "".join(rng.choices("abcdefghijklm ", k=60)).upper() + "#" * 40, "en") for k in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    judged = quality.judge(table, table.where("doc_id < 200").select("doc_id")).collect()
+    for lang in words:  # 180 trusted documents of one, 20 of the other
+        new = [r.keep for r in judged if r.lang == lang and 200 <= r.doc_id < 1000]
+        assert sum(new) >= 0.95 * len(new)
+    assert not any(r.keep for r in judged if r.doc_id >= 1000) and all(r.keep for r in judged if r.doc_id < 200 and r.lang == "fr")
+    one = quality.judge(table, table.where("doc_id = 0").select("doc_id")).collect()
+    assert all(r.threshold > 1 for r in one) and [r.keep for r in one if r.doc_id == 0] == [True]
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(4)
     bad = ["blastard", "grumpkin", "snorfel"]
