@@ -6,11 +6,13 @@ so each distinct word of the whole table is encoded in one place and once, and i
 every chunk that holds it, where they are joined to the documents by position.  Only distinct words
 are shuffled; the documents lie in a table bucketed by chunk, as numbers of less than two bytes a word.
 
-Decoding joins ids with the tokenizer's table of pieces, which the vocabulary bounds.
+Decoding joins ids with the tokenizer's table of pieces, which the vocabulary bounds: a chunk's distinct
+ids are joined once each, and its documents are spelled from the pieces that the join gave.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows are
 encoded each; an empty table gives an empty result; further columns are ignored; special strings in a
-text become their ids as the tokenizer has it.
+text become their ids as the tokenizer has it; a long text is encoded whole, and only itself passes the
+bound of what a step of a task holds.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from cellframe.llm.wordtokens import listed, split_words, word_encoder
 CHUNK_WORDS = 600_000
 #: Parts by hash into which the distinct words are dealt.
 BUCKETS = 64
-CHUNKS = "chunk long, bucket int, doc_ids array<long>, data array<binary>"
+CHUNKS = "chunk long, bucket int, doc_ids array<long>, data array<binary>, used array<int>"
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
@@ -48,10 +50,10 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _row(chunk: int, bucket: int, doc_ids: list | None, data: list[bytes]) -> pa.RecordBatch:
+def _row(chunk: int, bucket: int, doc_ids: list | None, data: list[bytes], used: np.ndarray | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([data], pa.list_(pa.binary()))],
-        ["chunk", "bucket", "doc_ids", "data"],
+        [pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([data], pa.list_(pa.binary())), pa.array([used], pa.list_(pa.int32()))],
+        ["chunk", "bucket", "doc_ids", "data", "used"],
     )
 
 
@@ -100,7 +102,7 @@ def split_chunks(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def encode_lists(chunks: DataFrame, tokenizer: str) -> DataFrame:
-    """The lists of words with the words' ids in their place; all lists of a hash part meet in one task."""
+    """The lists of words with the words' ids in their place and the ids they use; all lists of a hash part meet in one task."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
@@ -110,55 +112,68 @@ def encode_lists(chunks: DataFrame, tokenizer: str) -> DataFrame:
                 slots = encoder.slots_of_words(pa.array(words, type=pa.large_string()))
                 lengths = encoder.lengths[slots]
                 ids = encoder.ids[gather(encoder.starts[slots.ravel()], lengths.ravel())]
-                yield _row(chunk, bucket, None, [_squeezed(ids), _squeezed(lengths.sum(axis=1)), data[1]])
+                yield _row(chunk, bucket, None, [_squeezed(ids), _squeezed(lengths.sum(axis=1)), data[1]], np.unique(ids).astype(np.int32))
 
     return chunks.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encoded, CHUNKS)
 
 
-def encode_chunks(docs: DataFrame, tokenizer: str, each, schema: str) -> DataFrame:
-    """Joins the ids back by position; ``each`` makes rows of (doc_ids, ids, starts of each document's ids, words, word table)."""
-    chunks = bucketed(split_chunks(docs), "chunk")
+def chunk_pieces(lists: DataFrame, tokenizer: str) -> DataFrame:
+    """For each chunk its distinct ids with their pieces, by a join of ids with the vocabulary's table."""
+    ids = lists.select("chunk", F.explode("used").alias("id")).distinct()
+    joined = ids.join(F.broadcast(piece_table(lists.sparkSession, tokenizer)), "id")  # the vocabulary bounds both sides of a chunk
+    return joined.groupBy("chunk").agg(F.collect_list("id").alias("piece_ids"), F.collect_list("piece").alias("pieces"))
+
+
+def joined_chunks(documents: DataFrame, lists: DataFrame, each, schema: str) -> DataFrame:
+    """Joins the ids back by position; ``each`` makes rows of (a row of documents, starts of each document's words, words, ids, their starts and lengths)."""
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        lists = right.column("data").to_pylist()
-        ids = np.concatenate([_numbers(d[0]) for d in lists] + [np.zeros(0, np.uint32)])
-        lengths = np.concatenate([_numbers(d[1]) for d in lists] + [np.zeros(0, np.uint32)]).astype(np.int64)
-        numbers = np.concatenate([np.cumsum(_numbers(d[2]), dtype=np.int64) for d in lists] + [np.zeros(0, np.int64)])
+        data = right.column("data").to_pylist()
+        ids = np.concatenate([_numbers(d[0]) for d in data] + [np.zeros(0, np.uint32)])
+        lengths = np.concatenate([_numbers(d[1]) for d in data] + [np.zeros(0, np.uint32)]).astype(np.int64)
+        numbers = np.concatenate([np.cumsum(_numbers(d[2]), dtype=np.int64) for d in data] + [np.zeros(0, np.int64)])
         place = np.empty(len(numbers), dtype=np.int64)
         place[numbers] = np.arange(len(numbers))
         starts = (np.cumsum(lengths) - lengths)[place]
         lengths = lengths[place]
         tables = []
-        for doc_ids, data in zip(left.column("doc_ids").to_pylist(), left.column("data").to_pylist(), strict=True):
-            tables.append(each(doc_ids, _numbers(data[0]).astype(np.int64), np.concatenate([[0], np.cumsum(_numbers(data[1]), dtype=np.int64)]), ids, starts, lengths))
+        for k in range(len(left)):
+            row = left.slice(k, 1)
+            words, counts = row.column("data")[0].as_py()
+            offsets = np.concatenate([[0], np.cumsum(_numbers(counts), dtype=np.int64)])
+            tables.append(each(row, _numbers(words).astype(np.int64), offsets, ids, starts, lengths))
         return pa.concat_tables(tables)
 
-    documents = chunks.where("bucket = -1").groupBy("chunk")
-    return documents.cogroup(encode_lists(chunks, tokenizer).groupBy("chunk")).applyInArrow(joined, schema)
+    return documents.groupBy("chunk").cogroup(lists.groupBy("chunk")).applyInArrow(joined, schema)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids of every document."""
 
-    def each(doc_ids, words, offsets, ids, starts, lengths) -> pa.Table:
+    def each(row, words, offsets, ids, starts, lengths) -> pa.Table:
         sizes = lengths[words]
         flat = ids[gather(starts[words], sizes)].astype(np.int32)
         ends = np.concatenate([[0], np.cumsum(sizes)])[offsets]
         lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
-        return pa.table([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "ids"])
+        return pa.table([row.column("doc_ids").combine_chunks().flatten(), lists], names=["doc_id", "ids"])
 
-    return encode_chunks(docs, tokenizer, each, "doc_id long, ids array<int>")
+    chunks = bucketed(split_chunks(docs), "chunk")
+    return joined_chunks(chunks.where("bucket = -1"), encode_lists(chunks, tokenizer).drop("used"), each, "doc_id long, ids array<int>")
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
 
-    def each(doc_ids, words, offsets, ids, starts, lengths) -> pa.Table:
-        pieces = word_encoder(tokenizer).pieces
+    def each(row, words, offsets, ids, starts, lengths) -> pa.Table:
+        piece_ids = row.column("piece_ids")[0].values
+        piece_ids = piece_ids.to_numpy() if piece_ids is not None else np.zeros(0, np.int32)
+        pieces = np.empty(int(piece_ids.max()) + 1 if len(piece_ids) else 0, dtype=object)
+        if len(piece_ids):
+            pieces[piece_ids] = listed(row.column("pieces")[0].values)
         used, local = np.unique(words, return_inverse=True)
         own = lengths[used]
         flat = ids[gather(starts[used], own)]
-        spelled = np.array(pieces, dtype=object)[flat].tolist()
+        spelled = pieces[flat].tolist()
         ends = np.cumsum(own)
         texts = [" ".join(spelled[a:b]) for a, b in zip((ends - own).tolist(), ends.tolist(), strict=True)]
         kept = (own > 0)[local]
@@ -166,7 +181,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         stream = ids[gather(starts[words], lengths[words])].astype("<u4")
         at = np.concatenate([[0], np.cumsum(sizes)])[offsets].tolist()
         local, rows = local.tolist(), []
-        for k, doc_id in enumerate(doc_ids):
+        for k, doc_id in enumerate(row.column("doc_ids")[0].as_py()):
             own_ids = stream[at[k] : at[k + 1]]
             span = slice(int(offsets[k]), int(offsets[k + 1]))
             decoded = " ".join([texts[w] for w, is_kept in zip(local[span], kept[span].tolist(), strict=True) if is_kept])
@@ -174,7 +189,10 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.table([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode_chunks(docs, tokenizer, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    chunks = bucketed(split_chunks(docs), "chunk")
+    lists = bucketed(encode_lists(chunks, tokenizer), "chunk")
+    documents = chunks.where("bucket = -1").join(chunk_pieces(lists, tokenizer), "chunk", "left")
+    return joined_chunks(documents, lists.drop("used"), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:

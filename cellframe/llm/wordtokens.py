@@ -2,7 +2,8 @@
 
 The tokenizer's pre-tokenizer drops white space and never joins across it, so a text's ids are its
 words' ids one after another.  A run of plain punctuation behind a letter or digit is a pre-token of
-its own and is encoded apart, which leaves far fewer distinct words.
+its own and is encoded apart, which leaves far fewer distinct words.  Which letters are such is asked of
+the tokenizer itself: some become a letter and a mark when it normalises them, and a mark joins the run.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         self.pieces = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.closing = np.array([p.endswith("</w>") for p in self.pieces])
+        self.ends: dict[str, bool] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -66,6 +68,13 @@ class WordEncoder:
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids])
 
+    def ends_word(self, letter: str) -> bool:
+        """Whether punctuation behind ``letter`` is a pre-token of its own, as the tokenizer splits them."""
+        if letter not in self.ends:
+            parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(letter + "."))
+            self.ends[letter] = len(parts) > 1 and parts[-1][0] == "."
+        return self.ends[letter]
+
     def slots_of(self, words: list[str]) -> np.ndarray:
         """A slot for each of ``words``, which are distinct."""
         new = [w for w in words if w not in self.slots]
@@ -91,7 +100,7 @@ class WordEncoder:
         ends = [""] * len(whole)
         for i in np.flatnonzero(pc.not_equal(base, words).to_numpy(zero_copy_only=False)).tolist():
             stem, word = stems[i], whole[i]
-            if stem and (stem[-1].isalpha() or stem[-1].isdecimal()):
+            if stem and self.ends_word(stem[-1]):
                 ends[i] = word[len(stem) :]
             else:
                 stems[i] = word

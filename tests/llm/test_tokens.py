@@ -7,12 +7,13 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from cellframe.llm import bpe, packing, tokencounts
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
-ODD = [None, "", "  ", "a<|endoftext|>b. <|ENDOFTEXT|>! x", "İstanbul ﬁ. Ⅷ ²! naïve café. ÉCOLE GROß", "a.,b!c's I'll $5.00% é́ \x1c\x85", "</w> a</w> 你好。 世界 　", "ΑΣ ΣΑΣ.", "  a  b", "日本語\n\n", "<s> </s> <0x0A> 😀😀", "▁▁ ▁x", "word " * 3000, "long" * 4000]
+ODD = [None, "", "  ", "a<|endoftext|>b. <|ENDOFTEXT|>! x", "İ. aİ.. xक़!? ড়, 가. é. 3. ². Ⅻ; 你.", "İstanbul ﬁ. Ⅷ ²! naïve café. ÉCOLE GROß", "a.,b!c's I'll $5.00% é́ \x1c\x85", "</w> a</w> 你好。 世界 　", "ΑΣ ΣΑΣ.", "  a  b", "日本語\n\n", "<s> </s> <0x0A> 😀😀", "▁▁ ▁x", "word " * 3000, "long" * 4000]
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +51,19 @@ def test_encoding_and_decoding(docs, tokenizer):
     assert all(ids_of(tokenizer, w) == i for w, i in table.items())
 
 
+def test_every_letter_mark_and_number_before_trailing_punctuation(tokenizer):
+    import unicodedata
+
+    from cellframe.llm.wordtokens import TRAILING, encode_texts, word_encoder
+
+    letters = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c))[0] in "LMN"]
+    texts = [c + "." for c in letters] + ["a" + c + TRAILING[k % len(TRAILING)] for k, c in enumerate(letters) if k % 3 == 0]
+    ids, ends = encode_texts(word_encoder(WORDS), pa.array(texts, pa.large_string()))
+    want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert all(ids[a:b].tolist() == w for a, b, w in zip(ends[:-1].tolist(), ends[1:].tolist(), want, strict=True))
+    word_encoder(WORDS).forget()
+
+
 def test_pieces_cover_every_document_and_places_have_no_gap(docs, tokenizer):
     rows = packing.pack_documents(docs, WORDS, 64).collect()
     want = {}
