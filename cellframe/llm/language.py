@@ -1,24 +1,29 @@
 """Language identification by cross-parsing entropy.
 
-Per language, a bounded sample of labelled text becomes a suffix automaton.  A text is parsed against
-each automaton into phrases, each the longest match with the language's sample; the language that
-needs the fewest phrases per letter wins.  Texts are parsed whole, in windows that all languages and
-many texts pass through in step.
+Per language, a bounded sample of labelled text becomes a suffix automaton over the bytes of its
+letters, so no alphabet is too large for it.  A text is parsed against each automaton into phrases,
+each the longest match with the language's sample; the language that needs the fewest phrases per
+byte wins.
 
-The sample is the one thing that is bounded: ``sample_docs`` documents per language, chosen by a hash
-of their id, of each the first ``sample_letters`` letters.  What a language's automaton holds thereby
-stays under a fixed size, so the automata are small enough to be sent to every task.
+Texts are parsed whole and a phrase goes on as long as it matches: texts are cut into windows that all
+languages and many texts pass through in step, each window begins in the state in which the one before
+it ended, and a window whose beginning was guessed wrong is parsed again.
+
+The sample is the one thing that is bounded: ``sample_docs`` documents per language, fewer where
+languages are so many that ``all_docs`` would be passed (one at least), chosen by a hash of their id, of
+each ``sample_bytes`` bytes of letters from a stretch that the hash chooses.  The automata are thereby
+small enough to be sent to every task.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; equal phrase counts go
 to the language first in alphabetical order; rows with null language train nothing; without any
-labelled text all are ``und``; repeated rows repeat; an empty table gives an empty result; further
+labelled text all are ``und``; with one language the
+runner-up counts as a phrase a byte; repeated rows repeat; a long text is parsed whole; an empty table gives an empty result; further
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,28 +34,33 @@ from pyspark.sql import functions as F
 
 from cellframe.llm.common import filled, let_go, text_slices
 
-#: Letters of a window; a phrase ends with its window.
-WINDOW = 512
-#: Letters, besides the space between words, that have a symbol of their own.
-ALPHABET = 94
+#: Bytes of a window and of the run-up from which its first state is guessed; neither changes a result.
+WINDOW, RUN_UP = 512, 64
+#: Windows that pass through the automata in step.
+TOGETHER = 8192
+#: Characters of the stretch from which a document's sample is taken, for each byte of the sample.
+STRETCH = 4
 _letters = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Languages:
-    """Automata of all languages in one table: state * width + symbol -> state * width, 0 for none."""
+    """Automata of all languages in one table: state * width + symbol -> state * width, 0 for none.
+
+    ``symbols`` gives each byte its symbol, 0 for bytes that no sample holds.
+    """
 
     names: list[str]
-    symbols: dict[str, int]
+    symbols: np.ndarray
     width: int
     roots: np.ndarray
     table: np.ndarray
 
 
-def letters(text: str) -> str:
+def letters(text: str) -> bytes:
     """The words of ``text`` in lower case, a space before, between and behind them."""
     words = _letters.findall(text.lower())
-    return f" {' '.join(words)} " if words else ""
+    return f" {' '.join(words)} ".encode() if words else b""
 
 
 def suffix_automaton(text: list[int], width: int) -> np.ndarray:
@@ -88,77 +98,90 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
     return table
 
 
-def train(labelled: DataFrame, sample_docs: int = 96, sample_letters: int = 400, most_languages: int = 256) -> Languages:
-    """Automata from rows (doc_id, text, lang): of the ``most_languages`` most frequent languages ``sample_docs`` documents each."""
-    usable = labelled.where("lang is not null and text is not null")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most_languages)
-    # Hash thinning leaves a few hundred rows of a language, however many it has, before rows are ranked.
-    thin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.floor(F.col("_n") / (4 * sample_docs)))) == 0
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(thin).withColumn("_rank", rank).where(F.col("_rank") <= sample_docs).select("doc_id", "lang", "_rank")
-    # Both bounds make the ids small enough to be sent to where the texts are.
-    rows = usable.select("doc_id", "lang", F.substring("text", 1, 4 * sample_letters).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
-    texts: dict[str, list[str]] = {}
-    for row in rows.orderBy("lang", "_rank").toLocalIterator():
-        texts.setdefault(row["lang"], []).append(letters(row["text"])[:sample_letters])
-    common = Counter(c for own in texts.values() for t in own for c in t if c != " ").most_common(ALPHABET)
-    symbols = {" ": 1} | {c: i + 2 for i, (c, _) in enumerate(sorted(common))}
-    width = 2 + len(common)
-    names, roots, tables, first = sorted(texts), [], [], 0
+def automata(samples: dict[str, bytes]) -> Languages:
+    """The automata of each language's sample."""
+    names = sorted(samples)
+    present = sorted(set(b"".join(samples.values())))
+    symbols = np.zeros(256, dtype=np.int32)
+    symbols[present] = np.arange(1, len(present) + 1)
+    width, roots, tables, first = len(present) + 1, [], [], 0
     for name in names:
-        table = suffix_automaton([symbols.get(c, 0) for c in "".join(texts[name])], width)
-        table[:, 0] = 0  # letters without a symbol match nothing
-        shifted = np.where(table > 0, (table + first) * width, 0).astype(np.int32)
+        table = suffix_automaton(symbols[list(samples[name])].tolist(), width)
         roots.append((first + 1) * width)
-        tables.append(shifted)
+        tables.append(np.where(table > 0, (table + first) * width, 0).astype(np.int32))
         first += len(table)
     return Languages(names, symbols, width, np.array(roots, dtype=np.int32), np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32))
 
 
-def phrases(languages: Languages, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Phrases of each window (columns; symbols down, longest window first) against each language."""
+def train(labelled: DataFrame, sample_docs: int = 96, sample_bytes: int = 400, all_docs: int = 768) -> Languages:
+    """Automata from rows (doc_id, text, lang): of every language ``sample_docs`` documents, of all about ``all_docs`` at most."""
+    usable = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))  # a row a language, as many as there will be automata
+    most = max(1, min(sample_docs, all_docs // max(1, sizes.count())))
+    # Hash thinning leaves a few hundred rows of a language, however many it has, before rows are ranked.
+    thin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.floor(F.col("_n") / (4 * most)))) == 0
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = usable.select("doc_id", "lang").join(sizes, "lang").where(thin).withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", "lang", "_rank")
+    # Both bounds make the ids small enough to be sent to where the texts are.
+    long = STRETCH * sample_bytes
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - long)).cast("int") + 1
+    stretch = F.substring("text", start, F.lit(long))
+    rows = usable.select("doc_id", "lang", stretch.alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
+    samples: dict[str, bytes] = {}
+    for row in rows.orderBy("lang", "_rank").toLocalIterator():
+        samples[row["lang"]] = samples.get(row["lang"], b"") + letters(row["text"])[:sample_bytes]
+    return automata(samples)
+
+
+def phrases(languages: Languages, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end in each of the windows (``start``, ``size``) and the states behind them, one row a language."""
+    counts, states = np.zeros(state.shape, dtype=np.int32), state.copy()
     table, roots = languages.table, languages.roots[:, None]
-    state = np.repeat(roots, windows.shape[1], axis=1)
-    count = np.zeros(state.shape, dtype=np.int32)
-    alive = windows.shape[1]
-    for step in range(windows.shape[0]):
-        while sizes[alive - 1] <= step:
-            alive -= 1
-        symbol = windows[step, :alive]
-        now = state[:, :alive]
-        to = table[now + symbol]
-        missed = to == 0
-        again = table[roots + symbol]
-        # A miss ends a phrase; a letter that no phrase starts with is one by itself.
-        count[:, :alive] += missed.astype(np.int32) + (missed & (again == 0) & (now != roots))
-        state[:, :alive] = np.where(missed, np.where(again == 0, roots, again), to)
-    return count + (state != roots)
+    order = np.argsort(-size, kind="stable")
+    for at in range(0, len(order), TOGETHER):
+        own = order[at : at + TOGETHER]
+        sizes, place = size[own], start[own]
+        now, count = state[:, own], np.zeros((len(state), len(own)), dtype=np.int32)
+        alive = len(own)
+        for step in range(int(sizes[0])):
+            while sizes[alive - 1] <= step:
+                alive -= 1
+            symbol = symbols[place[:alive] + step]
+            before = now[:, :alive]
+            to = table[before + symbol]
+            missed = to == 0
+            again = table[roots + symbol]
+            # A miss ends a phrase; a byte that no phrase starts with is one by itself.
+            count[:, :alive] += missed.astype(np.int32) + (missed & (again == 0) & (before != roots))
+            now[:, :alive] = np.where(missed, np.where(again == 0, roots, again), to)
+        counts[:, own], states[:, own] = count, now
+    return counts, states
 
 
 def parse(languages: Languages, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases per letter of each text against each language, and the letters of each text."""
+    """Phrases per byte of each text against each language, and the bytes of each text's letters."""
     plain = [letters(t) for t in texts]
     sizes = np.array([len(p) for p in plain], dtype=np.int64)
-    codes = np.frombuffer("".join(plain).encode("utf-32-le"), dtype=np.uint32)
-    known = np.zeros(1 << 16, dtype=np.int32)
-    for c, i in languages.symbols.items():
-        if ord(c) < 1 << 16:
-            known[ord(c)] = i
-    symbols = known[np.where(codes < 1 << 16, codes, 0)]
+    symbols = languages.symbols[np.frombuffer(b"".join(plain), dtype=np.uint8)]
     parts = -(-sizes // WINDOW)
     owner = np.repeat(np.arange(len(texts)), parts)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
     start = (np.cumsum(sizes) - sizes)[owner] + within * WINDOW
-    length = np.minimum(WINDOW, sizes[owner] - within * WINDOW)
+    size = np.minimum(WINDOW, sizes[owner] - within * WINDOW)
     total = np.zeros((len(languages.names), len(texts)), dtype=np.int64)
-    order = np.argsort(-length, kind="stable")
-    for at in range(0, len(order), 8192):
-        own = order[at : at + 8192]
-        rows = np.arange(length[own[0]])[:, None] + start[own]
-        windows = symbols[np.minimum(rows, len(symbols) - 1)]
-        found = phrases(languages, windows, length[own])
+    if len(owner):
+        behind = np.flatnonzero(within > 0)  # windows that another one stands before
+        begin = np.repeat(languages.roots[:, None], len(owner), axis=1)
+        begin[:, behind] = phrases(languages, symbols, start[behind] - RUN_UP, np.full(len(behind), RUN_UP), begin[:, behind])[1]
+        counts, end = phrases(languages, symbols, start, size, begin)
+        while len(behind := behind[(begin[:, behind] != end[:, behind - 1]).any(axis=0)]):
+            begin[:, behind] = end[:, behind - 1]
+            counts[:, behind], end[:, behind] = phrases(languages, symbols, start[behind], size[behind], begin[:, behind])
+            behind = np.unique(np.concatenate([behind, behind[behind + 1 < len(owner)] + 1]))
+            behind = behind[within[behind] > 0]
+        counts[:, within == parts[owner] - 1] += (end != languages.roots[:, None])[:, within == parts[owner] - 1]
         for k in range(len(languages.names)):
-            np.add.at(total[k], owner[own], found[k])
+            np.add.at(total[k], owner, counts[k])
     return total / np.maximum(sizes, 1), sizes
 
 

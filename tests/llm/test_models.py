@@ -29,32 +29,35 @@ def naive_phrases(text, sample):
     count, at = 0, 0
     while at < len(text):
         n = 1
-        while at + n < len(text) and text[at : at + n + 1] in sample:
+        while at + n < len(text) and text[at : at + n] in sample and text[at : at + n + 1] in sample:
             n += 1
         count, at = count + 1, at + n
     return count
 
 
 def test_language_phrases_are_longest_matches():
-    samples = {"en": language.letters("the then other thing"), "de": language.letters("der den oder ding")}
-    symbols = {" ": 1} | {c: k + 2 for k, c in enumerate(sorted(set("".join(samples.values())) - {" "}))}
-    width, roots, tables, first = len(symbols) + 1, [], [], 0
-    for name in sorted(samples):
-        own = language.suffix_automaton([symbols[c] for c in samples[name]], width)
-        own[:, 0] = 0
-        roots.append((first + 1) * width)
-        tables.append(((own + first) * width * (own > 0)).astype("int32"))
-        first += len(own)
-    import numpy as np
-
-    model = language.Languages(sorted(samples), symbols, width, np.array(roots, dtype=np.int32), np.concatenate(tables).ravel())
-    texts = ["the other", "oder den ding", "xyz the q", "", "123", "then " * 300]
+    samples = {"de": language.letters("der den oder ding größe"), "en": language.letters("the then other thing"), "zh": language.letters("你好 世界 和平")}
+    model = language.automata(samples)
+    texts = ["the other", "oder den ding", "xyz the q", "", "123", "then " * 300, "th" * 900, "世界你好 größe" * 200, "t" * 2000 + "𝒳 then", "e " * 1500]
     rates, sizes = language.parse(model, texts)
     for k, text in enumerate(texts):
         plain = language.letters(text)
+        assert sizes[k] == len(plain)
         for n, name in enumerate(model.names):
-            parts = [plain[i : i + language.WINDOW] for i in range(0, len(plain), language.WINDOW)]
-            assert rates[n, k] * max(sizes[k], 1) == pytest.approx(sum(naive_phrases(p, samples[name]) for p in parts))
+            assert rates[n, k] * max(sizes[k], 1) == pytest.approx(naive_phrases(plain, samples[name]))
+    assert language.parse(model, [])[0].shape == (3, 0)
+
+
+def test_large_alphabets_and_many_languages(spark):
+    rng = random.Random(12)
+    scripts = {name: [chr(first + k) for k in range(600)] for name, first in (("a", 0x4E00), ("b", 0x7000), ("c", 0x20000))}
+    rows = [(k, "".join(rng.choices(scripts[s := "abc"[k % 3]], k=200)), s) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = {r.doc_id: r.lang_pred for r in language.identify(docs, language.train(docs.where("doc_id % 2 = 0"))).collect()}
+    assert sum(told[k] == s for k, _, s in rows if k % 2) >= 0.95 * 150
+    many = spark.createDataFrame([(k, chr(0x4E00 + k) * 3, f"l{k:03}") for k in range(300)], "doc_id long, text string, lang string")
+    model = language.train(many)
+    assert len(model.names) == 300 and all(r.lang_pred == r.lang for r in language.identify(many, model).join(many, "doc_id").collect())
 
 
 def test_languages_are_told(docs):
