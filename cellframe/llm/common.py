@@ -17,11 +17,13 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; where the session names none, one of this machine if Spark runs in it alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -35,7 +37,24 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in stored:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def renewed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after`` in the place of ``before``, the table of a round that it was computed from."""
+    stored = materialise(after)
+    discard(before)
+    return stored
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import materialise
+from cellframe.llm.common import materialise, renewed
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round hangs every node and its larger neighbours on the smallest neighbour, first over the
     larger neighbours and then over the smaller ones, until every node hangs on a node that hangs on
     none.  The number of rounds grows with the logarithm of the longest chain.  Rounds are stored in
-    the shared folder, so none is computed again.
+    the shared folder, so none is computed again, and go when the next one stands.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -25,7 +25,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(smallest, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small)
+        edges = renewed(edges, small)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -61,10 +61,10 @@ def unpacked(ids: bytes, vectors: bytes, width: int) -> tuple[np.ndarray, np.nda
     return np.frombuffer(ids, dtype=np.int64), np.frombuffer(vectors, dtype=np.float64).reshape(-1, width)
 
 
-def dealt(queries: DataFrame) -> tuple[DataFrame, int]:
-    """``queries`` (id, v) with their part, and the number of parts, which leaves about QUERIES rows in each."""
+def dealt(queries: DataFrame, key: str = "id") -> tuple[DataFrame, int]:
+    """``queries`` (``key``, v) with their part, and the number of parts, which leaves about QUERIES rows in each."""
     parts = max(1, -(-queries.count() // QUERIES))
-    return queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("width", F.size("v")), parts
+    return queries.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("width", F.size("v")), parts
 
 
 def paired(row_blocks: DataFrame, queries: DataFrame, parts: int) -> DataFrame:

@@ -83,19 +83,46 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(4), x
 
 
+def top(table, step, k):
+    found = {}
+    for r in topk.top_k(table, lambda i: i % step == 0, k).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(f) for q, f in found.items()}
+
+
+def plain_top(rows, step, k):
+    """Exactly, with whole numbers of any size; each query row has its own list."""
+    want = {}
+    for q, v in rows:
+        if q % step == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:k]
+            want[q] = sorted(want.get(q, []) + [(n + 1, i, -s) for n, (s, i) in enumerate(best)])
+    return want
+
+
 def test_exact_top_k(vectors):
     table, x = vectors
-    whole = {**{k: np.floor(1024 * x[k]) for k in range(400)}, 700: np.zeros(16)}
+    whole = {**{k: np.floor(1024 * x[k]).astype(int).tolist() for k in range(400)}, 700: [0] * 16}
     candidates = [*whole.items(), (0, whole[0])]
     for k, step in ((10, 100), (150, 100), (1000, 200)):
-        found = {}
-        for r in topk.top_k(table, lambda i, step=step: i % step == 0, k).collect():
-            found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-        want = {q: sorted((-int(v @ whole[q]), i) for i, v in candidates if i != q)[:k] for q in whole if q % step == 0}
-        assert {q: [(n + 1, i, -s) for n, (s, i) in enumerate(w)] for q, w in want.items()} == {q: sorted(f) for q, f in found.items()}
+        assert top(table, step, k) == plain_top(candidates, step, k)
     assert topk.top_k(table.limit(0), lambda i: i % 2 == 0).count() == 0
 
 
+def test_exact_top_k_of_repeated_ids_and_long_vectors(spark):
+    rng = random.Random(7)
+    rows = [(k // 2, [rng.uniform(-1, 1) * 10 ** rng.choice((0, 4)) for _ in range(4)]) for k in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(k, [int(np.floor(1024 * c)) for c in v]) for k, v in rows]
+    assert top(table, 5, 4) == plain_top(whole, 5, 4)
+    large = [(k, [c * 1e2 for c in v]) for k, v in rows]
+    table = spark.createDataFrame(large, "vec_id long, embedding array<double>")
+    whole = [(k, [int(np.floor(1024 * c)) for c in v]) for k, v in large]
+    assert max(abs(s) for found in plain_top(whole, 5, 4).values() for _, _, s in found) > 1 << 53 and top(table, 5, 4) == plain_top(whole, 5, 4)
+    with pytest.raises(ValueError, match="long"):
+        topk.top_k(spark.createDataFrame([(0, [1e9] * 4), (1, [1e9] * 4)], "vec_id long, embedding array<double>"), lambda i: i == 0)
+
+
 def test_nearest_neighbors(vectors):
     table, x = vectors
     found = {}
