@@ -7,14 +7,19 @@ bytes instead: sets of three positions of which every choice of four shared posi
 Every pair that can pass the count filter meets in at least one list; there its shared positional
 bytes are tallied, pairs under the minimum are dropped, and the others are verified bit by bit.
 
+Fingerprints of 128 bits serve similarities as low as 0.8 of word shingles, where 15 % of the bits
+differ and no number of shared bytes is certain: pairs must share three of their sixteen positional
+bytes, which pairs of that similarity do mostly and closer ones nearly always, and lists are keyed on
+the pairs of positions of which every choice of three contains one.
+
 Equal fingerprints are one entry of the index, however many documents carry them.  A list that is
-longer than a bound is keyed anew with a fourth shared position, and what is still too long is dealt
+longer than a bound is keyed anew with a further shared position, and what is still too long is dealt
 into blocks that meet pairwise, so no task holds an unbounded list.  A list passes on a spanning
 forest of its links, which keeps every link's effect on the components.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows are
-members of one component; documents without id count in no minimum; an empty table gives an empty
-result; further columns are ignored.
+members of one component; documents without id count in no minimum; a long text is read whole, in
+stretches; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ SEED = 42
 STRETCH = 1 << 20
 #: Fingerprints of one list that one task compares.
 LIST_BOUND = 1024
+#: Keys over which the documents of one fingerprint are dealt.
+SALTS = 64
+#: Bits in which fingerprints of 128 bits differ at most where five-word shingles have a similarity of 0.8.
+SIMILAR = 24
 
 
 def word_stretches(text: bytes) -> Iterator[list[bytes]]:
@@ -50,43 +59,60 @@ def word_stretches(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """The SimHash of the word shingles' XXH64, repeats included; zero without words."""
-    ones, total, held = np.zeros(64, dtype=np.int64), 0, []
-    digest = xxhash.xxh64_intdigest
+def fingerprint(text: str, shingle: int = 4, width: int = 1) -> tuple[int, ...]:
+    """The SimHash of the word shingles' hashes, repeats included, as ``width`` 64-bit integers; zero without words.
+
+    One integer is made of XXH64, two of the 128 bits of XXH3.
+    """
+    ones, total, held = np.zeros(64 * width, dtype=np.int64), 0, []
+    digest = xxhash.xxh64_intdigest if width == 1 else xxhash.xxh3_128_digest
+
+    def hashes(runs) -> np.ndarray:
+        if width == 1:
+            return np.array([digest(r, SEED) for r in runs], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        return np.frombuffer(b"".join([digest(r, SEED) for r in runs]), dtype=np.uint8).reshape(-1, 16)
+
     for words in word_stretches(text.encode().lower()):
         held += words
         if len(held) < shingle:
             continue
-        runs = map(b" ".join, zip(*(held[i:] for i in range(shingle)), strict=False))
-        hashes = np.array([digest(r, SEED) for r in runs], dtype="<u8")
-        for part in np.array_split(hashes, max(1, len(hashes) >> 16)):
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        total += len(hashes)
+        found = hashes(map(b" ".join, zip(*(held[i:] for i in range(shingle)), strict=False)))
+        for at in range(0, len(found), 1 << 16):
+            ones += np.unpackbits(found[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(found)
         held = held[len(held) - shingle + 1 :]
     if not total:
         if not held:
-            return 0
-        return digest(b" ".join(held), SEED)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
+            return (0,) * width
+        ones, total = np.unpackbits(hashes([b" ".join(held)]), axis=1, bitorder="little")[0].astype(np.int64), 1
+    return tuple(np.packbits(ones * 2 > total, bitorder="little").view("<u8").tolist())
+
 
+def names(width: int) -> list[str]:
+    """The columns of a fingerprint."""
+    return [f"fp{i}" for i in range(width)]
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer."""
+
+def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1, text: str = "text") -> DataFrame:
+    """``docs`` without its text's column, with the fingerprint as signed 64-bit integers."""
+    others = [c for c in docs.columns if c != text]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_slices(batch, 1):
-                texts = filled(batch.column(1).slice(a, b - a)).to_pylist()
-                found = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found)], ["doc_id", "fp"])
+            for a, b in text_slices(batch, len(others)):
+                part = batch.slice(a, b - a)
+                found = np.array([fingerprint(t, shingle, width) for t in filled(part.column(len(others))).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], *(pa.array(found[:, i]) for i in range(width))], [*others, *names(width)])
         let_go()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    schema = docs.select(*others).schema
+    for name in names(width):
+        schema = schema.add(name, "long")
+    return docs.select(*others, text).mapInArrow(hashed, schema)
 
 
-def covering_triples() -> list[tuple[int, int, int]]:
-    """Twenty sets of three byte positions of which every four positions contain one."""
+def covering_triples() -> list[tuple[int, ...]]:
+    """Twenty sets of three of eight byte positions of which every four positions contain one."""
     part = [0, 0, 0, 1, 1, 1, 2, 2]
 
     def chosen(triple: tuple[int, int, int]) -> bool:
@@ -96,108 +122,152 @@ def covering_triples() -> list[tuple[int, int, int]]:
     return [t for t in combinations(range(8), 3) if chosen(t)]
 
 
-def _byte(fp, position: int):
-    return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(255))
+def covering_pairs() -> list[tuple[int, ...]]:
+    """The pairs of sixteen byte positions of which every three positions contain one: those of either half."""
+    return [p for half in (range(8), range(8, 16)) for p in combinations(half, 2)]
+
 
+def _byte(position: int):
+    return F.shiftrightunsigned(F.col(f"fp{position // 8}"), 8 * (position % 8)).bitwiseAND(F.lit(255))
 
-def _keyed(fps: DataFrame) -> DataFrame:
-    """Each fingerprint under each of the index's keys: the triple's number and its three bytes."""
-    fp = F.col("fp")
-    keys = [sum((F.shiftleft(_byte(fp, p), 8 * i) for i, p in enumerate(t)), F.lit(n).cast("long") * (1 << 24)) for n, t in enumerate(covering_triples())]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
+def _keyed(fps: DataFrame, covering: list[tuple[int, ...]], width: int) -> DataFrame:
+    """Each fingerprint under each of the index's keys: the covering set's number and its bytes."""
+    keys = [sum((F.shiftleft(_byte(p), 8 * i) for i, p in enumerate(t)), F.lit(n).cast("long") * (1 << 24)) for n, t in enumerate(covering)]
+    return fps.select(*names(width), F.explode(F.array(*keys)).alias("key"))
 
-def _rekeyed(lists: DataFrame) -> DataFrame:
+
+def _rekeyed(lists: DataFrame, covering: list[tuple[int, ...]], width: int) -> DataFrame:
     """Entries of long lists under each further position and its byte; a pair that passes the count filter shares one."""
-    triples = covering_triples()
-    fourth = [F.when(~F.array_contains(F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in triples]), (F.shiftright("key", 24) + 1).cast("int")), p), -1 - (F.col("key") * 2048 + p * 256 + _byte(F.col("fp"), p))) for p in range(8)]
-    return lists.select("fp", F.explode(F.array_compact(F.array(*fourth))).alias("key"))
+    own = F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in covering]), (F.shiftright("key", 24) + 1).cast("int"))
+    further = [F.when(~F.array_contains(own, p), -1 - (F.col("key") * 4096 + p * 256 + _byte(p))) for p in range(8 * width)]
+    return lists.select(*names(width), F.explode(F.array_compact(F.array(*further))).alias("key"))
 
 
-def _blocks(lists: DataFrame, bound: int) -> DataFrame:
+def _blocks(lists: DataFrame, bound: int, width: int) -> DataFrame:
     """Lists with their length n in groups of bounded size: one for a short list, one for each two blocks of a long one."""
     blocks = F.ceil(F.col("n") / bound).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(*names(width)), F.col("blocks")).cast("int")
     dealt = lists.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct(*names(width)).alias("fp"))
 
 
-def near_by(differing: np.ndarray, radius: int) -> np.ndarray:
-    """Which differences pass: the tally of shared positional bytes reaches the minimum, and the bits verify."""
-    near = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - radius
-    near[near] = np.bitwise_count(differing[near].view(np.uint64)) <= radius
+def near_by(differing: np.ndarray, radius: int, least: int) -> np.ndarray:
+    """Which differences (rows) pass: the tally of shared positional bytes reaches the minimum, and the bits verify."""
+    differing = np.ascontiguousarray(differing)
+    near = (differing.view(np.uint8).reshape(len(differing), -1) == 0).sum(axis=1) >= least
+    near[near] = np.bitwise_count(differing[near].view(np.uint64)).sum(axis=1) <= radius
     return near
 
 
-def spanning_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between distinct ``members``, each linked to the first it is reached from."""
-    rest, links = members, []
+def spanning_links(members: np.ndarray, radius: int, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between distinct ``members`` (rows), as their numbers, each linked to the first it is reached from."""
+    rest, links = np.arange(len(members)), []
     while len(rest) > 1:
         frontier, rest = rest[:1], rest[1:]
         while len(frontier) and len(rest):
             reached = np.zeros(len(rest), dtype=bool)
             for at in frontier:
-                near = near_by(at ^ rest, radius) & ~reached
+                near = near_by(members[at] ^ members[rest], radius, least) & ~reached
                 links += [(int(at), int(x)) for x in rest[near]]
                 reached |= near
             frontier, rest = rest[reached], rest[~reached]
     return links
 
 
-def links(fps: DataFrame, radius: int = 4, bound: int = LIST_BOUND) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp) at ``radius`` or fewer bits, sparse but with the same components."""
-    if not 0 <= radius <= 4:
+def links(fps: DataFrame, radius: int = 4, bound: int = LIST_BOUND, width: int = 1) -> DataFrame:
+    """Links a, b between distinct fingerprints at ``radius`` or fewer bits, sparse but with the same components.
+
+    Fingerprints of one integer are nodes as they are, those of two as their hexadecimal digits.
+    """
+    if width == 1 and not 0 <= radius <= 4:
         raise ValueError("the index finds pairs that share at least four of eight bytes")
-    entries = _keyed(fps)
+    covering, least = (covering_triples(), max(4, 8 - radius)) if width == 1 else (covering_pairs(), 3)
+    entries = _keyed(fps, covering, width)
 
     def counted(entries: DataFrame) -> DataFrame:
         sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         return entries.join(sizes, "key")
 
     sized = counted(entries)
-    long = counted(_rekeyed(sized.where(F.col("n") > bound)))
-    grouped = _blocks(sized.where(F.col("n") <= bound), bound).unionByName(_blocks(long, bound))
+    long = counted(_rekeyed(sized.where(F.col("n") > bound), covering, width))
+    grouped = _blocks(sized.where(F.col("n") <= bound), bound, width).unionByName(_blocks(long, bound, width))
     lists = grouped.groupBy("key", "i", "j").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    ends = [f"{end}{i}" for end in "ab" for i in range(width)]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
-            offsets, values = np.asarray(lists.offsets), lists.values.to_numpy()
+            offsets, values = np.asarray(lists.offsets), np.column_stack([lists.values.field(i).to_numpy() for i in range(width)])
             sizes = np.diff(offsets)
             twos = offsets[:-1][sizes == 2]
-            a, b = values[twos], values[twos + 1]
-            near = near_by(a ^ b, radius)
-            found = list(zip(a[near].tolist(), b[near].tolist(), strict=True))
-            for k in np.flatnonzero(sizes > 2):
-                found += spanning_links(np.sort(values[offsets[k] : offsets[k + 1]]), radius)
-            ends = np.array(found, dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
-
-    return lists.mapInArrow(linked, "a long, b long").distinct()
+            near = twos[near_by(values[twos] ^ values[twos + 1], radius, least)]
+            found = [np.column_stack([near, near + 1])]
+            for k in np.flatnonzero(sizes > 2).tolist():
+                own = values[offsets[k] : offsets[k + 1]]
+                order = np.lexsort(own.T[::-1])
+                pairs = np.array(spanning_links(own[order], radius, least), dtype=np.int64).reshape(-1, 2)
+                found.append(offsets[k] + order[pairs])
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(values[pairs[:, side], i]) for side in (0, 1) for i in range(width)], ends)
+
+    found = lists.mapInArrow(linked, ", ".join(f"{end} long" for end in ends)).distinct()
+    return found.select(*(_node(end, width).alias(end) for end in "ab"))
+
+
+def _node(prefix: str, width: int):
+    """A fingerprint as the node of a link."""
+    if width == 1:
+        return F.col(f"{prefix}0")
+    return F.concat(*(F.lpad(F.hex(f"{prefix}{i}"), 16, "0") for i in range(width)))
+
+
+def _salted(hashed: DataFrame) -> DataFrame:
+    """Rows stored with a salt, so that what joins by fingerprint and salt has no hot key."""
+    number = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.monotonically_increasing_id())
+    return materialise(hashed.withColumn("salt", F.pmod(number, F.lit(SALTS)).cast("int")))
+
+
+def _labelled(hashed: DataFrame, radius: int, width: int) -> DataFrame:
+    """Stored rows (doc_id, fingerprint, salt) with component_id, the smallest doc_id that links reach."""
+    fp = names(width)
+    groups = materialise(hashed.groupBy(*fp, "salt").agg(F.min("doc_id").alias("first")))
+    fps = materialise(groups.groupBy(*fp).agg(F.min("first").alias("first")))
+    components = connected_components(links(fps.select(*fp), radius, width=width))
+    # Only fingerprints with a link can take another document's id.
+    nodes = fps.withColumn("node", _node("fp", width))
+    members = components.join(nodes, "node")
+    roots = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = members.join(roots, "root").select(*fp, "component_id")
+    labels = fps.join(named, fp, "left").select(*fp, F.coalesce("component_id", "first").alias("component_id"))
+    # A fingerprint's documents are met by its label at SALTS keys, not at one.
+    return hashed.join(groups.select(*fp, "salt").join(labels, fp), [*fp, "salt"]).drop("salt")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, width: int = 1) -> DataFrame:
     """doc_id, fingerprint in hexadecimal, component_id: the smallest doc_id that links reach, itself included."""
-    hashed = materialise(fingerprints(docs, shingle))
-    fps = materialise(hashed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    components = connected_components(links(fps.select("fp"), radius))
-    # Only fingerprints with a link can take another document's id.
-    members = components.join(fps.select(F.col("fp").alias("node"), "first"), "node")
-    roots = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = members.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    hexadecimal = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return hashed.join(labels, "fp", "left").select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
+    hashed = _salted(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, width))
+    hexadecimal = F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in names(width))))
+    return _labelled(hashed, radius, width).select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
 
 
-def distinct_documents(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = SIMILAR, width: int = 2) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; all columns are kept.
 
-    Rows with one id are one document; rows without id cannot be told apart and all stay.
+    Of rows that share that id, all whose text is another stay if they are of other components, and of
+    those with its fingerprint the first in the order of their text; rows without id cannot be told
+    apart and all stay.
     """
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    key = names[docs.columns.index("doc_id")]
-    first = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = plain.join(first, key, "left_semi").dropDuplicates([key]).unionByName(plain.where(F.col(key).isNull()))
-    return kept.toDF(*docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    key, text = (f"c{docs.columns.index(name)}" for name in ("doc_id", "text"))
+    told = plain.withColumn("doc_id", F.col(key).cast("long")).withColumn("text", F.col(text))
+    marked = materialise(fingerprints(told, shingle, width))
+    fp = names(width)
+    labelled = _labelled(_salted(marked.select("doc_id", *fp)), radius, width).where("doc_id is not null")
+    # Of a component the row of the smallest id, and of several with it that of the smallest fingerprint.
+    firsts = labelled.where("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct(*fp)).alias("fp"), F.count("*").alias("n")).select(F.col("component_id").alias("doc_id"), "fp.*", "n")
+    kept = marked.join(firsts, ["doc_id", *fp])
+    others = [F.xxhash64(*[c for c in plain.columns if c != text])] if len(plain.columns) > 1 else []
+    single = kept.where("n = 1").select(*plain.columns)
+    several = kept.where("n > 1").groupBy("doc_id", *fp).agg(F.min_by(F.struct(*plain.columns), F.struct(text, *others)).alias("row")).select("row.*")
+    return single.unionByName(several).unionByName(marked.where("doc_id is null").select(*plain.columns)).toDF(*docs.columns)

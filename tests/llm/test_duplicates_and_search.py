@@ -46,7 +46,7 @@ def test_near_duplicates(spark):
     want = {k + 10: (f"{fps[k]:016x}", roots[k] + 10) for k in range(len(texts))}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in found if r.doc_id is not None} == want
     assert len(found) == len(rows) and [r.component_id for r in found if r.doc_id is None] == [want[17][1]]
-    kept = sorted(r.doc_id for r in simhash.distinct_documents(docs).collect() if r.doc_id is not None)
+    kept = sorted(r.doc_id for r in simhash.distinct_documents(docs, 4, 4, 1).collect() if r.doc_id is not None)
     assert kept == sorted(set(c for _, c in want.values())) and simhash.distinct_documents(docs).columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).count() == simhash.distinct_documents(docs.limit(0)).count() == 0
 
@@ -61,12 +61,64 @@ def test_links_keep_components_however_long_the_lists(spark, bound):
             flips = rng.choice(63, size=rng.integers(1, 8), replace=False)
             members.add(int(c) ^ int(sum(1 << int(f) for f in flips)))
     values = sorted(members)
-    found = connected_components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 4, bound))
+    found = connected_components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp0 long"), 4, bound))
     roots = {r.node: r.root for r in found.collect()}
     want = plain_components(values, 4)
     assert [roots.get(v, v) for v in values] == [values[w] for w in want]
 
 
+@pytest.mark.parametrize("bound", [3, 1024])
+def test_wide_links_pass_the_tally_and_the_bits(spark, bound):
+    rng = np.random.default_rng(5)
+    values = []
+    for c in rng.integers(0, 256, (5, 16), dtype=np.uint8):
+        for flips in (0, 3, 10, 18, 24, 30, 12, 6):
+            own = np.unpackbits(c)
+            own[rng.choice(128, flips, replace=False)] ^= 1
+            values.append(np.packbits(own).view(np.int64).tolist())
+    found = connected_components(simhash.links(spark.createDataFrame(values, "fp0 long, fp1 long"), 24, bound, 2))
+    roots = {r.node: r.root for r in found.collect()}
+    names = ["".join(f"{v & (1 << 64) - 1:016X}" for v in pair) for pair in values]
+    label = list(range(len(values)))
+    for i in range(len(values)):
+        for j in range(i):
+            xor = np.array(values[i]) ^ np.array(values[j])
+            if (xor.view(np.uint8) == 0).sum() >= 3 and np.bitwise_count(xor.view(np.uint64)).sum() <= 24:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    own = [roots.get(n, n) for n in names]
+    assert all((own[i] == own[j]) == (label[i] == label[j]) for i in range(len(own)) for j in range(i))
+
+
+def test_one_document_of_each_group_of_similar_ones_stays(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    rows, similar = [], {}
+    for k in range(40):
+        text = rng.choices(words, k=400)
+        rows.append((10 * k, " ".join(text)))
+        for n in (1, 2):
+            other = list(text)
+            for at in rng.sample(range(400), 1):  # at most 5 of 396 shingles each
+                other[at] = "x"
+            rows.append((10 * k + n, " ".join(other)))
+    rows += [(5, "a b c"), (5, "a b c"), (5, "d e f"), (None, "a b c"), (None, None), (0, rows[0][1])]
+    docs = spark.createDataFrame([(d, t, "c", d) for d, t in rows], "doc_id long, text string, fp0 string, salt long").repartition(3)
+    kept = simhash.distinct_documents(docs)
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    clean = [(10 * k, dict(rows)[10 * k]) for k in range(1, 40)] + [(0, rows[0][1]), (5, "a b c"), (5, "d e f"), (None, "a b c"), (None, None)]
+    assert found == sorted(clean, key=str) and kept.columns == docs.columns
+    assert simhash.distinct_documents(docs.limit(0)).count() == 0
+
+
+def test_long_text_in_stretches(monkeypatch):
+    rng = random.Random(1)
+    text = " ".join(rng.choices("ab cd ef gh".split(), k=5000))
+    whole = simhash.fingerprint(text), simhash.fingerprint(text, 5, 2)
+    monkeypatch.setattr(simhash, "STRETCH", 37)
+    assert whole == (simhash.fingerprint(text), simhash.fingerprint(text, 5, 2)) and whole[0] == (plain_fingerprint(text),)
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(40).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(100, 101), (101, 100), (7, 7)], "a long, b long"))
     roots = {r.node: r.root for r in connected_components(links).collect()}
