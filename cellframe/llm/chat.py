@@ -2,120 +2,187 @@
 
 Calls meet their results in a hash join on the identifier; results that share one are reduced to one
 first, so the join cannot multiply.  The order is that of a topological sort: a call's level is one
-more than the highest of the calls that it depends on; calls that hang together are ordered together.
-Arguments are validated against the schema of the call's tool, joined by name, and each call is
-written as JSON with sorted keys, no white space and shortest numbers, so equal calls are equal text.
+more than the highest of the calls that it depends on.  Calls are cut into blocks of bounded size that
+keep a conversation's neighboring calls together, however long the conversation; a task orders what it
+can of its block, and levels that another block waits for reach it in the next round.  Arguments are
+validated against the schema of the call's tool, joined by name, and each call is written as JSON with
+sorted keys and no white space; numbers without fraction are whole, others have the fewest digits that
+give them back, so equal calls are equal text.
 
 Defined cases: a call without result is ``unanswered``; of several results the first in the order of
 their text stands and their number is told; dependencies on calls that are not there are ignored; calls
 on a cycle, or behind one, are ``cyclic`` and have no level; a call whose arguments are null or no JSON
-object, or break the schema, is ``invalid``; one whose tool has no schema is ``unknown``; calls that
-share an identifier are linked each, to the same result, at the same level; calls without identifier
-have no result; an empty table gives an empty result; further columns are ignored.
+object, or break the schema, is ``invalid``; NaN, infinities, numbers beyond a double and arguments that
+are nested too deeply to be read count as no JSON; half a surrogate pair stays as its escape.  A call
+whose tool has no schema, or one that is no JSON object, is ``unknown``; a property's rule that is no
+object or names no known type allows any value, a list of types any of them.  Calls that share an
+identifier are linked each, to the same result, at the same level; calls without identifier have no
+result; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import materialise
-from cellframe.llm.components import connected_components
+from cellframe.llm.common import discard, materialise
 
 #: JSON types by the names that schemas use.
-TYPES = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,)}
+TYPES = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,), "null": (type(None),)}
+#: Calls of a block, which one task orders.
+BLOCK = 50_000
+_halves = re.compile("[\ud800-\udfff]")
 
 
-#: Dependencies of calls that hang together, up to which one task orders them.
-COMPONENT = 100_000
+def canonical(value: object) -> str:
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _halves.sub(lambda half: f"\\u{ord(half[0]):04x}", text)
 
 
-def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def _number(text: str) -> int | float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError("beyond a double")
+    return int(value) if value.is_integer() and abs(value) < 1 << 53 else value
+
+
+def _no_number(text: str) -> None:
+    raise ValueError(f"{text} is no JSON")
+
+
+def parsed(text: str) -> object:
+    """The JSON value of ``text``; ValueError if it is none or nested too deeply."""
+    try:
+        value = json.loads(text, parse_float=_number, parse_constant=_no_number)
+        canonical(value)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    return value
+
 
+@lru_cache(maxsize=1024)
+def rules_of(schema: str | None) -> dict | None:
+    """The rules {name: {"type", "required"}} of a schema; None if there is none."""
+    try:
+        rules = parsed(schema) if schema is not None else None
+    except ValueError:
+        return None
+    return rules if isinstance(rules, dict) else None
+
+
+def fits(value: object, kind: object) -> bool:
+    """Whether a value is of a schema's type, a name or a list of names; names that mean nothing allow all."""
+    if isinstance(kind, list):
+        return any(fits(value, k) for k in kind)
+    if not isinstance(kind, str) or kind not in TYPES:
+        return True
+    return isinstance(value, TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool))
 
-def violations(arguments: str | None, schema: str | None) -> tuple[object, list[str]]:
-    """The parsed arguments and what in them breaks the schema, {name: {"type", "required"}}."""
+
+def violations(arguments: str | None, rules: dict) -> tuple[object, list[str]]:
+    """The parsed arguments and what in them breaks the rules."""
     try:
-        value = json.loads(arguments) if arguments is not None else None
+        value = parsed(arguments) if arguments is not None else None
     except ValueError:
         return None, ["arguments are no JSON"]
     if not isinstance(value, dict):
         return value, ["arguments are no object"]
-    rules = json.loads(schema) if schema else {}
-    found = [f"{name} is missing" for name, rule in sorted(rules.items()) if rule.get("required") and name not in value]
+    rules = {name: rule if isinstance(rule, dict) else {} for name, rule in rules.items()}
+    found = [f"{name} is missing" for name, rule in sorted(rules.items()) if rule.get("required") is True and name not in value]
     for name, own in sorted(value.items()):
         if name not in rules:
             found.append(f"{name} is not in the schema")
-        elif not isinstance(own, TYPES[rules[name]["type"]]) or isinstance(own, bool) and rules[name]["type"] != "boolean":
-            found.append(f"{name} is no {rules[name]['type']}")
-    return value, found
+        elif not fits(own, kind := rules[name].get("type")):
+            found.append(f"{name} is no {' or '.join(map(str, kind)) if isinstance(kind, list) else kind}")
+    return value, [_halves.sub("?", x) for x in found]
 
 
-def _ordered(edges: list[tuple[str, str]]) -> dict[str, int]:
-    """Levels of one component's calls from (call, what it needs); calls on or behind a cycle are left out."""
-    needs: dict[str, int] = {}
+def _ordered(edges: list[tuple[str, str, int | None]]) -> dict[str, int]:
+    """Levels of the calls that (call, what it needs, that one's level if known) settle."""
+    level: dict[str, int] = {}
+    waits: dict[str, int] = {}
     above: dict[str, list[str]] = {}
-    for call, dep in edges:
-        needs[call] = needs.get(call, 0) + 1
-        needs.setdefault(dep, 0)
-        above.setdefault(dep, []).append(call)
-    ready, found = [c for c, n in needs.items() if not n], {}
-    level = 0
+    for call, dep, known in edges:
+        level.setdefault(call, 0)
+        if known is None:
+            waits[call] = waits.get(call, 0) + 1
+            above.setdefault(dep, []).append(call)
+        else:
+            level[call] = max(level[call], known + 1)
+    ready, found = [c for c in level if c not in waits], {}
     while ready:
-        found.update(dict.fromkeys(ready, level))
-        following = []
-        for done in ready:
-            for call in above.get(done, ()):
-                needs[call] -= 1
-                if not needs[call]:
-                    following.append(call)
-        ready, level = following, level + 1
+        done = ready.pop()
+        found[done] = level[done]
+        for call in above.get(done, ()):
+            level[call] = max(level[call], level[done] + 1)
+            waits[call] -= 1
+            if not waits[call]:
+                ready.append(call)
     return found
 
 
-def _by_rounds(edges: DataFrame) -> DataFrame:
-    """Levels of components of any size, level by level over the whole table."""
-    nodes = edges.select("call_id").union(edges.select("dep")).distinct()
-    ready = materialise(nodes.join(edges, "call_id", "left_anti"))
-    waiting = materialise(edges.groupBy("call_id").agg(F.count("*").alias("open")))
-    level, done = 0, nodes.where("false").withColumn("level", F.lit(0))
-    while ready.limit(1).count():
-        done = done.unionByName(ready.withColumn("level", F.lit(level)))
-        met = edges.join(ready.select(F.col("call_id").alias("dep")), "dep").groupBy("call_id").agg(F.count("*").alias("met"))
-        left = materialise(waiting.join(met, "call_id", "left").select("call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
-        ready, waiting = left.where("open = 0").select("call_id"), left.where("open > 0")
-        level += 1
-    return done
+def _order_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels that the open edges (block, call_id, dep, known), block after block, settle."""
+    held: list[tuple] = []
+    at = None
 
+    def levels_of(edges: list[tuple]) -> pa.RecordBatch:
+        found = _ordered(edges)
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], ["call_id", "level"])
 
-def levels(calls: DataFrame, bound: int = COMPONENT) -> DataFrame:
-    """call_id and level from calls (call_id, depends_on); ids on or behind a cycle have none.
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if blocks[a] != at and held:
+                yield levels_of(held)
+                held = []
+            at = blocks[a]
+            held += zip(*(batch.column(k).slice(a, b - a).to_pylist() for k in (1, 2, 3)), strict=True)
+    if held:
+        yield levels_of(held)
 
-    Calls that hang together are ordered in one task if they have at most ``bound`` dependencies; what is
-    larger is ordered level by level over the whole table.
-    """
-    nodes = materialise(calls.select("call_id").where("call_id is not null").distinct())
-    edges = calls.select("call_id", F.explode("depends_on").alias("dep")).where("dep is not null").distinct()
-    edges = materialise(edges.join(nodes.select(F.col("call_id").alias("dep")), "dep").join(nodes, "call_id", "left_semi").select("call_id", "dep"))
-    roots = connected_components(edges.select(F.col("call_id").alias("a"), F.col("dep").alias("b"))).select(F.col("node").alias("call_id"), "root")
-    rooted = edges.join(roots, "call_id", "left").withColumn("root", F.coalesce("root", "call_id"))
-    sized = materialise(rooted.join(rooted.groupBy("root").agg(F.count("*").alias("n")), "root"))
 
-    def order(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_ordered(list(zip(group["call_id"], group["dep"], strict=True))).items(), columns=["call_id", "level"])
+def levels(calls: DataFrame, bound: int = BLOCK) -> DataFrame:
+    """call_id and level from calls (conversation, call_id, depends_on); ids on or behind a cycle have none.
 
-    found = sized.where(F.col("n") <= bound).groupBy("root").applyInPandas(order, "call_id string, level int")
-    large = sized.where(F.col("n") > bound).select("call_id", "dep")
-    if large.limit(1).count():
-        found = found.unionByName(_by_rounds(large))
-    alone = nodes.join(edges.select("call_id").union(edges.select("dep")), "call_id", "left_anti").withColumn("level", F.lit(0))
-    return found.unionByName(alone)
+    Rounds are as many as the most blocks that one dependency leads through: one where conversations are
+    shorter than a block, and as many as a longer one has blocks where its calls are in order.
+    """
+    own = calls.where("call_id is not null").withColumn("call_id", F.col("call_id").cast("string"))
+    ids = materialise(own.groupBy("call_id").agg(F.min(F.coalesce(F.col("conversation").cast("string"), F.lit(""))).alias("conversation")))
+    parts = max(1, -(-ids.count() // bound))
+    ranged = ids.repartitionByRange(parts, "conversation", F.length("call_id"), "call_id")
+    nodes = materialise(ranged.select("call_id", F.spark_partition_id().alias("block")))
+    pairs = own.select("call_id", F.explode(F.col("depends_on").cast("array<string>")).alias("dep")).where("dep is not null").distinct()
+    pairs = materialise(pairs.join(nodes.select(F.col("call_id").alias("dep")), "dep").join(nodes, "call_id").select("block", "call_id", "dep"))
+    free = nodes.select("call_id").join(pairs, "call_id", "left_anti").withColumn("level", F.lit(0))
+    solved, edges = materialise(free), pairs.withColumn("known", F.lit(None).cast("int"))
+    done = [solved]
+    while True:
+        # What the last round settled is told to the calls that wait for it, and its own edges go.
+        told = solved.select(F.col("call_id").alias("dep"), F.col("level").alias("_level"))
+        left = edges.join(told, "dep", "left").withColumn("known", F.coalesce("known", "_level")).join(solved.select("call_id"), "call_id", "left_anti")
+        edges = materialise(left.select("block", "call_id", "dep", "known"))
+        solved = materialise(edges.repartition("block").sortWithinPartitions("block").mapInArrow(_order_blocks, "call_id string, level int"))
+        if not solved.limit(1).count():
+            break
+        done.append(solved)
+    discard(ids)
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -133,11 +200,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         for batch in batches:
             rows = {"status": [], "errors": [], "message": []}
             for x in batch.to_pylist():
-                value, errors = violations(x["arguments"], x["schema"])
-                unknown = x["schema"] is None
-                states = (("unknown", unknown), ("invalid", bool(errors)), ("cyclic", x["level"] is None and x["call_id"] is not None), ("unanswered", x["n_results"] is None))
+                own = rules_of(x["schema"])
+                value, errors = violations(x["arguments"], own or {})
+                states = (("unknown", own is None), ("invalid", bool(errors)), ("cyclic", x["level"] is None and x["call_id"] is not None), ("unanswered", x["n_results"] is None))
                 rows["status"].append(next((name for name, holds in states if holds), "ok"))
-                rows["errors"].append([] if unknown else errors)
+                rows["errors"].append([] if own is None else errors)
                 rows["message"].append(canonical({"arguments": value, "id": x["call_id"], "name": x["name"], "result": x["content"]}))
             columns = [batch.column(i) for i in (0, 1, 2)] + [pa.array(rows["status"], pa.string()), pa.array(rows["errors"], pa.list_(pa.string())), batch.column(3), pa.array(rows["message"], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["conversation", "call_id", "level", "status", "errors", "n_results", "message"])

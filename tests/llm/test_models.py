@@ -185,7 +185,7 @@ def test_tool_calls(spark):
     assert (by["3"].level, by["3"].errors, by["3"].n_results) == (2, ["arguments are no object"], 1)
     assert by["4"].errors == ["arguments are no JSON"] and by["5"].status == by["9"].status == "unknown"
     assert by["6"].status == by["7"].status == "cyclic" and by["6"].level is None and by[None].errors == ["z is not in the schema"]
-    for bound in (0, 2, 100):
+    for bound in (1, 2, 100):
         assert {r.call_id: r.level for r in chat.levels(args[0].where("call_id is not null"), bound).collect()} == {"1": 0, "2": 1, "3": 2, "4": 0, "5": 0, "9": 0}
     assert chat.link(*(a.limit(0) for a in args)).count() == 0
     talk = spark.createDataFrame([(1, 0, "system", "s", 9), (1, 1, "user", "ü\n", 9), (1, 2, "assistant", "ok", 9), (1, 3, "user", None, 9), (None, 0, "user", "x", 9), (1, 4, None, "y", 9)], "conv_id long, turn long, role string, text string, level int")
@@ -194,6 +194,30 @@ def test_tool_calls(spark):
     assert found["1:3"][:2] == (2, "invalid") and len(found) == 4
 
 
+def test_arguments_and_schemas_that_are_odd(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    rules = {"loose": {"v": {}}, "null": {"v": {"type": "null"}}, "either": {"v": {"type": ["string", "null"]}}, "what": {"v": {"type": "what"}}, "flat": {"v": 3}, "number": {"v": {"type": "integer"}}}
+    schemas = [(k, json.dumps(v), 7) for k, v in rules.items()] + [("list", "[1]", 7), ("broken", "{", 7), ("none", None, 7), ("deep", deep, 7)]
+    arguments = [("loose", '{"v":"\\ud800"}'), ("loose", '{"v":' + deep + "}"), ("loose", '{"v":NaN}'), ("loose", '{"v":-Infinity}'), ("loose", '{"v":1e999}'), ("loose", '{"v":[1.0,100.0,-0.0,1e3,0.1,1.5e300]}'), ("null", '{"v":null}'), ("null", '{"v":0}'), ("either", '{"v":null}'), ("either", '{"v":1}'), ("what", '{"v":[]}'), ("flat", '{"v":{}}'), ("number", '{"v":2.0}'), ("number", '{"v":true}'), ("list", '{"v":1}'), ("broken", "{}"), ("none", "{}"), ("deep", "{}"), ("loose", '{"\\ud801":1}')]
+    calls = spark.createDataFrame([("c", f"{k:02}", name, text, [], 1.0) for k, (name, text) in enumerate(arguments)], "conversation string, call_id string, name string, arguments string, depends_on array<string>, level double")
+    results = spark.createDataFrame([("00", "r", "x")], "call_id string, content string, name string")
+    rows = sorted(chat.link(calls, results, spark.createDataFrame(schemas, "name string, schema string, level int")).collect(), key=lambda r: r.call_id)
+    states = ["ok", "invalid", "invalid", "invalid", "invalid", "unanswered", "unanswered", "invalid", "unanswered", "invalid", "unanswered", "unanswered", "unanswered", "invalid", "unknown", "unknown", "unknown", "unknown", "invalid"]
+    assert [r.status for r in rows] == states
+    assert '"v":"\\ud800"' in rows[0].message and '"v":[1,100,0,1000,0.1,1.5e+300]' in rows[5].message and rows[9].errors == ["v is no string or null"]
+    assert all(json.loads(r.message, parse_constant=lambda c: pytest.fail(c)) for r in rows)
+
+
+def test_levels_of_a_long_conversation_in_many_blocks(spark):
+    rng = random.Random(9)
+    needs = {k: rng.sample(range(max(0, k - 30), k), min(k, rng.randint(0, 3))) for k in range(2000)}
+    calls = spark.createDataFrame([("c", f"c:{k}", [f"c:{d}" for d in own]) for k, own in needs.items()], "conversation string, call_id string, depends_on array<string>")
+    want = {}
+    for k, own in needs.items():
+        want[f"c:{k}"] = 1 + max((want[f"c:{d}"] for d in own), default=-1)
+    assert {r.call_id: r.level for r in chat.levels(calls, 300).collect()} == want
+
+
 def test_pipeline_equals_its_stages_in_plain(spark, tmp_path, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -214,8 +238,8 @@ def test_pipeline_equals_its_stages_in_plain(spark, tmp_path, docs):
     rows = [r for r in rows if r.doc_id in good]
     first = {}
     for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id):
-        f = simhash.fingerprint(r.text)
-        if not any(bin(f ^ g).count("1") <= 4 for g in first.values()):
+        f = simhash.fingerprint(r.text, 5, 2)
+        if not any(sum(bin(x ^ y).count("1") for x, y in zip(f, g, strict=True)) <= simhash.SIMILAR for g in first.values()):
             first[r.doc_id] = f
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     lengths = {r.doc_id: len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in rows if r.doc_id in first or r.doc_id is None}
