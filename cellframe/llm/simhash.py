@@ -229,7 +229,7 @@ def _salted(hashed: DataFrame) -> DataFrame:
 
 
 def _labelled(hashed: DataFrame, radius: int, width: int) -> DataFrame:
-    """Stored rows (doc_id, fingerprint, salt) with component_id, the smallest doc_id that links reach."""
+    """Stored rows (doc_id, fingerprint, salt) with their component's node ``root`` and component_id, the smallest doc_id that links reach."""
     fp = names(width)
     groups = materialise(hashed.groupBy(*fp, "salt").agg(F.min("doc_id").alias("first")))
     fps = materialise(groups.groupBy(*fp).agg(F.min("first").alias("first")))
@@ -238,8 +238,9 @@ def _labelled(hashed: DataFrame, radius: int, width: int) -> DataFrame:
     nodes = fps.withColumn("node", _node("fp", width))
     members = components.join(nodes, "node")
     roots = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = members.join(roots, "root").select(*fp, "component_id")
-    labels = fps.join(named, fp, "left").select(*fp, F.coalesce("component_id", "first").alias("component_id"))
+    named = members.join(roots, "root").select(*fp, "root", "component_id")
+    alone = F.col("root").isNull()
+    labels = nodes.join(named, fp, "left").select(*fp, F.coalesce("root", "node").alias("root"), F.when(alone, F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
     # A fingerprint's documents are met by its label at SALTS keys, not at one.
     return hashed.join(groups.select(*fp, "salt").join(labels, fp), [*fp, "salt"]).drop("salt")
 
@@ -265,7 +266,7 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = SIMILAR,
     fp = names(width)
     labelled = _labelled(_salted(marked.select("doc_id", *fp)), radius, width).where("doc_id is not null")
     # Of a component the row of the smallest id, and of several with it that of the smallest fingerprint.
-    firsts = labelled.where("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct(*fp)).alias("fp"), F.count("*").alias("n")).select(F.col("component_id").alias("doc_id"), "fp.*", "n")
+    firsts = labelled.where("doc_id = component_id").groupBy("root", "doc_id", *fp).agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("doc_id", *fp, "n")).alias("row")).select("row.*")
     kept = marked.join(firsts, ["doc_id", *fp])
     others = [F.xxhash64(*[c for c in plain.columns if c != text])] if len(plain.columns) > 1 else []
     single = kept.where("n = 1").select(*plain.columns)
