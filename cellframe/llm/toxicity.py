@@ -10,12 +10,16 @@ number and share of such windows into a score.
 
 Labels are learnt from a bounded sample: ``sample`` documents of either class, chosen by a hash of the
 id, of near copies one (passages would otherwise be frequent because their document is copied).
-Passages are counted over that sample in Spark; what comes to the driver is the dictionaries' content
-and a row of counts per sampled document.
+Passages are counted over that sample in Spark; what comes to the driver is the dictionaries' content,
+which takes every passage and word that was learnt, and a row of counts per sampled document.
+
+zstandard's own trainer is not used: it fills dictionaries with what is frequent, and what is frequent
+in toxic text is mostly ordinary (the README has its figures).
 
 Defined cases: null and empty texts have no window and score as a clean text; rows without label
-train nothing; without labels of both classes every text scores 0; repeated rows repeat; an empty
-table gives an empty result; further columns are ignored.
+train nothing; without labels of both classes every text scores 0; repeated rows repeat; a long
+text is scored whole, and so is a long word, in windows; an empty table gives an empty result; further
+columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +44,8 @@ GRAM = 6
 WINDOW = 128
 #: Share of a class's documents that hold a passage, and its rate against the other class.
 LEAST_SHARE, LEAST_RATIO = 0.008, 50.0
-#: Bytes of a dictionary, and ordinary words with the same beginning or end that it takes.
-DICTIONARY, ALIKE = 8192, 16
+#: Ordinary words with the same beginning or end that the ordinary dictionary takes.
+ALIKE = 16
 #: Calibrated choices: bytes saved against the ordinary dictionary, bytes over the length of a covered window.
 SAVINGS, SLACKS = (2, 3, 4, 5, 6), (0, 1, 2)
 #: Windows whose lengths a worker remembers; beyond it forgets all, which changes no result.
@@ -87,8 +91,9 @@ class Lengths:
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         dictionary = zstandard.ZstdCompressionDict(content or b"~" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        reach = max(15, len(content).bit_length() + 1)
         how = zstandard.ZstdCompressionParameters(
-            strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=15, hash_log=14, chain_log=14, search_log=4, target_length=0,
+            strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=reach, hash_log=reach - 1, chain_log=reach - 1, search_log=4, target_length=0,
             write_content_size=False, write_dict_id=False, write_checksum=False,
         )
         dictionary.precompute_compress(compression_params=how)
@@ -125,7 +130,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     usable = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     sizes = usable.groupBy("toxic").agg(F.count("*").alias("_n"))  # two rows at most
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("_n") < F.lit(sample).cast("long") * (1 << 20)
-    ids = usable.join(F.broadcast(sizes), "toxic").where(part).select("doc_id", "toxic").limit(4 * sample)
+    ids = usable.join(F.broadcast(sizes), "toxic").where(part).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * sample)
     # The sample's bound makes the ids small enough to be sent to where the texts are.
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
 
@@ -187,10 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Toxicity:
     least = max(5.0, LEAST_SHARE * n)
     rate = (F.col("toxic_n") / n) / ((F.col("ordinary_n") + 0.5) / m)
     frequent = _counted(rows, _grams, "gram").where((F.col("toxic_n") >= least) & (rate >= LEAST_RATIO))
-    telling = frozenset(r["gram"] for r in frequent.orderBy(F.desc("toxic_n"), "gram").limit(8192).collect())
+    telling = frozenset(r["gram"] for r in frequent.orderBy(F.desc("toxic_n"), "gram").collect())
 
     passages = _counted(rows.where("toxic = 1"), lambda t, _: set(_passages(t, telling)), "passage").where("toxic_n >= 3")
-    toxic = [r["passage"] for r in passages.orderBy(F.desc("toxic_n"), "passage").limit(2048).collect()]
+    toxic = [r["passage"] for r in passages.orderBy(F.desc("toxic_n"), "passage").collect()]
     starts, ends = frozenset(p.strip()[:4] for p in toxic), frozenset(p.strip()[-4:] for p in toxic)
 
     def alike(text: str, _: int) -> set[str]:
@@ -200,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Toxicity:
     ranked = common
     for name, key in (("_start", F.substring("word", 1, 4)), ("_end", F.expr("right(word, 4)"))):
         ranked = ranked.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ordinary_n"), "word")))
-    ordinary = [spaced(r["word"]) for r in ranked.where((F.col("_start") <= ALIKE) | (F.col("_end") <= ALIKE)).orderBy(F.desc("ordinary_n"), "word").limit(2048).collect()]
+    ordinary = [spaced(r["word"]) for r in ranked.where((F.col("_start") <= ALIKE) | (F.col("_end") <= ALIKE)).orderBy(F.desc("ordinary_n"), "word").collect()]
     model = Toxicity(_content(toxic), _content(ordinary))
     if toxic:
         lengths = Lengths(model)
@@ -225,9 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Toxicity:
 
 
 def _content(passages: list[str]) -> bytes:
-    """The passages up to the dictionary's size, the most frequent nearest to the text."""
-    sizes = np.cumsum([len(edged(p).encode()) for p in passages])
-    return "".join(edged(p) for p in reversed(passages[: int((sizes <= DICTIONARY).sum())])).encode()
+    """The passages, the most frequent nearest to the text."""
+    return "".join(edged(p) for p in reversed(passages)).encode()
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -164,6 +165,18 @@ def test_toxicity(spark, docs):
     found = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
     held = [(found[d], t) for d, _, t in rows if d % 5 == 0]
     assert all((s >= 0.5) == (t == 1) for s, t in held) and all(0 <= s <= 1 for s, _ in held)
+    clashing = table.where("doc_id % 5 <> 0").selectExpr("doc_id", "toxic", "'x' as text", "1 as _n", "2 as a")
+    assert toxicity.train(table, clashing).toxic == model.toxic
+    # Plainly, window by window with zstandard itself, a long word among them.
+    compressed = [toxicity.Lengths._compressor(c).compress for c in (model.ordinary, model.toxic)]
+    texts = {**{d: t for d, t, _ in rows}, -1: "snorfel" * 100 + " snorfel", -2: "x " * 5000 + "grumpkin"}
+    plain = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    for r in toxicity.score(plain, model).collect():
+        words = [w[i : i + 128] for w in re.findall(r"[^\W\d_]+", texts[r.doc_id].lower()) for i in range(0, len(w), 128)]
+        pairs = [[len(c(f"    {w}    ".encode())) for c in compressed] for w in words]
+        count = sum(o - t >= model.saving and t <= model.covered + model.slack for o, t in pairs)
+        z = sum(w * x for w, x in zip(model.weights, [1.0, count > 0, math.log1p(count), min(1.0, 20 * count / len(words))], strict=True))
+        assert r.windows == count and r.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
     odd = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert odd[900] == odd[901] < 0.5 and len(odd) == docs.select("doc_id").distinct().count()
     nothing = toxicity.train(table, table.where("toxic = 1").select("doc_id", "toxic"))
