@@ -116,12 +116,12 @@ def automata(samples: dict[str, bytes]) -> Languages:
 def train(labelled: DataFrame, sample_docs: int = 96, sample_bytes: int = 400, all_docs: int = 768) -> Languages:
     """Automata from rows (doc_id, text, lang): of every language ``sample_docs`` documents, of all about ``all_docs`` at most."""
     usable = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))  # a row a language, as many as there will be automata
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))  # a row a language: as many as automata, which every task gets
     most = max(1, min(sample_docs, all_docs // max(1, sizes.count())))
     # Hash thinning leaves a few hundred rows of a language, however many it has, before rows are ranked.
     thin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.floor(F.col("_n") / (4 * most)))) == 0
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang").join(sizes, "lang").where(thin).withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", "lang", "_rank")
+    ids = usable.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(thin).withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", "lang", "_rank")
     # Both bounds make the ids small enough to be sent to where the texts are.
     long = STRETCH * sample_bytes
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - long)).cast("int") + 1
