@@ -1,4 +1,8 @@
-"""Per-atom structure from neighbor pairs: coordination, bonds, order, symmetry, shear, distribution."""
+"""Per-atom structure from neighborhoods: coordination, bonds, order, symmetry, shear, distribution.
+
+What depends on one atom's neighbors alone is computed for many atoms at once where their block lies,
+without a table of pairs.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.model import Cell
-from cellframe.operators.neighbors import ORDER, distinct_pairs, nearest, pairs
+from cellframe.operators.blocks import Block, ranked
+from cellframe.operators.neighbors import ORDER, in_surroundings, of_nearest, pairs
 
 #: Nearer images are the same point.
 COINCIDENT = 1e-24
@@ -19,8 +23,16 @@ COINCIDENT = 1e-24
 
 def coordination(atoms: DataFrame, cell: Cell, cutoff: float) -> DataFrame:
     """frame_index, row_idx, coordination: other atoms within the cutoff, each counted once."""
-    counts = distinct_pairs(pairs(atoms, cell, cutoff)).groupBy("frame_index", F.col("i").alias("row_idx")).agg(F.count("*").alias("c"))
-    return atoms.select("frame_index", "row_idx").join(counts, ["frame_index", "row_idx"], "left").select("frame_index", "row_idx", F.coalesce("c", F.lit(0)).cast("int").alias("coordination"))
+
+    def each(block: Block) -> Iterator[dict[str, np.ndarray]]:
+        counts = np.zeros(len(block.rows), dtype=np.int32)
+        for i, j, _, _ in block.pairs(cutoff):
+            others = np.unique(np.column_stack([i, block.rows[j]]), axis=0)
+            others = others[block.rows[others[:, 0]] != others[:, 1]]
+            counts += np.bincount(others[:, 0], minlength=len(counts)).astype(np.int32)
+        yield {"row_idx": block.rows[block.centres], "coordination": counts[block.centres]}
+
+    return in_surroundings(atoms, cell, cutoff, each, "frame_index int, row_idx long, coordination int")
 
 
 def histogram_of(table: DataFrame, value: str) -> DataFrame:
@@ -81,22 +93,34 @@ def angle_histogram(angles: DataFrame, bins: int) -> DataFrame:
     return on_spine(counts, bins).select("bin", (F.col("bin") * 180.0 / bins).alias("lower"), ((F.col("bin") + 1) * 180.0 / bins).alias("upper"), "count")
 
 
+#: Exponents of x, y, z of the moments of degree 2, 4 and 6, and how often each stands in the power of a product.
+MOMENTS = {p: [(a, b, p - a - b, math.factorial(p) // math.factorial(a) // math.factorial(b) // math.factorial(p - a - b)) for a in range(p + 1) for b in range(p + 1 - a)] for p in (2, 4, 6)}
+
+
 def bond_order(atoms: DataFrame, cell: Cell, cutoff: float) -> DataFrame:
     """frame_index, row_idx, bondStatisticsCoordination, bondQ4, bondQ6; NaN without neighbors.
 
-    By the addition theorem Q_l^2 is the mean of P_l over all ordered pairs of neighbors, each with itself included.
+    By the addition theorem Q_l^2 is the mean of P_l over all ordered pairs of neighbors; the sums of
+    powers of their cosines are squares of the neighbors' moments, so no pairs of neighbors are made.
     """
-    found = pairs(atoms, cell, cutoff).where(F.col("d2") > COINCIDENT)
-    counts = found.groupBy("frame_index", "i").agg(F.count("*").alias("n"))
-    c = F.col("cosine")
-    p4 = (35 * F.pow(c, 4) - 30 * c * c + 3) / 8
-    p6 = (231 * F.pow(c, 6) - 315 * F.pow(c, 4) + 105 * c * c - 5) / 16
-    sums = bond_angles(atoms, cell, cutoff).groupBy("frame_index", "i").agg(F.sum(p4).alias("s4"), F.sum(p6).alias("s6"))
-    joined = counts.join(sums, ["frame_index", "i"], "left").fillna(0.0, ["s4", "s6"])
-    q = lambda s: F.sqrt(F.greatest(F.lit(0.0), (F.col("n") + 2 * F.col(s)) / (F.col("n") * F.col("n"))))
-    own = joined.select("frame_index", F.col("i").alias("row_idx"), F.col("n").cast("int").alias("c"), q("s4").alias("q4"), q("s6").alias("q6"))
-    nan = F.lit(float("nan"))
-    return atoms.select("frame_index", "row_idx").join(own, ["frame_index", "row_idx"], "left").select("frame_index", "row_idx", F.coalesce("c", F.lit(0)).alias("bondStatisticsCoordination"), F.coalesce("q4", nan).alias("bondQ4"), F.coalesce("q6", nan).alias("bondQ6"))
+
+    def each(block: Block) -> Iterator[dict[str, np.ndarray]]:
+        n, powers = np.zeros(len(block.rows)), {p: np.zeros(len(block.rows)) for p in MOMENTS}
+        for i, _, vectors, d2 in block.pairs(cutoff):
+            apart = d2 > COINCIDENT
+            i, u = i[apart], vectors[apart] / np.sqrt(d2[apart])[:, None]
+            n += np.bincount(i, minlength=len(n))
+            for p, terms in MOMENTS.items():
+                for a, b, c, times in terms:
+                    powers[p] += times * np.bincount(i, u[:, 0] ** a * u[:, 1] ** b * u[:, 2] ** c, len(n)) ** 2
+        own = block.centres
+        n, s2, s4, s6 = n[own], *(powers[p][own] for p in (2, 4, 6))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            q4 = np.sqrt(np.maximum(0.0, (35 * s4 - 30 * s2 + 3 * n * n) / 8)) / n
+            q6 = np.sqrt(np.maximum(0.0, (231 * s6 - 315 * s4 + 105 * s2 - 5 * n * n) / 16)) / n
+        yield {"row_idx": block.rows[own], "bondStatisticsCoordination": n.astype(np.int32), "bondQ4": q4, "bondQ6": q6}
+
+    return in_surroundings(atoms, cell, cutoff, each, "frame_index int, row_idx long, bondStatisticsCoordination int, bondQ4 double, bondQ6 double")
 
 
 def rdf(atoms: DataFrame, cell: Cell, cutoff: float, bins: int, centre: str | None = None, target: str | None = None) -> DataFrame:
@@ -107,11 +131,19 @@ def rdf(atoms: DataFrame, cell: Cell, cutoff: float, bins: int, centre: str | No
         raise ValueError("The cutoff exceeds half of the smallest height of the cell")
     pick = lambda label: F.lit(True) if label is None else F.col("type_label") == label
     sizes = atoms.agg(F.count_if(pick(centre)).alias("nc"), F.count_if(pick(target)).alias("nt"), F.count_if(pick(centre) & pick(target)).alias("both"))
-    found = distinct_pairs(pairs(atoms, cell, cutoff, atoms.where(pick(centre))))
-    if target is not None:
-        found = found.join(atoms.where(pick(target)).select("frame_index", F.col("row_idx").alias("j")), ["frame_index", "j"], "left_semi")
-    at = F.floor(F.sqrt("d2") / cutoff * bins).cast("int")
-    counts = on_spine(found.select(at.alias("bin")).where(F.col("bin") < bins).groupBy("bin").agg(F.count("*").alias("count")), bins)
+    wanted = atoms.withColumn("_wanted", pick(target))
+
+    def each(block: Block) -> Iterator[dict[str, np.ndarray]]:
+        """Counts of a block; within half a height an atom has one image of another, and none of its own."""
+        counts, is_target = np.zeros(bins + 1, dtype=np.int64), block.also["_wanted"].to_numpy(zero_copy_only=False)
+        for _, j, _, d2 in block.pairs(cutoff):
+            at = np.floor(np.sqrt(d2[is_target[j]]) / cutoff * bins).astype(np.int64)
+            counts += np.bincount(np.minimum(at, bins), minlength=bins + 1)
+        found = np.flatnonzero(counts[:bins])
+        yield {"bin": found.astype(np.int32), "n": counts[found]}
+
+    found = in_surroundings(wanted, cell, cutoff, each, "frame_index int, bin int, n long", None if centre is None else wanted.where(pick(centre)), ("_wanted",))
+    counts = on_spine(found.groupBy("bin").agg(F.sum("n").alias("count")), bins)
     width = cutoff / bins
     shell = F.lit(4 / 3 * math.pi * width**3) * (F.pow(F.col("bin") + 1.0, 3) - F.pow(F.col("bin").cast("double"), 3))
     population = F.col("nc") * F.col("nt") - F.col("both")
@@ -148,93 +180,107 @@ def local_shear(atoms: DataFrame, cell: Cell, cutoff: float, subtract_mean: bool
 STRUCTURES = {0: "Other", 1: "FCC", 2: "HCP", 3: "BCC", 4: "ICO"}
 
 
-def _signatures(vectors: np.ndarray, bond2: float) -> list[tuple[int, int, int]]:
-    """For each neighbor: common neighbors, bonds among them, bonds of the longest chain of these."""
-    apart = ((vectors[:, None] - vectors[None]) ** 2).sum(axis=2)
-    bonded = (apart <= bond2) & ~np.eye(len(vectors), dtype=bool)
-    found = []
-    for k in range(len(vectors)):
-        common = np.flatnonzero(bonded[k])
-        edges = [(a, b) for n, a in enumerate(common) for b in common[n + 1 :] if bonded[a, b]]
-        left, longest = list(edges), 0
-        while left:  # bonds that hang together
-            reached, size = set(left.pop()), 1
-            grown = True
-            while grown:
-                grown = [e for e in left if reached & set(e)]
-                left = [e for e in left if e not in grown]
-                size += len(grown)
-                reached |= {x for e in grown for x in e}
-            longest = max(longest, size)
-        found.append((len(common), len(edges), longest))
+def signatures(vectors: np.ndarray, bond2: np.ndarray) -> np.ndarray:
+    """Of atoms (c, n, 3) for each neighbor: common neighbors, bonds among them, bonds of the largest set that hangs together."""
+    c, n, _ = vectors.shape
+    apart = ((vectors[:, :, None] - vectors[:, None]) ** 2).sum(axis=3)
+    bonded = (apart <= bond2[:, None, None]) & ~np.eye(n, dtype=bool)
+    among = bonded[:, None] & bonded[:, :, :, None] & bonded[:, :, None, :]  # atom, neighbor, two of its common neighbors
+    degree = among.sum(axis=3, dtype=np.int16)
+    label = np.broadcast_to(np.arange(n, dtype=np.int8), degree.shape)
+    while True:  # the smallest number that bonds reach
+        lower = np.minimum(label, np.where(among, label[:, :, None, :], np.int8(n)).min(axis=3))
+        if (lower == label).all():
+            break
+        label = lower
+    sizes = np.stack([np.where(label == k, degree, 0).sum(axis=2) for k in range(n)], axis=2)
+    return np.stack([bonded.sum(axis=2), degree.sum(axis=2) // 2, sizes.max(axis=2) // 2], axis=2)
+
+
+def classify(vectors: np.ndarray, have: np.ndarray, adaptive: bool, cutoff: float = 0.0) -> np.ndarray:
+    """Structures of atoms by the vectors (c, 14 at least, 3) to their neighbors, nearest first, and how many they have."""
+    found = np.zeros(len(vectors), dtype=np.int32)
+    lengths = np.sqrt((vectors**2).sum(axis=2))
+
+    def tallied(own: np.ndarray, n: int, bond2: np.ndarray):
+        known = signatures(vectors[own, :n], bond2)
+        return lambda a, b, c: (known == (a, b, c)).all(axis=2).sum(axis=1)
+
+    def bond2(own: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        return (mean * (1 + math.sqrt(2)) / 2) ** 2 if adaptive else np.full(len(own), cutoff**2)
+
+    own = np.flatnonzero(have >= 12 if adaptive else have == 12)
+    if len(own):
+        tally = tallied(own, 12, bond2(own, lengths[own, :12].mean(axis=1)))
+        fcc = tally(4, 2, 1)
+        found[own] = np.select([fcc == 12, (fcc == 6) & (tally(4, 2, 2) == 6), tally(5, 5, 5) == 12], [1, 2, 4], 0)
+    own = np.flatnonzero(((have >= 14) if adaptive else (have == 14)) & (found == 0))
+    if len(own):
+        mean = (lengths[own, :8].mean(axis=1) / math.sqrt(0.75) * 8 + lengths[own, 8:14].mean(axis=1) * 6) / 14
+        tally = tallied(own, 14, bond2(own, mean))
+        found[own[(tally(6, 6, 6) == 8) & (tally(4, 4, 4) == 6)]] = 3
     return found
 
 
-def classify(vectors: np.ndarray, adaptive: bool, cutoff: float = 0.0) -> int:
-    """Structure of an atom by the vectors to its neighbors, nearest first."""
-    lengths = np.sqrt((vectors**2).sum(axis=1))
+#: Atoms whose neighborhoods a task classifies at once.
+TOGETHER = 1024
 
-    def tallied(n: int, bond2: float) -> dict:
-        tally: dict[tuple, int] = {}
-        for s in _signatures(vectors[:n], bond2):
-            tally[s] = tally.get(s, 0) + 1
-        return tally
 
-    if (len(vectors) >= 12) if adaptive else len(vectors) == 12:
-        tally = tallied(12, (lengths[:12].mean() * (1 + math.sqrt(2)) / 2) ** 2 if adaptive else cutoff**2)
-        if tally.get((4, 2, 1)) == 12:
-            return 1
-        if tally.get((4, 2, 1)) == 6 and tally.get((4, 2, 2)) == 6:
-            return 2
-        if tally.get((5, 5, 5)) == 12:
-            return 4
-    if (len(vectors) >= 14) if adaptive else len(vectors) == 14:
-        mean = (lengths[:8].mean() / math.sqrt(0.75) * 8 + lengths[8:14].mean() * 6) / 14
-        tally = tallied(14, (mean * (1 + math.sqrt(2)) / 2) ** 2 if adaptive else cutoff**2)
-        if tally.get((6, 6, 6)) == 8 and tally.get((4, 4, 4)) == 6:
-            return 3
-    return 0
-
-
-def _by_atom(found: DataFrame) -> DataFrame:
-    """One row an atom with its neighbors in order; a neighborhood is bounded by k or the density."""
-    one = F.struct(*ORDER)
-    return found.groupBy("frame_index", F.col("i").alias("row_idx")).agg(F.array_sort(F.collect_list(one)).alias("near"))
-
-
-def _per_atom(grouped: DataFrame, name: str, kind: str, of) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = [of(np.array([[p["dx"], p["dy"], p["dz"]] for p in near])) for near in frame["near"]]
-            yield frame[["frame_index", "row_idx"]].assign(**{name: values})
-
-    return grouped.mapInPandas(run, f"frame_index int, row_idx long, {name} {kind}")
+def _by_thousands(of, *arrays: np.ndarray) -> np.ndarray:
+    return np.concatenate([of(*(a[at : at + TOGETHER] for a in arrays)) for at in range(0, len(arrays[0]), TOGETHER)])
 
 
 def cna(atoms: DataFrame, cell: Cell, cutoff: float | None = None) -> DataFrame:
     """frame_index, row_idx, structureType by common-neighbor analysis: adaptive, or with a fixed cutoff."""
-    found = nearest(atoms, cell, 14) if cutoff is None else pairs(atoms, cell, cutoff)
-    known = _per_atom(_by_atom(found), "structureType", "int", lambda v: classify(v, cutoff is None, cutoff or 0.0))
-    return atoms.select("frame_index", "row_idx").join(known, ["frame_index", "row_idx"], "left").fillna(0, ["structureType"])
-
-
-def opposite_pairing(vectors: np.ndarray) -> float:
-    """Pairs the vectors greedily by the smallest sums; their squares over twice the squared lengths."""
-    total = 2 * float((vectors**2).sum())
-    if len(vectors) < 2 or not total:
-        return 0.0
-    sums = ((vectors[:, None] + vectors[None]) ** 2).sum(axis=2)
-    a, b = np.triu_indices(len(vectors), 1)
-    free, found = np.ones(len(vectors), dtype=bool), 0.0
-    for k in np.lexsort((b, a, sums[a, b])):
-        if free[a[k]] and free[b[k]]:
-            free[a[k]] = free[b[k]] = False
-            found += float(sums[a[k], b[k]])
-    return found / total
+    schema = "frame_index int, row_idx long, structureType int"
+    if cutoff is None:
+
+        def each(block: Block, own: np.ndarray, places, vectors: np.ndarray, d2, have: np.ndarray) -> dict[str, np.ndarray]:
+            return {"row_idx": block.rows[own], "structureType": _by_thousands(lambda v, n: classify(v, n, True), vectors, have)}
+
+        return of_nearest(atoms, cell, 14, each, schema)
+
+    def within(block: Block) -> Iterator[dict[str, np.ndarray]]:
+        kinds = np.zeros(len(block.rows), dtype=np.int32)
+        for i, j, vectors, d2 in block.pairs(cutoff):
+            order, rank = ranked(block, i, j, vectors, d2)
+            own, have = np.unique(i[order], return_counts=True)
+            # Only atoms with twelve or fourteen neighbors can be of a kind.
+            near = np.zeros((len(own), 14, 3))
+            first = rank <= 14
+            near[np.repeat(np.arange(len(own)), have)[first], rank[first] - 1] = vectors[order][first]
+            kinds[own] = _by_thousands(lambda v, n: classify(v, n, False, cutoff), near, have)
+        yield {"row_idx": block.rows[block.centres], "structureType": kinds[block.centres]}
+
+    return in_surroundings(atoms, cell, cutoff, within, schema)
+
+
+def opposite_pairing(vectors: np.ndarray) -> np.ndarray:
+    """Of atoms (c, n, 3): pairs of vectors taken greedily by the smallest sums; their squares over twice the squared lengths."""
+    c, n, _ = vectors.shape
+    a, b = np.triu_indices(n, 1)
+    sums = ((vectors[:, a] + vectors[:, b]) ** 2).sum(axis=2)
+    free, found, rows = np.ones((c, n), dtype=bool), np.zeros(c), np.arange(c)
+    for k in np.argsort(sums, axis=1, kind="stable").T:
+        one, two = a[k], b[k]
+        take = free[rows, one] & free[rows, two]
+        free[rows[take], one[take]] = free[rows[take], two[take]] = False
+        found += np.where(take, sums[rows, k], 0.0)
+    total = 2 * (vectors**2).sum(axis=(1, 2))
+    return np.divide(found, total, out=np.zeros(c), where=total > 0)
 
 
 def centrosymmetry(atoms: DataFrame, cell: Cell, neighbors: int = 12) -> DataFrame:
-    """frame_index, row_idx, centralSymmetry over the given even number of nearest neighbors."""
+    """frame_index, row_idx, centralSymmetry over the given even number of nearest neighbors; 0 with fewer than two."""
     if neighbors < 2 or neighbors % 2:
         raise ValueError("Central symmetry needs an even number of neighbors")
-    return _per_atom(_by_atom(nearest(atoms, cell, neighbors)), "centralSymmetry", "double", opposite_pairing)
+
+    def each(block: Block, own: np.ndarray, places, vectors: np.ndarray, d2, have: np.ndarray) -> dict[str, np.ndarray]:
+        values = np.zeros(len(own))
+        for n in np.unique(have):
+            of = have == n
+            if n > 1:
+                values[of] = _by_thousands(opposite_pairing, vectors[of, :n])
+        return {"row_idx": block.rows[own], "centralSymmetry": values}
+
+    return of_nearest(atoms, cell, neighbors, each, "frame_index int, row_idx long, centralSymmetry double")
