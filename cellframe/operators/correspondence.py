@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellframe.functions import ieee
 from cellframe.model import Cell
+from cellframe.operators.measurements import nearest_image
 from cellframe.operators.neighbors import pairs
 from cellframe.plans.lineage import cut
 
@@ -32,28 +33,14 @@ def external_join(atoms: DataFrame, values: DataFrame, key: str = "atom_id") ->
 def displacement(current: DataFrame, reference: DataFrame, cell: Cell | None = None, key: str = "atom_id") -> DataFrame:
     """key, displacementX/Y/Z/Magnitude against the reference atom of the same id; NaN without one.
 
-    With ``cell`` the shortest periodic image counts: for an orthogonal cell by rounding, otherwise the
-    shortest of the images around the rounded one, the first of equals.
+    With ``cell`` the shortest periodic image counts, whatever the cell's shape.
     """
     before = reference.select(key, *[F.col(c).alias(f"{c}_r") for c in "xyz"])
     joined = current.select(key, *"xyz").join(before, key, "left")
     d = [F.col(c) - F.col(f"{c}_r") for c in "xyz"]
     if cell is not None:
-        s = list(cell.reduced(tuple(d), placed=False))
-        s = [x - ieee.nearest_image(x) if periodic else x for x, periodic in zip(s, cell.pbc, strict=True)]
-        if cell.orthogonal:
-            d = list(cell.cartesian(tuple(s), placed=False))
-        else:
-            joined = joined.withColumns({f"s{k}": s[k] for k in range(3)})
-            options = []
-            steps = [(0, -1, 1) if periodic else (0,) for periodic in cell.pbc]
-            for a in steps[0]:
-                for b in steps[1]:
-                    for c in steps[2]:
-                        v = cell.cartesian((F.col("s0") + a, F.col("s1") + b, F.col("s2") + c), placed=False)
-                        options.append(F.struct((v[0] * v[0] + v[1] * v[1] + v[2] * v[2]).alias("d2"), F.lit(len(options)).alias("k"), *[x.alias(n) for x, n in zip(v, "xyz", strict=True)]))
-            joined = joined.withColumn("best", F.array_min(F.array(*options)))
-            d = [F.col(f"best.{n}") for n in "xyz"]
+        joined = joined.withColumns({f"_{n}": x for n, x in zip("xyz", nearest_image(d, cell), strict=True)})
+        d = [F.col(f"_{n}") for n in "xyz"]
     found = joined.select(key, *[F.coalesce(x, ieee.nan()).alias(f"displacement{n}") for x, n in zip(d, "XYZ", strict=True)])
     size = F.sqrt(F.col("displacementX") ** 2 + F.col("displacementY") ** 2 + F.col("displacementZ") ** 2)
     return found.withColumn("displacementMagnitude", size)
@@ -157,6 +144,17 @@ def wigner_seitz(atoms: DataFrame, sites: DataFrame, cell: Cell, radius: float)
     return occupied, per_atom
 
 
+def defect_attributes(occupied: DataFrame) -> DataFrame:
+    """name, value: the vacancies, interstitials, antisites and sites of a frame."""
+    counted = occupied.agg(
+        F.count_if(F.col("occupancy") == 0).alias("vacancy_count"), F.sum(F.greatest(F.col("occupancy") - 1, F.lit(0))).alias("interstitial_count"),
+        F.count_if(F.col("defect") == 3).alias("antisite_count"), F.count("*").alias("site_count"),
+    )
+    names = counted.columns
+    pairs_of = [F.struct(F.lit(f"WignerSeitz.{n}").alias("name"), F.coalesce(F.col(n), F.lit(0)).cast("double").alias("value")) for n in names]
+    return counted.select(F.explode(F.array(*pairs_of)).alias("a")).select("a.*")
+
+
 def defect_summary(occupied: DataFrame) -> DataFrame:
     """site_type, sites, vacancies, regular, interstitials (extra atoms), antisites."""
     return occupied.groupBy("site_type").agg(

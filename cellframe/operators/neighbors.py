@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def distinct_pairs(found: DataFrame) -> DataFrame:
 GROWTH, WIDER = 1.5, 2.0
 
 
-def of_nearest(atoms: DataFrame, cell: Cell, k: int, each: Callable, schema: str, radius: float | None = None, centres: DataFrame | None = None) -> DataFrame:
+def of_nearest(atoms: DataFrame, cell: Cell, k: int, each: Callable, schema: str, radius: float | None = None, centres: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """What ``each`` makes of the ``k`` nearest images of each atom (or of each of the ``centres``).
 
     ``each`` gets a block, places of centres, of their neighbors (centres, k), vectors (centres, k, 3),
@@ -110,7 +111,7 @@ def of_nearest(atoms: DataFrame, cell: Cell, k: int, each: Callable, schema: str
                     break
                 reach = min(radius, reach * GROWTH)
 
-        halo = blocks(atoms, cell, radius, parts_of(cell, radius, most), centres)
+        halo = blocks(atoms, cell, radius, parts_of(cell, radius, most), centres, also)
         found = cut(in_blocks(halo, cell, run, f"{schema}, _short long, _have long"))
         short = found.where("_short >= 0").select("frame_index", F.col("_short").alias("row_idx"), "_have")
         if open_cell:
@@ -131,7 +132,7 @@ def of_nearest(atoms: DataFrame, cell: Cell, k: int, each: Callable, schema: str
 
 def _short(block: Block, few: np.ndarray, have: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Rows that name the centres with fewer neighbors than asked for."""
-    empty = {name: np.zeros(len(few), dtype=values.dtype) for name, values in like.items()}
+    empty = {name: pa.nulls(len(few), values.type) if isinstance(values, pa.Array) else np.zeros(len(few), dtype=values.dtype) for name, values in like.items()}
     return empty | {"_short": block.rows[few], "_have": have.astype(np.int64)}
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.functions import ieee
+from cellframe.model import Cell
+from cellframe.operators.measurements import miller_plane
 from cellframe.plans.lineage import cut
 
 #: Fixed limits: groups, and ids over all groups.
@@ -116,3 +118,11 @@ def trimmed(atoms: DataFrame, share: float) -> DataFrame:
         room = (F.col(f"high_{c}") - F.col(f"low_{c}")) * share
         wide = wide.where((F.col(c) >= F.col(f"low_{c}") + room) & (F.col(c) <= F.col(f"high_{c}") - room))
     return wide.select(*atoms.columns)
+
+
+def on_lattice_planes(atoms: DataFrame, cell: Cell, hkl: tuple[int, int, int], thickness: float) -> DataFrame:
+    """Atoms within half of ``thickness`` of a lattice plane (h k l), with the plane's number."""
+    normal, spacing = miller_plane(hkl, cell)
+    along = sum((F.col(c) * n for c, n in zip("xyz", normal, strict=True)), F.lit(-sum(o * n for o, n in zip(cell.origin, normal, strict=True))))
+    number = F.floor(along / spacing + 0.5)
+    return atoms.withColumn("plane", number.cast("int")).where(F.abs(along - number * spacing) <= thickness / 2)

@@ -125,3 +125,30 @@ def frame_summary(atoms: DataFrame) -> DataFrame:
     """frame_index, type_label, count, first_row and bounds: types in the order in which they come."""
     bounds = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
     return atoms.groupBy("frame_index", "type_label").agg(F.count("*").alias("count"), F.min("row_idx").alias("first_row"), *bounds)
+
+
+def atom_table(atoms: DataFrame, properties: list[str]) -> DataFrame:
+    """id, type and position of every atom with its properties, as tables of atoms are written."""
+    return atoms.select("frame_index", F.col("atom_id").alias("id"), F.col("type_label").alias("type"), *"xyz", *properties)
+
+
+def summary_table(atoms: DataFrame, cell, properties: list[str]) -> DataFrame:
+    """frame_index, analysis, metric, category, value: what is known of each frame, one number a row.
+
+    Numbers of atoms, cell volume and density, types with their shares, and the statistics of properties.
+    """
+    volume = float(cell.volume)
+    row = lambda analysis, metric, value, category="": F.struct(F.lit(analysis).alias("analysis"), F.lit(metric).alias("metric"), (F.lit(category) if isinstance(category, str) else category).alias("category"), value.cast("double").alias("value"))
+    sizes = atoms.groupBy("frame_index").agg(F.count("*").alias("n"))
+    rows = [row("input", "atom_count", F.col("n")), row("input", "cell_volume", F.lit(volume)), row("input", "number_density", F.col("n") / volume)]
+    rows += [row("input", "periodic_boundary", F.lit(float(p)), axis) for axis, p in zip("abc", cell.pbc, strict=True)]
+    flat = lambda table, parts: table.select("frame_index", F.explode(F.array(*parts)).alias("r")).select("frame_index", "r.*")
+    found = flat(sizes, rows)
+    types = atoms.groupBy("frame_index", "type_label").agg(F.count("*").alias("k")).join(sizes, "frame_index")
+    found = found.unionByName(flat(types, [row("input", "atomType.count", F.col("k"), F.col("type_label")), row("input", "atomType.fraction", F.col("k") / F.col("n"), F.col("type_label"))]))
+    if properties:
+        stats = property_statistics(atoms, properties, ["frame_index"])
+        metrics = ("finite_count", "nan_count", "infinite_count", "minimum", "maximum", "mean", "population_stddev")
+        parts = [F.struct(F.lit("input").alias("analysis"), F.concat("property", F.lit(f".{m}")).alias("metric"), F.lit("").alias("category"), F.col(m).cast("double").alias("value")) for m in metrics]
+        found = found.unionByName(flat(stats, parts))
+    return found

@@ -284,3 +284,47 @@ def centrosymmetry(atoms: DataFrame, cell: Cell, neighbors: int = 12) -> DataFra
         return {"row_idx": block.rows[own], "centralSymmetry": values}
 
     return of_nearest(atoms, cell, neighbors, each, "frame_index int, row_idx long, centralSymmetry double")
+
+
+#: Neighbors of the shell that central symmetry takes by structure, as in STRUCTURES: none for an icosahedron.
+SHELLS = {0: 0, 1: 12, 2: 12, 3: 8, 4: 0}
+
+
+def centrosymmetry_auto(atoms: DataFrame, cell: Cell) -> DataFrame:
+    """frame_index, row_idx, structureType, shell, centralSymmetry with the shell that the structure asks for.
+
+    An atom of no structure takes the shell that more of its fourteen nearest neighbors vote for, close
+    packed (12) or body centred (8); without a majority, and for icosahedra, symmetry is NaN.
+    """
+    kinds = cna(atoms, cell)
+    named = atoms.join(kinds, ["frame_index", "row_idx"])
+
+    def each(block: Block, own: np.ndarray, places: np.ndarray, vectors: np.ndarray, d2, have: np.ndarray) -> dict[str, np.ndarray]:
+        kind = block.also["structureType"].to_numpy()
+        around = np.where(places >= 0, kind[places], 0)
+        packed, centred = np.isin(around, (1, 2)).sum(axis=1), (around == 3).sum(axis=1)
+        shell = np.array([SHELLS[k] for k in range(5)])[kind[own]]
+        shell = np.where(kind[own] == 0, np.select([packed > centred, centred > packed], [12, 8], 0), shell).astype(np.int32)
+        values = np.full(len(own), np.nan)
+        for n in (8, 12):
+            of = (shell == n) & (have >= n)
+            if of.any():
+                values[of] = _by_thousands(opposite_pairing, vectors[of, :n])
+        return {"row_idx": block.rows[own], "structureType": kind[own].astype(np.int32), "shell": shell, "centralSymmetry": values}
+
+    return of_nearest(named, cell, 14, each, "frame_index int, row_idx long, structureType int, shell int, centralSymmetry double", also=("structureType",))
+
+
+#: Fixed value: the cutoff in angstroms where no element is known.
+FALLBACK_CUTOFF = 3.0
+
+
+def suggested_cutoff(atoms: DataFrame, presets: DataFrame) -> DataFrame:
+    """frame_index, symbol, cutoff, mixed: the largest preset (symbol, cutoff) of the types that occur.
+
+    Where a type has no preset the fallback stands, without a symbol.
+    """
+    types = atoms.select("frame_index", F.trim("type_label").alias("symbol")).distinct()
+    known = types.join(presets.select("symbol", "cutoff"), "symbol", "left")
+    found = known.groupBy("frame_index").agg(F.max(F.struct("cutoff", "symbol")).alias("best"), F.bool_or(F.col("cutoff").isNull()).alias("open"), F.count("*").alias("n"))
+    return found.select("frame_index", F.when(~F.col("open"), F.col("best.symbol")).alias("symbol"), F.when(F.col("open"), FALLBACK_CUTOFF).otherwise(F.col("best.cutoff")).alias("cutoff"), (F.col("n") > 1).alias("mixed"))

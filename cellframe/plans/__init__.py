@@ -1 +1 @@
-
+"""Cuts of long lineages."""

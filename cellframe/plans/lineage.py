@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the session's shared folder, a temporary one only where none is set."""
+    """``df`` as a reliable checkpoint in the session's shared folder; where none is set, one of this machine if Spark runs in it alone."""
     context = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder and not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     elif not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellframe import adapters as A
 from cellframe.functions.expressions import Computed, compile_column, scope_of, select_where, with_computed
 from cellframe.model import Cell
-from cellframe.operators import attributes, clusters, correspondence, crystal, neighbors, polyhedra, selection, statistics, structure, trajectory
+from cellframe.operators import attributes, clusters, correspondence, crystal, measurements, neighbors, polyhedra, selection, statistics, structure, trajectory
 from cellframe.streaming.unwrap import windowed_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,6 +243,16 @@ def frame_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(statistics.frame_summary(A.trajectory(spark, folder)), "min_x", "max_x", "min_y", "max_y")
 
 
+@query(f"""WITH {TRACK}, n AS (SELECT frame_index, count(*) AS n FROM tr GROUP BY 1), t AS (SELECT frame_index, type_label, count(*) AS k FROM tr GROUP BY 1, 2),
+    v AS (SELECT frame_index, count(*) AS c, min(value) AS lo, max(value) AS hi, avg(value) AS m, stddev_pop(value) AS sd FROM tr GROUP BY 1)
+    SELECT frame_index, 'input' AS analysis, u.metric, '' AS category, round(u.value, 6) AS value FROM n, LATERAL (SELECT unnest(['atom_count', 'cell_volume', 'number_density']) AS metric, unnest([n::DOUBLE, 1000.0, n / 1000.0]) AS value) u
+    UNION ALL SELECT frame_index, 'input', 'periodic_boundary', a, 1.0 FROM n, (SELECT unnest(['a', 'b', 'c']) AS a) x
+    UNION ALL SELECT frame_index, 'input', 'atomType.count', type_label, k::DOUBLE FROM t UNION ALL SELECT frame_index, 'input', 'atomType.fraction', type_label, round(k / n::DOUBLE, 6) FROM t JOIN n USING (frame_index)
+    UNION ALL SELECT frame_index, 'input', 'value.' || u.metric, '', round(u.value, 6) FROM v, LATERAL (SELECT unnest(['finite_count', 'nan_count', 'infinite_count', 'minimum', 'maximum', 'mean', 'population_stddev']) AS metric, unnest([c::DOUBLE, 0.0, 0.0, lo, hi, m, sd]) AS value) u""")
+def summary_table(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(statistics.summary_table(A.trajectory(spark, folder), A.BOX, ["value"]), "value")
+
+
 # --- attributes and series -------------------------------------------------------------------------
 
 
@@ -346,6 +356,46 @@ def color_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return correspondence.color_tiles(A.points(spark, folder)).select("row_idx", "displacementTile")
 
 
+_SKEWED = Cell((10.0, 0, 0, 7.0, 8.0, 0, -3.0, 5.0, 9.0))
+_VECTOR = "((b.sa - a.sa + n) * 10 + (b.sb - a.sb + m) * 7 - (b.sc - a.sc + l) * 3) AS x, ((b.sb - a.sb + m) * 8 + (b.sc - a.sc + l) * 5) AS y, ((b.sc - a.sc + l) * 9) AS z"
+
+
+@query(f"""WITH {POINTS}, im AS (SELECT a.r AS n, b.r AS m, c.r AS l FROM (SELECT unnest(range(-3, 4)) AS r) a, (SELECT unnest(range(-3, 4)) AS r) b, (SELECT unnest(range(-2, 3)) AS r) c),
+    v AS (SELECT a.row_idx, {_VECTOR} FROM pt a JOIN pt b ON b.row_idx = a.row_idx + 1, im)
+    SELECT row_idx, round(sqrt(min(x * x + y * y + z * z)), 6) AS distance FROM v GROUP BY 1""")
+def displacement_skewed(spark: SparkSession, folder: str) -> DataFrame:
+    placed = A.with_positions(A.points(spark, folder), _SKEWED)
+    current, reference = placed, placed.withColumn("row_idx", F.col("row_idx") - 1)
+    found = correspondence.displacement(current, reference, _SKEWED, "row_idx").where("not isnan(displacementMagnitude)")
+    return rounded(found.select("row_idx", F.col("displacementMagnitude").alias("distance")), "distance")
+
+
+def _sql_steps() -> str:
+    step = lambda p, q: [f"({q}.s{c} - {p}.s{c} - floor({q}.s{c} - {p}.s{c} + 0.5)) * 10" for c in "abc"]
+    return ", ".join(f"{e} AS {n}{c}" for n, (p, q) in zip("uvw", ("ab", "bc", "cd"), strict=True) for c, e in zip("xyz", step(p, q), strict=True))
+
+
+_DOT = lambda p, q: " + ".join(f"{p}{c} * {q}{c}" for c in "xyz")
+
+
+@query(f"""WITH {POINTS}, s AS (SELECT a.row_idx AS measure_id, {_sql_steps()} FROM pt a LEFT JOIN pt b ON b.row_idx = a.row_idx + 1 LEFT JOIN pt c ON c.row_idx = a.row_idx + 2 LEFT JOIN pt d ON d.row_idx = a.row_idx + 3),
+    l AS (SELECT *, sqrt({_DOT("u", "u")}) AS lu, sqrt({_DOT("v", "v")}) AS lv, sqrt({_DOT("w", "w")}) AS lw FROM s),
+    n AS (SELECT *, vx / lv AS nx, vy / lv AS ny, vz / lv AS nz FROM l), p AS (SELECT *, {_DOT("u", "n")} AS un, {_DOT("w", "n")} AS wn FROM n),
+    r AS (SELECT *, {", ".join(f"-u{c} + un * n{c} AS e{c}, w{c} - wn * n{c} AS f{c}" for c in "xyz")} FROM p), k AS (SELECT *, ny * ez - nz * ey AS gx, nz * ex - nx * ez AS gy, nx * ey - ny * ex AS gz FROM r)
+    SELECT measure_id, coalesce(round(lu, 6), 'nan'::DOUBLE) AS distance, coalesce(round(lv, 6), 'nan'::DOUBLE) AS distance_2, coalesce(round(lw, 6), 'nan'::DOUBLE) AS distance_3,
+        coalesce(round(degrees(acos(greatest(-1.0, least(1.0, -({_DOT("u", "v")}) / (lu * lv))))), 5), 'nan'::DOUBLE) AS angle, coalesce(round(degrees(atan2({_DOT("g", "f")}, {_DOT("e", "f")})), 5), 'nan'::DOUBLE) AS dihedral FROM k""")
+def measurements_chain(spark: SparkSession, folder: str) -> DataFrame:
+    atoms = A.points(spark, folder)
+    picks = atoms.select(F.col("row_idx").alias("measure_id"), "frame_index", *[(F.col("row_idx") + n).alias(c) for n, c in enumerate("abcd")])
+    found = measurements.measured(picks, atoms, A.BOX)
+    return rounded(rounded(found, "distance", "distance_2", "distance_3"), "angle", "dihedral", places=5)
+
+
+@query(f"""WITH {POINTS}, p AS (SELECT row_idx, sa + sb AS u FROM pt) SELECT row_idx, CAST(floor(u + 0.5) AS INTEGER) AS plane FROM p WHERE abs(u - floor(u + 0.5)) * 10 / sqrt(2) <= 0.5""")
+def selection_lattice_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.on_lattice_planes(A.points(spark, folder), A.BOX, (1, 1, 0), 1.0).select("row_idx", "plane")
+
+
 # --- neighbors -------------------------------------------------------------------------------------
 
 
@@ -427,6 +477,15 @@ def cluster_measures(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.clusters(atoms, structure.bonds(atoms, A.BOX, 0.5), A.BOX)[1]
 
 
+@query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT DISTINCT i, j FROM pr WHERE {D2} <= 0.25 AND i <> j), w AS (SELECT row_idx AS a, row_idx AS b FROM pt UNION SELECT w.a, e.j FROM w JOIN e ON e.i = w.b),
+    l AS (SELECT a AS row_idx, min(b) AS label FROM w GROUP BY 1), s AS (SELECT label, count(*) AS size FROM l GROUP BY 1)
+    SELECT 'Clusters.cluster_count' AS name, count(*)::DOUBLE AS value FROM s UNION ALL SELECT 'Clusters.largest_size', max(size)::DOUBLE FROM s""")
+def cluster_attributes(spark: SparkSession, folder: str) -> DataFrame:
+    atoms = A.points(spark, folder)
+    found = clusters.cluster_attributes(clusters.clusters(atoms, structure.bonds(atoms, A.BOX, 0.5), A.BOX)[1])
+    return found.where("name <> 'Clusters.percolating_count'").select("name", "value")
+
+
 _SHEAR = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
@@ -458,6 +517,27 @@ def wigner_seitz_sites(spark: SparkSession, folder: str) -> DataFrame:
     return correspondence.wigner_seitz(atoms.where("row_idx % 2 = 0"), atoms.where("row_idx % 2 = 1"), A.BOX, 1.0)[0]
 
 
+@query(SQL["wigner_seitz_sites"].replace("SELECT site, site_type, occupancy, CASE WHEN", "SELECT u.name, u.value::DOUBLE AS value FROM (SELECT count(*) FILTER (WHERE d = 0) AS v, sum(greatest(occupancy - 1, 0)) AS i, count(*) FILTER (WHERE d = 3) AS a, count(*) AS n FROM (SELECT occupancy, CASE WHEN").replace("AS defect FROM o", """AS d FROM o) t) k,
+    LATERAL (SELECT unnest(['WignerSeitz.vacancy_count', 'WignerSeitz.interstitial_count', 'WignerSeitz.antisite_count', 'WignerSeitz.site_count']) AS name, unnest([v, i, a, n]) AS value) u"""))
+def wigner_seitz_attributes(spark: SparkSession, folder: str) -> DataFrame:
+    atoms = A.points(spark, folder)
+    return correspondence.defect_attributes(correspondence.wigner_seitz(atoms.where("row_idx % 2 = 0"), atoms.where("row_idx % 2 = 1"), A.BOX, 1.0)[0])
+
+
+@query()
+def central_symmetry_auto(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.centrosymmetry_auto(A.points(spark, folder), A.BOX)
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT CAST(label AS VARCHAR) AS symbol, 2 + 0.1 * label::DOUBLE AS cutoff FROM (SELECT DISTINCT label FROM embeddings WHERE label <> 9))
+    SELECT CASE WHEN count(*) = count(cutoff) THEN arg_max(symbol, cutoff) END AS symbol, CASE WHEN count(*) = count(cutoff) THEN round(max(cutoff), 6) ELSE 3.0 END AS cutoff, count(*) > 1 AS mixed
+    FROM (SELECT DISTINCT type_label FROM pt WHERE type_label <> '9') t LEFT JOIN c ON symbol = type_label""")
+def suggested_cutoff(spark: SparkSession, folder: str) -> DataFrame:
+    atoms = A.points(spark, folder).where("type_label <> '9'")
+    presets = A.table(spark, folder, "embeddings").where("label <> 9").select(F.col("label").cast("string").alias("symbol"), (2 + 0.1 * F.col("label").cast("double")).alias("cutoff")).distinct()
+    return rounded(structure.suggested_cutoff(atoms, presets).drop("frame_index"), "cutoff")
+
+
 @query()
 def reference_strain(spark: SparkSession, folder: str) -> DataFrame:
     reference = A.points(spark, folder)
@@ -536,19 +616,42 @@ def diffraction_powder(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(crystal.powder_pattern(crystal.structure_factors(A.points(spark, folder), hkl), A.BOX, 1.5406), "intensity", places=3)
 
 
-def _sql_rotations() -> str:
-    return "greatest(" + ", ".join("abs(" + " + ".join(f"r{k} * {s[k]!r}" for k in range(4)) + ")" for s in crystal.cubic_rotations()) + ")"
+@query(f"""WITH {POINTS}, s AS (SELECT a.r AS h, b.r AS k, c.r AS l FROM (SELECT unnest(range(3)) AS r) a, (SELECT unnest(range(3)) AS r) b, (SELECT unnest(range(3)) AS r) c WHERE a.r + b.r + c.r > 0),
+    w AS (SELECT h, k, l, (h * h + k * k + l * l) / 400.0 AS s2, (1 + type_label::DOUBLE) * exp(-3 * (h * h + k * k + l * l) / 400.0) + (2 + type_label::DOUBLE) * exp(-0.5 * (h * h + k * k + l * l) / 400.0) + 0.25 AS f, h * sa + k * sb + l * sc AS t, abs(p4) * 4 AS b FROM pt, s),
+    f AS (SELECT h, k, l, sum(f * exp(-b * s2) * cos(2 * pi() * t)) AS re, sum(f * exp(-b * s2) * sin(2 * pi() * t)) AS im FROM w GROUP BY ALL)
+    SELECT h::INTEGER AS h, k::INTEGER AS k, l::INTEGER AS l, round(re, 5) AS re, round(im, 5) AS im, round(re * re + im * im, 2) AS intensity FROM f""")
+def diffraction_scattered(spark: SparkSession, folder: str) -> DataFrame:
+    atoms = A.points(spark, folder).withColumn("b_iso", F.abs("p4") * 4)
+    size = F.col("label").cast("double")
+    factors = A.table(spark, folder, "embeddings").select(F.col("label").cast("string").alias("type_label"), (1 + size).alias("factor_a1"), F.lit(3.0).alias("factor_b1"), (2 + size).alias("factor_a2"), F.lit(0.5).alias("factor_b2"), F.lit(0.25).alias("factor_c")).distinct()
+    found = crystal.scattered(atoms, A.BOX, _HKL, factors, 2, b_iso="b_iso")
+    return rounded(rounded(found, "re", "im", places=5), "intensity", places=2)
 
 
-@query(f"""WITH {POINTS}, u AS (SELECT row_idx, p4 / sqrt(p4*p4+p5*p5+p6*p6+p7*p7) AS w, p5 / sqrt(p4*p4+p5*p5+p6*p6+p7*p7) AS x, p6 / sqrt(p4*p4+p5*p5+p6*p6+p7*p7) AS y, p7 / sqrt(p4*p4+p5*p5+p6*p6+p7*p7) AS z FROM pt),
-    r AS (SELECT p.row_idx, p.w*q.w+p.x*q.x+p.y*q.y+p.z*q.z AS r0, p.w*q.x-p.x*q.w-p.y*q.z+p.z*q.y AS r1, p.w*q.y+p.x*q.z-p.y*q.w-p.z*q.x AS r2, p.w*q.z-p.x*q.y+p.y*q.x-p.z*q.w AS r3 FROM u p JOIN u q ON q.row_idx = p.row_idx + 1)
-    SELECT row_idx, round(degrees(2 * acos(least({_sql_rotations()}, 1.0))), 6) AS angle FROM r""")
-def disorientation_angles(spark: SparkSession, folder: str) -> DataFrame:
+def _sql_rotations(rotations) -> str:
+    return "greatest(" + ", ".join("abs(" + " + ".join(f"r{k} * {s[k]!r}" for k in range(4)) + ")" for s in rotations) + ")"
+
+
+_RELATIVE = f"""WITH {POINTS}, u AS (SELECT row_idx, p4 / sqrt(p4*p4+p5*p5+p6*p6+p7*p7) AS w, p5 / sqrt(p4*p4+p5*p5+p6*p6+p7*p7) AS x, p6 / sqrt(p4*p4+p5*p5+p6*p6+p7*p7) AS y, p7 / sqrt(p4*p4+p5*p5+p6*p6+p7*p7) AS z FROM pt),
+    r AS (SELECT p.row_idx, p.w*q.w+p.x*q.x+p.y*q.y+p.z*q.z AS r0, p.w*q.x-p.x*q.w-p.y*q.z+p.z*q.y AS r1, p.w*q.y+p.x*q.z-p.y*q.w-p.z*q.x AS r2, p.w*q.z-p.x*q.y+p.y*q.x-p.z*q.w AS r3 FROM u p JOIN u q ON q.row_idx = p.row_idx + 1)"""
+
+
+def _turned(spark: SparkSession, folder: str, rotations) -> DataFrame:
     size = F.sqrt(F.col("p4") ** 2 + F.col("p5") ** 2 + F.col("p6") ** 2 + F.col("p7") ** 2)
     unit = A.points(spark, folder).select("row_idx", *[(F.col(f"p{k + 4}") / size).alias(n) for k, n in enumerate("wxyz")])
     other = unit.select((F.col("row_idx") - 1).alias("row_idx"), *[F.col(n).alias(f"{n}2") for n in "wxyz"])
     both = unit.join(other, "row_idx")
-    return rounded(both.withColumn("angle", crystal.disorientation(both, list("wxyz"), [f"{n}2" for n in "wxyz"])), "angle").select("row_idx", "angle")
+    return rounded(both.withColumn("angle", crystal.disorientation(both, list("wxyz"), [f"{n}2" for n in "wxyz"], rotations)), "angle").select("row_idx", "angle")
+
+
+@query(f"""{_RELATIVE} SELECT row_idx, round(degrees(2 * acos(least({_sql_rotations(crystal.hexagonal_rotations())}, 1.0))), 6) AS angle FROM r""")
+def disorientation_hexagonal(spark: SparkSession, folder: str) -> DataFrame:
+    return _turned(spark, folder, crystal.hexagonal_rotations())
+
+
+@query(f"""{_RELATIVE} SELECT row_idx, round(degrees(2 * acos(least({_sql_rotations(crystal.cubic_rotations())}, 1.0))), 6) AS angle FROM r""")
+def disorientation_angles(spark: SparkSession, folder: str) -> DataFrame:
+    return _turned(spark, folder, crystal.cubic_rotations())
 
 
 def _grid(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,7 +46,7 @@ def read(spark: SparkSession, paths: list[str] | str, kind: str | None = None, p
     """(frames, atoms) of structure files.
 
     ``projection`` is ``full``, ``coordinates`` (no properties) or ``header`` (no atoms: the second is None).
-    Properties are those of the first frame; where a frame lacks one its atoms have NaN.
+    Properties are those of all frames; where a frame lacks one its atoms have NaN.
     """
     paths = [paths] if isinstance(paths, str) else paths
     first = spark.read.text(paths, wholetext=True).limit(1).select(F.substring("value", 1, 1 << 16).alias("v"), F.col("_metadata.file_path").alias("f")).first()
@@ -79,8 +79,12 @@ def read(spark: SparkSession, paths: list[str] | str, kind: str | None = None, p
     frames = texts.mapInPandas(headers, FRAMES)
     if projection == "header":
         return frames, None
-    sample = records.limit(1).select("text").first()["text"]
-    names = sorted(parse(sample)[0].properties) if projection == "full" else []
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"name": sorted({n for text in rows["text"] for frame in parse(text) for n in frame.properties})}, dtype=object)
+
+    names = sorted(r["name"] for r in records.select("text").mapInPandas(named, "name string").distinct().collect()) if projection == "full" else []
 
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,14 @@ def csv_lines(table: DataFrame) -> DataFrame:
 
 
 def write_csv(table: DataFrame, path: str) -> None:
-    """CSV parts with CRLF ends and a header in each."""
-    names = table.sparkSession.createDataFrame([(",".join(f'"{n}"' if any(c in n for c in '",\r\n') else n for n in table.columns),)], "line string")
-    if table.rdd.getNumPartitions() == 1:
-        names.union(csv_lines(table)).coalesce(1).write.option("lineSep", "\r\n").mode("overwrite").text(path)
-    else:
-        table.write.option("header", True).option("lineSep", "\r\n").option("nanValue", "NaN").option("positiveInf", "Infinity").option("negativeInf", "-Infinity").option("escape", '"').mode("overwrite").csv(path)
+    """CSV parts with CRLF ends and a header in each, the same text however many parts there are."""
+    header = ",".join(f'"{n.replace(chr(34), chr(34) * 2)}"' if any(c in n for c in '",\r\n') else n for n in table.columns)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["line"])
+        yield from batches
+
+    csv_lines(table).mapInArrow(headed, "line string").write.option("lineSep", "\r\n").mode("overwrite").text(path)
 
 
 def poscar_text(atoms: DataFrame, frame_index: int, cell) -> str:

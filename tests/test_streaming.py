@@ -1,9 +1,7 @@
 import pandas as pd
-import pytest
 
 from cellframe.model import Cell
 from cellframe.operators import trajectory
-from cellframe.plans.requests import SharedPairs, header_only, ordered_requests
 from cellframe.streaming.unwrap import unwrap_stream
 
 ROWS = [(t, a, (0.9 + 0.2 * t * s) % 1.0, 0.5, 0.5) for t in range(4) for a, s in (("1", 1), ("2", -1)) if (t, a) != (2, "2")]
@@ -23,15 +21,3 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = trajectory.unwrapped(spark.createDataFrame(ROWS, SCHEMA), cell)
     assert found == {(r.frame_index, r.atom_id): (r.ix, round(r.ux, 6)) for r in batch.collect()}
     assert found[(3, "1")] == (1, 15.0)
-
-
-def test_plans(spark):
-    from cellframe.model import crystal
-
-    assert header_only(["CellVolume", "timestep"]) and not header_only(["Mean.x"])
-    assert ordered_requests(["strain", "grains"]) == ["ptm", "strain", "grains"]
-    atoms, cell = crystal(spark, "sc", 3, 1.0)
-    shared = SharedPairs(atoms, cell, [1.1, 1.5])
-    assert shared.within(1.1).count() == 27 * 6 and shared.within(1.5).count() == 27 * 18
-    with pytest.raises(ValueError):
-        shared.within(2.0)
