@@ -85,7 +85,7 @@ def measured(picks: DataFrame, atoms: DataFrame, cell: Cell | None = None, key:
     nan = ieee.nan()
     back = [-c for c in first]
     cosine = _dot(back, second) / F.when(size(back) * size(second) > 0, size(back) * size(second))
-    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    angle = F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
     unit = [c / F.when(size(second) > 0, size(second)) for c in second]
     v = [c - _dot(back, unit) * u for c, u in zip(back, unit, strict=True)]
     w = [c - _dot(third, unit) * u for c, u in zip(third, unit, strict=True)]

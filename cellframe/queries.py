@@ -383,7 +383,7 @@ _DOT = lambda p, q: " + ".join(f"{p}{c} * {q}{c}" for c in "xyz")
     n AS (SELECT *, vx / lv AS nx, vy / lv AS ny, vz / lv AS nz FROM l), p AS (SELECT *, {_DOT("u", "n")} AS un, {_DOT("w", "n")} AS wn FROM n),
     r AS (SELECT *, {", ".join(f"-u{c} + un * n{c} AS e{c}, w{c} - wn * n{c} AS f{c}" for c in "xyz")} FROM p), k AS (SELECT *, ny * ez - nz * ey AS gx, nz * ex - nx * ez AS gy, nx * ey - ny * ex AS gz FROM r)
     SELECT measure_id, coalesce(round(lu, 6), 'nan'::DOUBLE) AS distance, coalesce(round(lv, 6), 'nan'::DOUBLE) AS distance_2, coalesce(round(lw, 6), 'nan'::DOUBLE) AS distance_3,
-        coalesce(round(degrees(acos(greatest(-1.0, least(1.0, -({_DOT("u", "v")}) / (lu * lv))))), 5), 'nan'::DOUBLE) AS angle, coalesce(round(degrees(atan2({_DOT("g", "f")}, {_DOT("e", "f")})), 5), 'nan'::DOUBLE) AS dihedral FROM k""")
+        coalesce(CASE WHEN lu * lv > 0 THEN round(degrees(acos(greatest(-1.0, least(1.0, -({_DOT("u", "v")}) / (lu * lv))))), 5) END, 'nan'::DOUBLE) AS angle, coalesce(round(degrees(atan2({_DOT("g", "f")}, {_DOT("e", "f")})), 5), 'nan'::DOUBLE) AS dihedral FROM k""")
 def measurements_chain(spark: SparkSession, folder: str) -> DataFrame:
     atoms = A.points(spark, folder)
     picks = atoms.select(F.col("row_idx").alias("measure_id"), "frame_index", *[(F.col("row_idx") + n).alias(c) for n, c in enumerate("abcd")])

@@ -35,7 +35,8 @@ def write_csv(table: DataFrame, path: str) -> None:
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([header])], ["line"])
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["line"])
 
     csv_lines(table).mapInArrow(headed, "line string").write.option("lineSep", "\r\n").mode("overwrite").text(path)
 

@@ -93,3 +93,22 @@ def test_sinks(spark, tmp_path):
         sinks.Recipe.loads('{"version": 2}')
     with pytest.raises(ValueError):
         Cell((1, 0, 0, 2, 0, 0, 0, 0, 1))
+
+
+def test_properties_of_later_frames_stay(spark, tmp_path):
+    plain = DUMP.format(t=0, x=1).replace(" c_pe", "").replace(" -1.5", "").replace("0 0 0 2\n", "0 0 0\n")
+    path = write(tmp_path, "grows.dump", plain + DUMP.format(t=1, x=1))
+    rows = {(r.frame_index, r.atom_id): r.c_pe for r in readers.read(spark, path)[1].collect()}
+    assert math.isnan(rows[0, "7"]) and rows[1, "7"] == -1.5 and rows[1, "3"] == 2.0
+
+
+def test_csv_is_the_same_text_in_one_part_or_many(spark, tmp_path):
+    rows = [(k, f'a"{k}', float(k) / 3 if k % 3 else float("nan")) for k in range(40)]
+    table = spark.createDataFrame(rows, 'id long, `odd,"name` string, v double')
+    found = []
+    for parts in (1, 5):
+        sinks.write_csv(table.repartition(parts), str(tmp_path / f"p{parts}"))
+        files = [p.read_bytes().decode().split("\r\n") for p in (tmp_path / f"p{parts}").glob("part-*")]
+        assert all(lines[0] == 'id,"odd,""name",v' and lines[-1] == "" for lines in files)
+        found.append(sorted(line for lines in files for line in lines[1:-1]))
+    assert found[0] == found[1] and len(found[0]) == 40 and '3,"a""3",NaN' in found[0]
