@@ -43,6 +43,15 @@ def event_points(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(day.cast("int").alias("frame_index"), F.col("event_id").alias("row_idx"), F.col("event_type").alias("type_label"), (seconds / 86400.0).alias("sa"), (F.pmod("user_id", F.lit(97)) / 97.0).alias("sb"), (F.col("value") / 400.0).alias("sc"), "value")
 
 
+def order_points(spark: SparkSession, folder: str) -> DataFrame:
+    """``orders`` as forty frames of points all over the cell."""
+    o = table(spark, folder, "orders")
+    part = lambda x: x - F.floor(x)
+    s = [part(F.col("o_totalprice") / 977.0).alias("sa"), part(F.col("o_custkey") * 0.6180339887).alias("sb"), part(F.col("o_orderkey") * 0.7548776662).alias("sc")]
+    atoms = o.select((F.col("o_orderkey") % 40).cast("int").alias("frame_index"), F.col("o_orderkey").alias("row_idx"), F.col("o_orderkey").cast("string").alias("atom_id"), F.col("o_orderstatus").alias("type_label"), *s)
+    return with_positions(atoms, BOX)
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """``lineitem`` as a wide table of properties; its flags are the type."""
     rows = table(spark, folder, "lineitem")

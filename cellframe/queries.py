@@ -417,6 +417,22 @@ def coordination(spark: SparkSession, folder: str) -> DataFrame:
     return structure.coordination(A.points(spark, folder), A.BOX, 1.0).select("row_idx", "coordination")
 
 
+ORDER_POINTS = """op AS (SELECT CAST(o_orderkey % 40 AS INTEGER) AS frame_index, o_orderkey AS row_idx, o_totalprice / 977.0 - floor(o_totalprice / 977.0) AS sa,
+    o_custkey * 0.6180339887::DOUBLE - floor(o_custkey * 0.6180339887::DOUBLE) AS sb, o_orderkey * 0.7548776662::DOUBLE - floor(o_orderkey * 0.7548776662::DOUBLE) AS sc FROM orders)"""
+
+
+@query(f"""WITH {ORDER_POINTS}, d AS (SELECT p.frame_index, p.row_idx AS i, q.sa - p.sa AS a, q.sb - p.sb AS b, q.sc - p.sc AS c FROM op p JOIN op q ON q.frame_index = p.frame_index AND q.row_idx <> p.row_idx),
+    n AS (SELECT i, count(*) AS n FROM d WHERE ((a - round(a)) * (a - round(a)) + (b - round(b)) * (b - round(b)) + (c - round(c)) * (c - round(c))) * 100 <= 1.0 GROUP BY 1)
+    SELECT frame_index, row_idx, CAST(coalesce(n, 0) AS INTEGER) AS coordination FROM op LEFT JOIN n ON i = row_idx""")
+def coordination_frames(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.coordination(A.order_points(spark, folder), A.BOX, 1.0)
+
+
+@query()
+def common_neighbors_frames(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.cna(A.order_points(spark, folder), A.BOX)
+
+
 @query(f"""WITH {PAIRS}, c AS (SELECT row_idx, count(DISTINCT j) AS value FROM pt LEFT JOIN (SELECT * FROM pr WHERE {D2} <= 1.0 AND i <> j) p ON p.i = row_idx GROUP BY 1)
     SELECT CAST(value AS INTEGER) AS value, count(*) AS count, count(*) / (SELECT count(*) FROM pt)::DOUBLE AS fraction FROM c GROUP BY 1""")
 def coordination_histogram(spark: SparkSession, folder: str) -> DataFrame:
