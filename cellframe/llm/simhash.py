@@ -42,6 +42,8 @@ SEED = 42
 STRETCH = 1 << 20
 #: Fingerprints of one list that one task compares.
 LIST_BOUND = 1024
+#: Length of lists that are compared many at a time, and up to which one list is compared at once.
+SHORT, AT_ONCE = 8, 256
 #: Keys over which the documents of one fingerprint are dealt.
 SALTS = 64
 #: Bits in which fingerprints of 128 bits differ at most where five-word shingles have a similarity of 0.8.
@@ -160,8 +162,16 @@ def near_by(differing: np.ndarray, radius: int, least: int) -> np.ndarray:
     return near
 
 
-def spanning_links(members: np.ndarray, radius: int, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between distinct ``members`` (rows), as their numbers, each linked to the first it is reached from."""
+def spanning_links(members: np.ndarray, radius: int, least: int) -> np.ndarray:
+    """Links between distinct ``members`` (rows) as pairs of their numbers, enough for the same components.
+
+    Lists of moderate length are compared at once; a longer one is gone through from the first member on,
+    each linked to the one that it is reached from.
+    """
+    if len(members) <= AT_ONCE:
+        a, b = np.triu_indices(len(members), 1)
+        near = near_by(members[a] ^ members[b], radius, least)
+        return _forest(np.column_stack([a[near], b[near]]), len(members))
     rest, links = np.arange(len(members)), []
     while len(rest) > 1:
         frontier, rest = rest[:1], rest[1:]
@@ -172,7 +182,41 @@ def spanning_links(members: np.ndarray, radius: int, least: int) -> list[tuple[i
                 links += [(int(at), int(x)) for x in rest[near]]
                 reached |= near
             frontier, rest = rest[reached], rest[~reached]
-    return links
+    return np.array(links, dtype=np.int64).reshape(-1, 2)
+
+
+def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Of links between ``n`` members those that join what no earlier one has joined, if there are more than members."""
+    if len(pairs) <= n:
+        return pairs
+    top, kept = list(range(n)), []
+    for k, (a, b) in enumerate(pairs.tolist()):
+        while top[a] != a:
+            a = top[a]
+        while top[b] != b:
+            b = top[b]
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            kept.append(k)
+    return pairs[kept]
+
+
+def links_of_lists(values: np.ndarray, offsets: np.ndarray, radius: int, least: int) -> np.ndarray:
+    """Links in lists (``values`` between ``offsets``) as pairs of places; short lists of one length are compared together."""
+    sizes, found = np.diff(offsets), []
+    for n in range(2, SHORT + 1):
+        starts = offsets[:-1][sizes == n]
+        a, b = np.triu_indices(n, 1)
+        for at in range(0, len(starts), 1 << 14):
+            own = starts[at : at + (1 << 14), None]
+            left, right = (own + a).ravel(), (own + b).ravel()
+            near = near_by(values[left] ^ values[right], radius, least)
+            found.append(np.column_stack([left[near], right[near]]))
+    for k in np.flatnonzero(sizes > SHORT).tolist():
+        own = values[offsets[k] : offsets[k + 1]]
+        order = np.lexsort(own.T[::-1])
+        found.append(offsets[k] + order[spanning_links(own[order], radius, least)])
+    return np.concatenate([np.zeros((0, 2), dtype=np.int64), *found])
 
 
 def links(fps: DataFrame, radius: int = 4, bound: int = LIST_BOUND, width: int = 1) -> DataFrame:
@@ -199,16 +243,7 @@ def links(fps: DataFrame, radius: int = 4, bound: int = LIST_BOUND, width: int =
         for batch in batches:
             lists = batch.column(0)
             offsets, values = np.asarray(lists.offsets), np.column_stack([lists.values.field(i).to_numpy() for i in range(width)])
-            sizes = np.diff(offsets)
-            twos = offsets[:-1][sizes == 2]
-            near = twos[near_by(values[twos] ^ values[twos + 1], radius, least)]
-            found = [np.column_stack([near, near + 1])]
-            for k in np.flatnonzero(sizes > 2).tolist():
-                own = values[offsets[k] : offsets[k + 1]]
-                order = np.lexsort(own.T[::-1])
-                pairs = np.array(spanning_links(own[order], radius, least), dtype=np.int64).reshape(-1, 2)
-                found.append(offsets[k] + order[pairs])
-            pairs = np.concatenate(found)
+            pairs = links_of_lists(values, offsets.astype(np.int64), radius, least)
             yield pa.RecordBatch.from_arrays([pa.array(values[pairs[:, side], i]) for side in (0, 1) for i in range(width)], ends)
 
     found = lists.mapInArrow(linked, ", ".join(f"{end} long" for end in ends)).distinct()

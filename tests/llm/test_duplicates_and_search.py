@@ -67,6 +67,30 @@ def test_links_keep_components_however_long_the_lists(spark, bound):
     assert [roots.get(v, v) for v in values] == [values[w] for w in want]
 
 
+def test_links_of_lists_of_any_length(monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 2**63, (4, 2), dtype=np.int64)
+    values = np.array([c ^ np.array([sum(1 << int(f) for f in rng.choice(63, rng.integers(0, 8), replace=False)) for _ in "ab"]) for c in centres for _ in range(40)])
+    values = rng.permutation(values)
+    offsets = np.array([0, 2, 4, 7, 12, 20, 60, 160])
+    near = lambda i, j: (np.unpackbits((values[i] ^ values[j]).view(np.uint8)).sum() <= 12) and ((values[i] ^ values[j]).view(np.uint8) == 0).sum() >= 3
+
+    def grouped(pairs, a, b):
+        label = list(range(a, b))
+        for i, j in pairs:
+            if a <= i < b:
+                one, two = label[i - a], label[j - a]
+                label = [min(one, two) if x in (one, two) else x for x in label]
+        return label
+
+    for at_once in (256, 16):
+        monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+        found = simhash.links_of_lists(values, offsets, 12, 3).tolist()
+        assert all(near(i, j) for i, j in found)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            assert grouped(found, a, b) == grouped([(i, j) for i in range(a, b) for j in range(a, i) if near(i, j)], a, b)
+
+
 @pytest.mark.parametrize("bound", [3, 1024])
 def test_wide_links_pass_the_tally_and_the_bits(spark, bound):
     rng = np.random.default_rng(5)
