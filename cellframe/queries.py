@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellframe import adapters as A
 from cellframe.functions.expressions import Computed, compile_column, scope_of, select_where, with_computed
 from cellframe.model import Cell
-from cellframe.operators import attributes, clusters, correspondence, crystal, measurements, neighbors, polyhedra, selection, statistics, structure, trajectory
+from cellframe.operators import attributes, clusters, correspondence, crystal, grids, measurements, neighbors, polyhedra, selection, statistics, structure, trajectory
 from cellframe.streaming.unwrap import windowed_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -687,3 +687,11 @@ def grid_statistics(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {GRID} SELECT j, k, round(max(value) FILTER (WHERE i = 5) * 0.75 + max(value) FILTER (WHERE i = 0) * 0.25, 4) AS value FROM gr WHERE i IN (5, 0) GROUP BY 1, 2""")
 def grid_slice(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(crystal.grid_slice(_grid(spark, folder), "i", 5.25, 6, True), "value", places=4)
+
+
+@query()
+def grid_isosurface(spark: SparkSession, folder: str) -> DataFrame:
+    at = [F.least(F.floor(F.col(a) * 5), F.lit(4)).cast("int").alias(k) for a, k in (("sa", "i"), ("sb", "j"), ("sc", "k"))]
+    counts = A.order_points(spark, folder).groupBy(*at).agg(F.count("*").cast("double").alias("value"))
+    level = counts.agg(F.avg("value")).first()[0]
+    return rounded(grids.isosurface(counts, (5, 5, 5), A.BOX, float(level or 0.0)), "area")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,6 +99,34 @@ def read(spark: SparkSession, paths: list[str] | str, kind: str | None = None, p
     return frames, atoms.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit(float("nan"))) for n in names}) if names else atoms
 
 
+def volumes(spark: SparkSession, paths: list[str] | str, kind: str = "volume") -> tuple[DataFrame, DataFrame]:
+    """(frames, samples) of volume files: samples are source_file, i, j, k, value, one row each.
+
+    ``kind`` is ``cube``, ``charge`` (values are divided by the cell's volume) or ``volume`` (as written).
+    A file is read whole by one task and handed on plane by plane.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    parse = {"cube": lambda t: formats.cube_frame(t)[:2], "charge": lambda t: formats.volume_grid(t, True), "volume": lambda t: formats.volume_grid(t, False)}[kind]
+    texts = spark.read.text(paths, wholetext=True).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"))
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for text, name in zip(rows["value"], rows["source_file"], strict=True):
+                frame, values = parse(text)
+                yield pd.DataFrame([{"source_file": name, "origin": list(map(float, frame.cell.origin)), "h": list(map(float, frame.cell.h)), "pbc": list(map(bool, frame.cell.pbc)), "shape": list(values.shape), "atom_count": len(frame.raw)}])
+
+    def planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for text, name in zip(rows["value"], rows["source_file"], strict=True):
+                values = parse(text)[1]
+                j, k = np.indices(values.shape[1:]).reshape(2, -1)
+                for i, plane in enumerate(values):
+                    yield pd.DataFrame({"source_file": name, "i": i, "j": j, "k": k, "value": plane.ravel()})
+
+    frames = texts.mapInPandas(headers, "source_file string, origin array<double>, h array<double>, pbc array<boolean>, shape array<int>, atom_count long")
+    return frames, texts.mapInPandas(planes, "source_file string, i int, j int, k int, value double")
+
+
 def _counter(parse):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

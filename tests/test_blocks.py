@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellframe.model import Cell, crystal, with_positions
-from cellframe.operators import blocks, clusters, correspondence, measurements, neighbors, polyhedra, statistics, structure
+from cellframe.operators import blocks, clusters, correspondence, grids, measurements, neighbors, polyhedra, statistics, structure
 
 SKEWED = Cell((6.0, 0, 0, 2.5, 5.0, 0, -1.5, 2.0, 7.0))
 
@@ -213,3 +213,26 @@ def test_tables_of_frames(spark):
     assert [r.id for r in sorted(found, key=lambda r: r.n)] == sorted(range(100), key=lambda i: (-(i % 7), i)) and sorted(r.n for r in found) == list(range(1, 101))
     site = correspondence.defect_attributes(spark.createDataFrame([(1, 0, 0), (2, 3, 2), (3, 1, 3)], "site long, occupancy long, defect int"))
     assert {r.name: r.value for r in site.collect()} == {"WignerSeitz.vacancy_count": 1, "WignerSeitz.interstitial_count": 2, "WignerSeitz.antisite_count": 1, "WignerSeitz.site_count": 3}
+
+
+@pytest.mark.parametrize("pbc", [(True, True, True), (False, False, False)])
+def test_isosurface_of_a_sphere_is_closed_and_has_its_measures(spark, pbc):
+    n = 24
+    cell = Cell((10.0, 0, 0, 2.0, 9.0, 0, 0, 1.0, 8.0), pbc, (1.0, 2.0, 3.0))
+    at = np.indices((n, n, n)).reshape(3, -1).T
+    places = at / (n if pbc[0] else n - 1) @ cell.matrix
+    values = 3.0 - np.linalg.norm(places - 0.5 * cell.matrix.sum(axis=0), axis=1)
+    rows = [(*map(int, i), float(v)) for i, v in zip(at, values, strict=True)]
+    samples = spark.createDataFrame(rows, "i int, j int, k int, value double").repartition(5)
+    triangles = grids.isosurface(samples, (n, n, n), cell, 0.0)
+    total = grids.surface_measures(triangles).first()
+    assert total.area == pytest.approx(4 * math.pi * 9, rel=0.02) and total.volume == pytest.approx(4 / 3 * math.pi * 27, rel=0.02)
+    edges = {}
+    for r in triangles.collect():
+        corners = [tuple(round(r[f"{c}{p}"], 6) for c in "xyz") for p in (1, 2, 3)]
+        if len(set(corners)) == 3:
+            for a, b in zip(corners, corners[1:] + corners[:1], strict=True):
+                edges[a, b] = edges.get((a, b), 0) + 1
+    assert all(edges.get((b, a), 0) == count for (a, b), count in edges.items())
+    holes = samples.withColumn("value", F.when((F.col("i") == 12) & (F.col("j") == 12), float("nan")).otherwise(F.col("value")))
+    assert grids.isosurface(holes, (n, n, n), cell, 0.0).count() < triangles.count() and grids.isosurface(samples.limit(0), (n, n, n), cell, 0.0).count() == 0

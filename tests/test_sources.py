@@ -112,3 +112,13 @@ def test_csv_is_the_same_text_in_one_part_or_many(spark, tmp_path):
         assert all(lines[0] == 'id,"odd,""name",v' and lines[-1] == "" for lines in files)
         found.append(sorted(line for lines in files for line in lines[1:-1]))
     assert found[0] == found[1] and len(found[0]) == 40 and '3,"a""3",NaN' in found[0]
+
+
+def test_volume_samples_are_a_table(spark, tmp_path):
+    values = list(range(24))  # the first axis runs fastest
+    text = "grid\n1.0\n4 0 0\n0 4 0\n0 0 4\nSi\n1\nDirect\n0 0 0\n\n2 3 4\n" + "\n".join(" ".join(map(str, values[k : k + 5])) for k in range(0, 24, 5)) + "\n"
+    path = write(tmp_path, "CHGCAR", text)
+    frames, samples = readers.volumes(spark, path)
+    assert {(r.i, r.j, r.k): r.value for r in samples.collect()} == {(i, j, k): i + 2 * j + 6 * k for i in range(2) for j in range(3) for k in range(4)}
+    assert frames.first().shape == [2, 3, 4] and frames.first().atom_count == 1
+    assert readers.volumes(spark, path, "charge")[1].where("i = 1 and j = 2 and k = 3").first().value == pytest.approx(23 / 64)
