@@ -98,3 +98,13 @@ def surface_measures(triangles: DataFrame) -> DataFrame:
     x = {n: F.col(n) for n in TRIANGLE}
     product = x["x1"] * (x["y2"] * x["z3"] - x["z2"] * x["y3"]) + x["y1"] * (x["z2"] * x["x3"] - x["x2"] * x["z3"]) + x["z1"] * (x["x2"] * x["y3"] - x["y2"] * x["x3"])
     return triangles.agg(F.count("*").alias("triangles"), F.sum("area").alias("area"), (F.sum(product) / 6).alias("volume"))
+
+
+def replicated_samples(samples: DataFrame, shape: tuple[int, int, int], counts: tuple[int, int, int], periodic: tuple[bool, bool, bool]) -> DataFrame:
+    """Samples repeated along the axes of their grid, of which only periodic ones can be."""
+    if min(counts) < 1 or any(n > 1 and not wraps for n, wraps in zip(counts, periodic, strict=True)):
+        raise ValueError("Only periodic axes can be repeated, and copies count from one")
+    for axis, size, n in zip("ijk", shape, counts, strict=True):
+        if n > 1:
+            samples = samples.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(axis, (F.col(axis) + F.col("_copy") * size).cast("int")).drop("_copy")
+    return samples

@@ -77,6 +77,17 @@ def replicated(atoms: DataFrame, cell: Cell, counts: tuple[int, int, int]) -> tu
     return with_positions(moved, large), large
 
 
+def displayed(atoms: DataFrame, cell: Cell, counts: tuple[int, int, int]) -> DataFrame:
+    """Copies of the frame for display: positions moved by whole cells, ids and rows as they are, with the copy's numbers."""
+    if min(counts) < 1:
+        raise ValueError("Copies count from one")
+    both = atoms
+    for c, n in zip(("ca", "cb", "cc"), counts, strict=True):
+        both = both.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    moved = cell.cartesian((F.col("ca"), F.col("cb"), F.col("cc")), placed=False)
+    return both.withColumns({n: F.col(n) + m for n, m in zip("xyz", moved, strict=True)})
+
+
 def concatenated(parts: list[DataFrame]) -> DataFrame:
     """Files' frames under one numbering: the frames of each part behind those of the ones before."""
     result, offset = None, 0

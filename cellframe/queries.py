@@ -695,3 +695,13 @@ def grid_isosurface(spark: SparkSession, folder: str) -> DataFrame:
     counts = A.order_points(spark, folder).groupBy(*at).agg(F.count("*").cast("double").alias("value"))
     level = counts.agg(F.avg("value")).first()[0]
     return rounded(grids.isosurface(counts, (5, 5, 5), A.BOX, float(level or 0.0)), "area")
+
+
+@query(f"""WITH {GRID} SELECT CAST(i + 6 * a AS INTEGER) AS i, CAST(j + 5 * b AS INTEGER) AS j, k, round(value, 4) AS value FROM gr, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(3)) AS b)""")
+def grid_replicated(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(grids.replicated_samples(_grid(spark, folder), (6, 5, 4), (2, 3, 1), (True, True, False)).select("i", "j", "k", "value"), "value", places=4)
+
+
+@query(f"""WITH {POINTS} SELECT row_idx, CAST(a AS INTEGER) AS ca, CAST(c AS INTEGER) AS cc, round((sa + a) * 10, 6) AS x, round(sb * 10, 6) AS y, round((sc + c) * 10, 6) AS z FROM pt, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(3)) AS c)""")
+def trajectory_displayed(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(trajectory.displayed(A.points(spark, folder), A.BOX, (2, 1, 3)).select("row_idx", "ca", "cc", "x", "y", "z"), "x", "y", "z")

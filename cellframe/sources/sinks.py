@@ -41,27 +41,39 @@ def write_csv(table: DataFrame, path: str) -> None:
     csv_lines(table).mapInArrow(headed, "line string").write.option("lineSep", "\r\n").mode("overwrite").text(path)
 
 
-def poscar_text(atoms: DataFrame, frame_index: int, cell) -> str:
-    """One frame as POSCAR, types in the order in which they come; a frame is bounded by what a structure file holds."""
-    rows = atoms.where(F.col("frame_index") == frame_index).orderBy("row_idx").select("type_label", "sa", "sb", "sc").toPandas()
-    order = list(dict.fromkeys(rows["type_label"]))
-    counts = [int((rows["type_label"] == t).sum()) for t in order]
-    out = ["frame", "1.0", *(" ".join(repr(float(v)) for v in row) for row in cell.matrix), " ".join(order), " ".join(map(str, counts)), "Direct"]
-    for t in order:
-        out += [" ".join(repr(float(v)) for v in r) for r in rows.loc[rows["type_label"] == t, ["sa", "sb", "sc"]].to_numpy()]
-    return "\n".join(out) + "\n"
-
-
-def cif_text(atoms: DataFrame, frame_index: int, cell) -> str:
-    """One frame as CIF in space group P1."""
-    rows = atoms.where(F.col("frame_index") == frame_index).orderBy("row_idx").select("type_label", "sa", "sb", "sc").toPandas()
+def _ordered_lines(head: list[str], rows: DataFrame, order: list[str]) -> DataFrame:
+    """The head's lines before those of ``rows`` (line and the columns of ``order``), sorted over all tasks."""
+    keys = [f"_{n}" for n in range(len(order))]
+    top = rows.sparkSession.createDataFrame([(k, line) for k, line in enumerate(head)], "_head int, line string")
+    below = rows.select(F.lit(len(head)).alias("_head"), "line", *[F.col(o).alias(k) for o, k in zip(order, keys, strict=True)])
+    return top.unionByName(below, allowMissingColumns=True).orderBy("_head", *keys).select("line")
+
+
+def poscar_lines(atoms: DataFrame, frame_index: int, cell) -> DataFrame:
+    """One frame as the lines of a POSCAR, in order; types come in the order of their first atoms."""
+    own = atoms.where(F.col("frame_index") == frame_index)
+    types = own.groupBy("type_label").agg(F.min("row_idx").alias("first"), F.count("*").alias("n"))
+    listed = types.orderBy("first").collect()  # a row a type
+    head = ["frame", "1.0", *(" ".join(repr(float(v)) for v in row) for row in cell.matrix), " ".join(t["type_label"] for t in listed), " ".join(str(t["n"]) for t in listed), "Direct"]
+    rows = own.join(types.select("type_label", "first"), "type_label").select("first", "row_idx", F.concat_ws(" ", "sa", "sb", "sc").alias("line"))
+    return _ordered_lines(head, rows, ["first", "row_idx"])
+
+
+def cif_lines(atoms: DataFrame, frame_index: int, cell) -> DataFrame:
+    """One frame as the lines of a CIF in space group P1, in order."""
     a, b, c = cell.matrix
     angle = lambda u, v: float(np.degrees(np.arccos(np.clip(u @ v / np.linalg.norm(u) / np.linalg.norm(v), -1, 1))))
-    out = ["data_frame", *(f"_cell_length_{n} {float(np.linalg.norm(v))!r}" for n, v in zip("abc", (a, b, c), strict=True))]
-    out += [f"_cell_angle_alpha {angle(b, c)!r}", f"_cell_angle_beta {angle(a, c)!r}", f"_cell_angle_gamma {angle(a, b)!r}", "_symmetry_space_group_name_H-M 'P 1'"]
-    out += ["loop_", "_atom_site_label", "_atom_site_type_symbol", "_atom_site_fract_x", "_atom_site_fract_y", "_atom_site_fract_z"]
-    out += [f"{r.type_label.replace(' ', '')}{k + 1} {r.type_label.replace(' ', '')} {r.sa!r} {r.sb!r} {r.sc!r}" for k, r in enumerate(rows.itertuples())]
-    return "\n".join(out) + "\n"
+    head = ["data_frame", *(f"_cell_length_{n} {float(np.linalg.norm(v))!r}" for n, v in zip("abc", (a, b, c), strict=True))]
+    head += [f"_cell_angle_alpha {angle(b, c)!r}", f"_cell_angle_beta {angle(a, c)!r}", f"_cell_angle_gamma {angle(a, b)!r}", "_symmetry_space_group_name_H-M 'P 1'"]
+    head += ["loop_", "_atom_site_label", "_atom_site_type_symbol", "_atom_site_fract_x", "_atom_site_fract_y", "_atom_site_fract_z"]
+    symbol = F.replace("type_label", F.lit(" "), F.lit(""))
+    rows = atoms.where(F.col("frame_index") == frame_index).select("row_idx", F.concat_ws(" ", F.concat(symbol, F.col("row_idx") + 1), symbol, "sa", "sb", "sc").alias("line"))
+    return _ordered_lines(head, rows, ["row_idx"])
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines as text parts whose names are in the order of the lines; the parts one after another are the file."""
+    lines.write.mode("overwrite").text(path)
 
 
 def mesh_text(vertices: np.ndarray, triangles: np.ndarray, kind: str) -> str:

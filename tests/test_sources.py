@@ -82,9 +82,13 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([('a,"b"', 1.0, None), ("c", float("nan"), 0.1)], "t string, v double, w double")
     assert [r.line for r in sinks.csv_lines(rows).collect()] == ['"a,""b""",1,', "c,NaN,0.1"]
     atoms, cell = crystal(spark, "bcc", 1, 3.0)
-    again = formats.poscar_frame(sinks.poscar_text(atoms, 0, cell))
+    text = lambda lines: "\n".join(r.line for r in lines.collect()) + "\n"
+    again = formats.poscar_frame(text(sinks.poscar_lines(atoms, 0, cell)))
     assert np.allclose(again.raw, [[0, 0, 0], [0.5, 0.5, 0.5]]) and again.cell == cell
-    assert len(formats.cif_frame(sinks.cif_text(atoms, 0, cell)).raw) == 2
+    assert len(formats.cif_frame(text(sinks.cif_lines(atoms, 0, cell))).raw) == 2
+    sinks.write_lines(sinks.poscar_lines(atoms.repartition(4), 0, cell), str(tmp_path / "parts"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*")))
+    assert formats.poscar_frame(whole).labels == again.labels
     v, t = np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0]]), np.array([[0, 1, 2], [0, 0, 1]])
     assert sinks.mesh_text(v, t, "stl").count("facet normal") == 1 and sinks.mesh_text(v, t, "obj").count("f ") == 2 and "element face 2" in sinks.mesh_text(v, t, "ply")
     recipe = sinks.Recipe(source={"name": "a", "size": 1, "path": "p"}, computed=[{"name": "x", "expression": "1"}])
