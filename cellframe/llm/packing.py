@@ -7,8 +7,8 @@ length or fills what is left, so it is bounded by the capacity too.  The pieces
 numbered within their length in Spark and find their place by that number.
 
 Defined cases: null and empty texts have the single end token; equal lengths are interchangeable and
-may be dealt in any order; repeated rows are packed once each; an empty table gives an empty result;
-further columns are ignored.
+may be dealt in any order; repeated rows are packed once each; a long text is encoded whole and cut into
+pieces; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     slots = slots_by_length(plan_packing(counts, capacity))
     salts = max(8, sum(counts.values()) // NUMBERED)
-    dealt = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    dealt = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", *(c for c in ("ids_crc32",) if c in pieces.columns)), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = dealt.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = Window.partitionBy("_salt", "length").orderBy("doc_id", "piece")

@@ -260,3 +260,12 @@ def test_pipeline_equals_its_stages_in_plain(spark, tmp_path, docs):
     for r in found:
         got[r.doc_id] += r.length
     assert dict(got) == lengths
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    docs.limit(0).select("doc_id", "text", "lang", "source", F.length("text").alias("n_chars")).write.parquet(f"{folder}/documents.parquet")
+    spark.range(0, 5).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
