@@ -20,7 +20,7 @@ from cellframe.model import AXES, Cell
 #: Room for rounding in reduced coordinates.
 SLACK = 1e-9
 #: Atoms that a block should hold, and how many cutoffs it is wide at most.
-AIM, WIDEST = 4096, 8.0
+AIM, WIDEST = 4096, 4.0
 #: Candidate pairs that are held at once.
 CANDIDATES = 1 << 20
 SHIFTS = ("na", "nb", "nc")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cellframe.model import Cell
 from cellframe.operators.blocks import Block, ranked
 from cellframe.operators.neighbors import ORDER, in_surroundings, of_nearest, pairs
+from cellframe.plans.lineage import cut
 
 #: Nearer images are the same point.
 COINCIDENT = 1e-24
@@ -156,7 +157,7 @@ def local_shear(atoms: DataFrame, cell: Cell, cutoff: float, subtract_mean: bool
     The most frequent coordination m of a frame (the smaller of equals) says how many of the closest
     neighbors enter; moments are in units of a third of the mean squared distance over full atoms.
     """
-    found = pairs(atoms, cell, cutoff)
+    found = cut(pairs(atoms, cell, cutoff))  # read for the counts and for the moments
     counts = atoms.select("frame_index", F.col("row_idx").alias("i")).join(found.groupBy("frame_index", "i").agg(F.count("*").alias("c")), ["frame_index", "i"], "left").fillna(0, ["c"])
     modes = counts.groupBy("frame_index", "c").agg(F.count("*").alias("k")).groupBy("frame_index").agg(F.max(F.struct("k", (-F.col("c")).alias("m"))).alias("top")).select("frame_index", (-F.col("top.m")).alias("m"))
     rank = F.row_number().over(Window.partitionBy("frame_index", "i").orderBy(*ORDER))
