@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, chat, hamming, language, packing, quality, simhash, tokencounts, topk, toxicity
+from cellframe.llm import bpe, chat, hamming, importance, language, lexical, mixing, packing, quality, simhash, tokencounts, topk, toxicity
 from cellframe.llm.common import crc_mod
 
 WORD_BPE = "word_bpe_49k.json"
@@ -67,6 +67,19 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op11_best_position_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
+def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(table(spark, folder, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -110,6 +123,74 @@ SQL = {
             FROM pairs
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op11_best_position_search": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), sized AS (
+            SELECT row, doc_id, terms, len(terms) AS n FROM docs WHERE len(terms) > 0
+        ), total AS (
+            SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L_ FROM sized
+        ), items AS (
+            SELECT row_number() OVER () AS item, item_id, text FROM benchmark
+        ), wanted AS (
+            SELECT DISTINCT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM items
+        ), tokens AS (
+            SELECT row, doc_id, n, unnest(terms) AS term FROM sized
+        ), postings AS (
+            SELECT row, doc_id, n, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * CAST(N_ AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM postings, total GROUP BY term, N_
+        ), impacts AS (
+            SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * N_) // L_))) AS impact
+            FROM postings JOIN weights USING (term), total
+        ), scores AS (
+            SELECT item, item_id, row, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY ALL
+        ), ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scores WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_importance_resampling": r"""
+        WITH crc_step AS (
+            SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i)
+        ), crc_table AS (
+            SELECT list(v ORDER BY i) AS steps FROM crc_step
+        ), docs AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), targets AS (
+            SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+        ), features AS (
+            SELECT row, unnest(words) AS word FROM docs
+        ), spelled AS (
+            SELECT word, list_transform(range(len(hex(encode(word))) // 2), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS bytes
+            FROM (SELECT word FROM features UNION SELECT word FROM targets)
+        ), hashed AS (
+            SELECT word, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, steps[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket
+            FROM spelled, crc_table
+        ), s AS (
+            SELECT bucket, count(*) AS s FROM features JOIN hashed USING (word) GROUP BY bucket
+        ), t AS (
+            SELECT bucket, count(*) AS t FROM targets JOIN hashed USING (word) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM features) + 10000) / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM targets) + 10000)))) AS BIGINT) AS gain
+            FROM s LEFT JOIN t USING (bucket)
+        ), weights AS (
+            SELECT row, sum(gain) AS weight FROM features JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row
+        ), scored AS (
+            SELECT row, doc_id, coalesce(len(words), 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                   CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+            FROM docs LEFT JOIN weights USING (row)
+        ), noisy AS (
+            SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored
+        ), ranked AS (
+            SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM noisy WHERE n_features >= 20
+        )
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+        FROM noisy LEFT JOIN ranked USING (row)""",
 }
 
 

@@ -35,7 +35,7 @@ def docs(spark):
 
 
 def test_columns_and_types(results):
-    assert len(results) == 10
+    assert len(results) == 13
     for name, columns in COLUMNS.items():
         types = dict(results[name].dtypes)
         for column in columns.split(", "):
