@@ -29,14 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialise(df: DataFrame, codec: str = "zstd", records: int = 0) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; ``records`` bounds the rows of a file where rows are large.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, never the rows computed here.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("maxRecordsPerFile", records).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored

@@ -48,7 +48,9 @@ FIRST = 16
 DEPTH = 8
 #: Where ids are null; they rank behind others.
 NO_ID = np.iinfo(np.int64).max
-SHARD = "shard long, terms array<string>, ends array<int>, rows array<int>, counts array<long>, ids array<long>, sizes array<long>"
+SHARD = "shard long, terms array<string>, ends array<int>, rows array<int>, counts array<int>, ids array<long>, sizes array<long>"
+#: Shards of a file, so that no reader holds more of them at once.
+IN_FILE = 8
 
 
 @dataclass
@@ -89,7 +91,7 @@ class _Shard:
         keys, counts = keys[order], counts[order]
         ends = np.cumsum(np.bincount(keys // SHARD_ROWS, minlength=len(self.numbers)))
         terms = pa.array(list(self.numbers), pa.binary()).cast(pa.string())
-        columns = [terms, pa.array(ends, pa.int32()), pa.array(keys % SHARD_ROWS, pa.int32()), pa.array(counts), pa.array(self.ids, pa.int64()), pa.array(self.sizes, pa.int64())]
+        columns = [terms, pa.array(ends, pa.int32()), pa.array(keys % SHARD_ROWS, pa.int32()), pa.array(counts, pa.int32()), pa.array(self.ids, pa.int64()), pa.array(self.sizes, pa.int64())]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
         return pa.RecordBatch.from_arrays([pa.array([shard]), *lists], ["shard", "terms", "ends", "rows", "counts", "ids", "sizes"])
 
@@ -100,7 +102,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, _Shard(), 0
         for batch in batches:
-            for a, b in text_slices(batch, 1):
+            for a, b in text_slices(batch, 1, SHARD_BYTES):
                 part = batch.slice(a, b - a)
                 for doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     held.add(doc_id, t)
@@ -112,7 +114,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
             yield held.batch(number)
         let_go()
 
-    stored = materialise(docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(shards, SHARD))
+    stored = materialise(docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(shards, SHARD), records=IN_FILE)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
     n, terms = stored.agg(F.sum(F.size("sizes").cast("long")), F.sum(total("sizes"))).first()
     return Index(stored, n or 0, terms or 0)
@@ -225,7 +227,7 @@ def _searched(row: dict[str, pa.Array], q: pa.RecordBatch, k: int, documents: in
     starts = np.concatenate([[0], ends[:-1]])[used]
     lengths = ends[used] - starts
     entries = gather(starts, lengths)
-    rows, counts = row["rows"].to_numpy()[entries], row["counts"].to_numpy()[entries]
+    rows, counts = row["rows"].to_numpy()[entries], row["counts"].to_numpy()[entries].astype(np.int64)
     length_part = np.array([10 + 90 * n * documents // terms for n in row["sizes"].to_pylist()], dtype=np.int64)
     impacts = 1_000_000_000 * counts // (1000 * counts + 8 * length_part[rows])
     order = np.lexsort((-impacts, np.repeat(np.arange(len(used)), lengths)))
