@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from cellframe.llm.common import materialise
 
 #: Words of a block, slots of an output shard, and shards that are drawn together.
-BLOCK, SLOTS, GROUP = 64, 4096, 256
+BLOCK, SLOTS, GROUP = 64, 4096, 64
 #: Rows of a part whose positions are summed up together, and copies of a row that are made at once.
-PART, COPIES = 65_536, 4096
+PART, COPIES = 16_384, 4096
 #: How often a source may be repeated.
 REPEATS = 3
 MOST_SOURCES = 1 << 16
@@ -143,7 +143,7 @@ def _key(seed: int, source: np.ndarray, epoch: np.ndarray) -> np.ndarray:
 
 
 def slots(spark, sources: list[Source], seed: int) -> DataFrame:
-    """shard, slot, number, block: the block that each slot of each output shard takes."""
+    """shard, slot, number, block: the block that each slot of each output shard takes, stored, so that joins know their size."""
     quota = np.array([s.slots for s in sources], dtype=np.int64)
     blocks = np.array([max(1, s.blocks) for s in sources], dtype=np.int64)
     total = int(quota.sum())
@@ -189,7 +189,8 @@ def slots(spark, sources: list[Source], seed: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), k)), pa.array(slot), pa.array(number.astype(np.int32)), pa.array(block)], ["shard", "slot", "number", "block"])
                     at += n
 
-    return starts.mapInArrow(filled, "shard long, slot long, number int, block long")
+    dealt = starts.repartition(max(1, min(groups, 4096)), "id")  # a group is as much work as a million words, however few bytes its row has
+    return materialise(dealt.mapInArrow(filled, "shard long, slot long, number int, block long"))
 
 
 def _spans(placed: DataFrame, block: int) -> DataFrame:
