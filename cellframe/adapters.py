@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.model import Cell, with_positions
+from cellframe.model import LATTICES, Cell, lattice_cell, with_positions
 
 #: The cell of the points.
 BOX = Cell.cube(10.0)
@@ -52,6 +54,46 @@ def order_points(spark: SparkSession, folder: str) -> DataFrame:
     return with_positions(atoms, BOX)
 
 
+#: Nearest distance of the crystals, and how far an atom lies off its site at most along an axis.
+BOND, OFF = 2.5, 0.05
+
+
+def order_crystals(spark: SparkSession, folder: str) -> tuple[DataFrame, Cell]:
+    """``orders`` as atoms of crystals: a frame for each lattice, in it two crystals turned to different orientations, prices as noise.
+
+    The order's key numbers the sites.  The cell is open and as large as the crystals need; type and
+    crystal (0 or 1) are columns.
+    """
+    o = table(spark, folder, "orders")
+    cells = {k: lattice_cell(k) for k in LATTICES}
+    each = o.count() // (2 * len(LATTICES)) + 1  # atoms of a crystal
+    sides = {k: max(1, round((each / len(sites)) ** (1 / 3) + 0.5)) for k, (_, sites) in cells.items()}
+    extent = max(sides[k] * max(edges) for k, (edges, _) in cells.items()) * BOND
+    cell = Cell.cube(2 * 3**0.5 * extent, (False, False, False))
+    frame, crystal = (F.col("o_orderkey") % len(LATTICES)).cast("int"), F.floor(F.col("o_orderkey") / len(LATTICES)) % 2
+    site = F.floor(F.col("o_orderkey") / (2 * len(LATTICES)))
+    off = [(F.pmod(F.hash(F.col("o_totalprice"), F.col("o_orderkey"), F.lit(k)), F.lit(2001)) / 1000.0 - 1) * OFF for k in range(3)]
+    sites = [(f, c, n, len(cells[k][1]), sides[k], *cells[k][0], *map(float, at), *turned(f, c)) for f, k in enumerate(LATTICES) for c in (0, 1) for n, at in enumerate(cells[k][1])]
+    places = spark.createDataFrame(sites, "frame_index int, crystal int, site int, sites int, side int, e0 double, e1 double, e2 double, b0 double, b1 double, b2 double, cos double, sin double")
+    counts = F.element_at(F.array(*[F.lit(len(cells[k][1])) for k in LATTICES]), frame + 1)
+    rows = o.select(frame.alias("frame_index"), F.col("o_orderkey").alias("row_idx"), F.col("o_orderkey").cast("string").alias("atom_id"), F.col("o_orderstatus").alias("type_label"), crystal.cast("int").alias("crystal"), (site % counts).cast("int").alias("site"), F.floor(site / counts).alias("no"), *[c.alias(f"off{k}") for k, c in enumerate(off)])
+    rows = rows.join(F.broadcast(places), ["frame_index", "crystal", "site"])  # some eighty rows
+    side = F.col("side")
+    index = [F.col("no") % side, F.floor(F.col("no") / side) % side, F.floor(F.col("no") / (side * side))]
+    rows = rows.withColumns({f"l{k}": (index[k] + F.col(f"b{k}") - side / 2) * F.col(f"e{k}") * BOND for k in range(3)})
+    c, s, l0, l1, l2 = (F.col(n) for n in ("cos", "sin", "l0", "l1", "l2"))
+    length = float(cell.lengths[0])
+    placed = [l0 * c - l1 * s + F.when(F.col("crystal") == 0, length / 4).otherwise(3 * length / 4), (l0 * s + l1 * c) * c - l2 * s + length / 2, (l0 * s + l1 * c) * s + l2 * c + length / 2]
+    s = [((placed[k] + F.col(f"off{k}")) / length).alias(a) for k, a in enumerate(("sa", "sb", "sc"))]
+    return with_positions(rows.select("frame_index", "row_idx", "atom_id", "type_label", "crystal", *s), cell), cell
+
+
+def turned(frame: int, crystal: int) -> tuple[float, float]:
+    """Cosine and sine of the angle by which a crystal is turned, about z and then about x."""
+    angle = 0.1 + 0.07 * frame + 0.3 * crystal
+    return math.cos(angle), math.sin(angle)
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """``lineitem`` as a wide table of properties; its flags are the type."""
     rows = table(spark, folder, "lineitem")

@@ -103,3 +103,28 @@ def crystal(spark: SparkSession, kind: str = "fcc", repeat: int = 3, lattice: fl
     atoms = sites.select(F.lit(frame_index).alias("frame_index"), F.col("id").alias("row_idx"), (F.col("id") + 1).cast("string").alias("atom_id"), F.lit("A").alias("type_label"), *s)
     cell = Cell.cube(repeat * lattice)
     return with_positions(atoms, cell), cell
+
+
+def lattice_cell(kind: str) -> tuple[tuple[float, float, float], list[tuple[float, float, float]]]:
+    """Edges in units of the nearest distance and sites in reduced coordinates of an orthogonal cell; ``icosahedra`` are clusters of thirteen, apart from each other."""
+    third, root3, golden = 1 / 3, 3**0.5, (1 + 5**0.5) / 2
+    packed = [(0.0, 0.0, 0.0), (0.5, 0.5, 0.0), (0.5, 0.5 + third, 0.5), (0.0, third, 0.5)]
+    if kind in BASIS:
+        edge = {"sc": 1.0, "bcc": 2 / root3, "fcc": 2**0.5, "diamond": 4 / root3}[kind]
+        return (edge, edge, edge), BASIS[kind]
+    if kind == "hcp":
+        return (1.0, root3, (8 / 3) ** 0.5), packed
+    if kind == "hex_diamond":
+        edge = (8 / 3) ** 0.5
+        return (edge, edge * root3, 8 / 3), packed + [(x, y, z + 0.375) for x, y, z in packed]
+    if kind == "graphene":
+        return (root3, 3.0, 2.4), [(0.0, 0.0, 0.0), (0.5, 0.5, 0.0), (0.0, third, 0.0), (0.5, 0.5 + third, 0.0)]
+    if kind == "icosahedra":
+        size = 4 * (1 + golden**2) ** 0.5  # corners at a distance of 1 from the centre, in a cell of four
+        corners = [p[k:] + p[:k] for p in [(0.0, a, b * golden) for a in (1, -1) for b in (1, -1)] for k in range(3)]
+        return (4.0, 4.0, 4.0), [(0.5, 0.5, 0.5)] + [tuple(0.5 + x / size for x in p) for p in corners]
+    raise ValueError(f"No lattice {kind}")
+
+
+#: The lattices of ``lattice_cell`` in the order of their kinds in template matching.
+LATTICES = ("fcc", "hcp", "bcc", "icosahedra", "sc", "diamond", "hex_diamond", "graphene")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cellframe import adapters as A
 from cellframe.functions.expressions import Computed, compile_column, scope_of, select_where, with_computed
 from cellframe.model import Cell
-from cellframe.operators import attributes, clusters, correspondence, crystal, grids, measurements, neighbors, polyhedra, selection, statistics, structure, trajectory
+from cellframe.operators import attributes, clusters, correspondence, crystal, grids, measurements, neighbors, polyhedra, selection, statistics, structure, templates, trajectory
+from cellframe.plans.lineage import cut
 from cellframe.streaming.unwrap import windowed_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -705,3 +706,31 @@ def grid_replicated(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {POINTS} SELECT row_idx, CAST(a AS INTEGER) AS ca, CAST(c AS INTEGER) AS cc, round((sa + a) * 10, 6) AS x, round(sb * 10, 6) AS y, round((sc + c) * 10, 6) AS z FROM pt, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(3)) AS c)""")
 def trajectory_displayed(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(trajectory.displayed(A.points(spark, folder), A.BOX, (2, 1, 3)).select("row_idx", "ca", "cc", "x", "y", "z"), "x", "y", "z")
+
+
+# --- templates -------------------------------------------------------------------------------------
+
+
+def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    atoms, cell = A.order_crystals(spark, folder)
+    return atoms, cut(templates.template_matching(atoms, cell, tuple(range(1, 9)), radius=2.6 * A.BOND))
+
+
+@query()
+def template_matching(spark: SparkSession, folder: str) -> DataFrame:
+    return _matched(spark, folder)[1]
+
+
+@query()
+def lattice_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    atoms, found = _matched(spark, folder)
+    return templates.lattice_estimates(found.join(atoms.select("frame_index", "row_idx", "type_label"), ["frame_index", "row_idx"]))
+
+
+@query()
+def ideal_strain(spark: SparkSession, folder: str) -> DataFrame:
+    atoms, found = _matched(spark, folder)
+    frame = F.concat_ws("/", F.col("frame_index").cast("string"), "type_label")  # a lattice of its own in every frame
+    named = cut(found.join(atoms.select("frame_index", "row_idx", frame.alias("type_label")), ["frame_index", "row_idx"]))
+    estimates = templates.lattice_estimates(named).where("status = 'estimated'")
+    return templates.strain_from_references(named, estimates)
