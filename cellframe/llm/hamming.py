@@ -213,13 +213,15 @@ def rank(pairs: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataF
 
 
 def _without_repeats(rows: DataFrame, most: int) -> DataFrame:
-    """``rows`` (id, v), of equal vectors the ``most`` of smallest id."""
+    """``rows`` (id, v), of equal vectors those of the ``most`` smallest ids, and no more than ``most`` rows of an id."""
     marked = rows.withColumn("_mark", F.xxhash64("v"))
     many = materialise(marked.groupBy("_mark").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("_mark"))
     if not many.limit(1).count():
         return rows
-    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    few = marked.join(many, "_mark", "left_semi").withColumn("_place", place).where(F.col("_place") <= most)
+    # Both ranks are cut off before rows are dealt by vector, so that no task sees more than a part's few.
+    copy = F.row_number().over(Window.partitionBy("v", "id").orderBy("_mark"))
+    few = marked.join(many, "_mark", "left_semi").withColumn("_copy", copy).where(F.col("_copy") <= most)
+    few = few.withColumn("_place", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_place") <= most)
     return marked.join(many, "_mark", "left_anti").select("id", "v").unionByName(few.select("id", "v"))
 
 

@@ -10,12 +10,12 @@ languages and many texts pass through in step, each window begins in the state i
 it ended, and a window whose beginning was guessed wrong is parsed again.
 
 The sample is the one thing that is bounded: ``sample_docs`` documents per language, fewer where
-languages are so many that ``all_docs`` would be passed (one at least), chosen by a hash of their id, of
+languages are so many that ``all_docs`` would be passed (one at least), chosen by a hash of id and text, of
 each ``sample_bytes`` bytes of letters from a stretch that the hash chooses.  The automata are thereby
 small enough to be sent to every task.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; equal phrase counts go
-to the language first in alphabetical order; rows with null language train nothing; without any
+to the language first in alphabetical order; rows with null language train nothing, rows without id train like others and copies of a row once; without any
 labelled text all are ``und``; with one language the
 runner-up counts as a phrase a byte; repeated rows repeat; a long text is parsed whole; an empty table gives an empty result; further
 columns are ignored.
@@ -116,17 +116,18 @@ def automata(samples: dict[str, bytes]) -> Languages:
 def train(labelled: DataFrame, sample_docs: int = 96, sample_bytes: int = 400, all_docs: int = 768) -> Languages:
     """Automata from rows (doc_id, text, lang): of every language ``sample_docs`` documents, of all about ``all_docs`` at most."""
     usable = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))  # a row a language: as many as automata, which every task gets
+    usable = usable.withColumn("_key", F.xxhash64("doc_id", "text"))
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("_key").alias("_n"))  # a row a language: as many as automata, which every task gets
     most = max(1, min(sample_docs, all_docs // max(1, sizes.count())))
-    # Hash thinning leaves a few hundred rows of a language, however many it has, before rows are ranked.
-    thin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.floor(F.col("_n") / (4 * most)))) == 0
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(thin).withColumn("_rank", rank).where(F.col("_rank") <= most).select("doc_id", "lang", "_rank")
-    # Both bounds make the ids small enough to be sent to where the texts are.
+    # Hash thinning leaves a few hundred documents of a language, however many it has, before they are ranked;
+    # copies of a row count once, so that they neither fill a sample nor pass its bound.
+    keyed = usable.join(F.broadcast(sizes), "lang")
+    thin = F.pmod("_key", F.greatest(F.lit(1), F.floor(F.col("_n") / (4 * most)))) == 0
     long = STRETCH * sample_bytes
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - long)).cast("int") + 1
-    stretch = F.substring("text", start, F.lit(long))
-    rows = usable.select("doc_id", "lang", stretch.alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
+    start = F.pmod("_key", F.greatest(F.lit(1), F.length("text") - long)).cast("int") + 1
+    drawn = keyed.where(thin).select("lang", "_key", F.substring("text", start, F.lit(long)).alias("text")).dropDuplicates(["lang", "_key"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_key"))
+    rows = drawn.withColumn("_rank", rank).where(F.col("_rank") <= most)
     samples: dict[str, bytes] = {}
     for row in rows.orderBy("lang", "_rank").toLocalIterator():
         samples[row["lang"]] = samples.get(row["lang"], b"") + letters(row["text"])[:sample_bytes]

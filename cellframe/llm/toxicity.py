@@ -16,8 +16,8 @@ which takes every passage and word that was learnt, and a row of counts per samp
 zstandard's own trainer is not used: it fills dictionaries with what is frequent, and what is frequent
 in toxic text is mostly ordinary (the README has its figures).
 
-Defined cases: null and empty texts have no window and score as a clean text; rows without label
-train nothing; without labels of both classes every text scores 0; repeated rows repeat; a long
+Defined cases: null and empty texts have no window and score as a clean text; rows without label or
+id train nothing, and rows that share an id train by one of their texts; without labels of both classes every text scores 0; repeated rows repeat; a long
 text is scored whole, and so is a long word, in windows; an empty table gives an empty result; further
 columns of either table are ignored.
 """
@@ -127,12 +127,14 @@ def _signature(text: str, seed: int) -> int:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    usable = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    usable = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     sizes = usable.groupBy("toxic").agg(F.count("*").alias("_n"))  # two rows at most
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("_n") < F.lit(sample).cast("long") * (1 << 20)
     ids = usable.join(F.broadcast(sizes), "toxic").where(part).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * sample)
     # The sample's bound makes the ids small enough to be sent to where the texts are.
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    # Rows that share an id give one text, so that copies do not pass the bound.
+    chosen = met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

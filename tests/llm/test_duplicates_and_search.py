@@ -245,3 +245,11 @@ def test_groups_blocks_and_repeats_change_no_result(spark, monkeypatch):
     monkeypatch.setattr(hamming, "TOGETHER", 3)
     assert ask() == whole and len(whole) == 19 * 5
     assert [(n, v) for q, n, v, _ in whole if q == 150] == [(k + 1, 100 + k) for k in range(5)]
+
+
+def test_repeated_ids_do_not_push_out_other_ids(spark):
+    rng = np.random.default_rng(9)
+    v = [0.6, 0.8, 0.0, 0.0]
+    rows = [(0, v)] * 30 + [(i, v) for i in range(1, 26)] + [(100 + i, list(map(float, 0.5 * x / np.linalg.norm(x)))) for i, x in enumerate(rng.normal(size=(60, 4)))]
+    found = hamming.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0, k=5)
+    assert {(r["rank"], r.vec_id, round(r.score, 9)) for r in found.collect()} == {(k, k, 1.0) for k in range(1, 6)}

@@ -269,3 +269,21 @@ def test_pipeline_of_an_empty_table(spark, tmp_path, docs):
     docs.limit(0).select("doc_id", "text", "lang", "source", F.length("text").alias("n_chars")).write.parquet(f"{folder}/documents.parquet")
     spark.range(0, 5).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_language_samples_are_bounded_however_rows_repeat(spark):
+    rows = [(None, f"der hund lief {k} mal um das haus und bellte", "de") for k in range(300)] + [(7, "the dog ran round the house", "en")] * 1000
+    learnt = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=20, sample_bytes=100)
+    assert learnt.names == ["de", "en"] and len(learnt.table) <= learnt.width * (2 * 20 * 100 * 2 + 100)
+    told = language.identify(spark.createDataFrame([(1, "der hund bellte das haus"), (2, "the house ran round")], "doc_id long, text string"), learnt)
+    assert {r.doc_id: r.lang_pred for r in told.collect()} == {1: "de", 2: "en"}
+
+
+def test_toxic_samples_are_drawn_by_document(spark):
+    rows = [(k, ("you rotten filth scum " if k % 2 else "a calm walk by the river ") + f"word{k}") for k in range(40)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] * 30, "doc_id long, toxic int")
+    found = toxicity._sample(docs, labels, 10).collect()
+    assert {r.toxic for r in found} == {0, 1} and len(found) <= 80
+    whole = toxicity._sample(docs, labels, 40).collect()
+    assert len(whole) == 40 or len({r.text for r in whole}) == len(whole)
