@@ -12,10 +12,11 @@ from cellframe.operators.neighbors import pairs
 from cellframe.plans.lineage import cut
 
 
-def require_unique(table: DataFrame, key: str, what: str) -> None:
+def require_unique(table: DataFrame, key: str | list[str], what: str) -> None:
     """Rejects a table in which a key repeats or is missing."""
-    bad = table.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count() or table.where(F.col(key).isNull()).limit(1).count()
-    if bad:
+    keys = [key] if isinstance(key, str) else key
+    missing = F.coalesce(*[F.when(F.col(k).isNull(), True) for k in keys], F.lit(False))
+    if table.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | missing).limit(1).count():
         raise ValueError(f"{what} must have unique ids")
 
 
@@ -31,17 +32,20 @@ def external_join(atoms: DataFrame, values: DataFrame, key: str = "atom_id") ->
 
 
 def displacement(current: DataFrame, reference: DataFrame, cell: Cell | None = None, key: str = "atom_id") -> DataFrame:
-    """key, displacementX/Y/Z/Magnitude against the reference atom of the same id; NaN without one.
+    """frame_index, key, displacementX/Y/Z/Magnitude of every frame against the reference atom of the same id; NaN without one.
 
-    With ``cell`` the shortest periodic image counts, whatever the cell's shape.
+    ``reference`` is one frame.  With ``cell`` the shortest periodic image counts, whatever the cell's
+    shape.  Ids must not repeat within a frame.
     """
+    require_unique(reference, [key], "The reference frame")
+    require_unique(current, ["frame_index", key], "A frame")
     before = reference.select(key, *[F.col(c).alias(f"{c}_r") for c in "xyz"])
-    joined = current.select(key, *"xyz").join(before, key, "left")
+    joined = current.select("frame_index", key, *"xyz").join(before, key, "left")
     d = [F.col(c) - F.col(f"{c}_r") for c in "xyz"]
     if cell is not None:
         joined = joined.withColumns({f"_{n}": x for n, x in zip("xyz", nearest_image(d, cell), strict=True)})
         d = [F.col(f"_{n}") for n in "xyz"]
-    found = joined.select(key, *[F.coalesce(x, ieee.nan()).alias(f"displacement{n}") for x, n in zip(d, "XYZ", strict=True)])
+    found = joined.select("frame_index", key, *[F.coalesce(x, ieee.nan()).alias(f"displacement{n}") for x, n in zip(d, "XYZ", strict=True)])
     size = F.sqrt(F.col("displacementX") ** 2 + F.col("displacementY") ** 2 + F.col("displacementZ") ** 2)
     return found.withColumn("displacementMagnitude", size)
 
@@ -53,25 +57,30 @@ def color_tiles(reference: DataFrame, tiles: tuple[int, int, int] = (4, 4, 4)) -
 
 
 def reference_strain(current: DataFrame, reference: DataFrame, cell: Cell, reference_cell: Cell, cutoff: float) -> DataFrame:
-    """row_idx and strain against the reference neighborhood: shear, hydrostatic, volume change, E, F, D2min.
+    """frame_index, row_idx and every frame's strain against the reference neighborhood: shear, hydrostatic, volume change, E, F, D2min.
 
-    The deformation gradient is the least-squares map of the reference bonds to the current ones of the
-    same ids; atoms with fewer than three bonds, a singular fit or det F <= 0 have NaN.
+    ``reference`` is one frame.  The deformation gradient is the least-squares map of the reference bonds
+    to the current ones of the same ids.  A current bond is the image of which the change of the bond, in
+    coordinates of the cell, is the shortest vector: so bonds are right in cells of any shape, and each of
+    two images of one neighbor keeps its own.  Atoms with fewer than three bonds, a singular fit or
+    det F <= 0 have NaN.
     """
-    bonds = pairs(reference, reference_cell, cutoff).where("i <> j")
-    ids = reference.select("frame_index", F.col("row_idx").alias("i"), F.col("atom_id").alias("id_i"))
-    bonds = bonds.join(ids, ["frame_index", "i"]).join(ids.select("frame_index", F.col("i").alias("j"), F.col("id_i").alias("id_j")), ["frame_index", "j"])
-    place = lambda side: current.select(F.col("atom_id").alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in "xyz"])
-    both = bonds.join(place("i"), "id_i").join(place("j"), "id_j")
-    s = cell.reduced(tuple(F.col(f"{c}_j") - F.col(f"{c}_i") for c in "xyz"), placed=False)
-    s = tuple(x - ieee.nearest_image(x) if periodic else x for x, periodic in zip(s, cell.pbc, strict=True))
-    v = cell.cartesian(s, placed=False)
-    both = both.withColumns({f"v{k}": v[k] for k in range(3)})
+    require_unique(reference, ["atom_id"], "The reference frame")
+    bonds = pairs(reference, reference_cell, cutoff).where("i <> j").drop("frame_index")
+    ids = reference.select(F.col("row_idx").alias("i"), F.col("atom_id").alias("id_i"))
+    bonds = bonds.join(ids, "i").join(ids.select(F.col("i").alias("j"), F.col("id_i").alias("id_j")), "j")
+    place = lambda side: current.select("frame_index", F.col("atom_id").alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in "xyz"])
+    both = bonds.join(place("i"), "id_i").join(place("j"), ["frame_index", "id_j"])
+    # The reference bond in the current cell's coordinates is what the current bond would be without strain.
+    unstrained = cell.cartesian(reference_cell.reduced(tuple(F.col(c) for c in ("dx", "dy", "dz")), placed=False), placed=False)
+    both = both.withColumns({f"u{k}": unstrained[k] for k in range(3)})
+    change = nearest_image([F.col(f"{c}_j") - F.col(f"{c}_i") - F.col(f"u{k}") for k, c in enumerate("xyz")], cell)
+    both = both.withColumns({f"v{k}": F.col(f"u{k}") + change[k] for k in range(3)})
     r, c = ("dx", "dy", "dz"), ("v0", "v1", "v2")
     sums = [F.sum(F.col(r[a]) * F.col(r[b])).alias(f"m{a}{b}") for a in range(3) for b in range(a, 3)]
     sums += [F.sum(F.col(c[a]) * F.col(r[b])).alias(f"n{a}{b}") for a in range(3) for b in range(3)]
     sums += [F.sum(sum((F.col(x) * F.col(x) for x in c), F.lit(0.0))).alias("vv"), F.count("*").alias("bonds")]
-    fit = both.groupBy("id_i").agg(*sums)
+    fit = both.groupBy("frame_index", "id_i").agg(*sums)
     m = [[F.col(f"m{min(a, b)}{max(a, b)}") for b in range(3)] for a in range(3)]
     minor = lambda a, b: m[(a + 1) % 3][(b + 1) % 3] * m[(a + 2) % 3][(b + 2) % 3] - m[(a + 1) % 3][(b + 2) % 3] * m[(a + 2) % 3][(b + 1) % 3]
     fit = fit.withColumns({f"c{a}{b}": minor(a, b) for a in range(3) for b in range(3)})
@@ -95,9 +104,10 @@ def reference_strain(current: DataFrame, reference: DataFrame, cell: Cell, refer
     out += [clip(e[a, b]).alias(f"referenceE{a + 1}{b + 1}") for a in range(3) for b in range(a, 3)]
     out += [clip(f[a][b]).alias(f"referenceF{a + 1}{b + 1}") for a in range(3) for b in range(3)]
     out += [clip(F.when(rest < 1e-10, 0.0).otherwise(rest)).alias("referenceD2min")]
-    strained = fit.select(F.col("id_i").alias("atom_id"), *out)
-    names = [n for n in strained.columns if n != "atom_id"]
-    return current.select("row_idx", "atom_id").join(strained, "atom_id", "left").select("row_idx", "atom_id", *[F.coalesce(n, nan).alias(n) for n in names])
+    strained = fit.select("frame_index", F.col("id_i").alias("atom_id"), *out)
+    names = [n for n in strained.columns if n not in ("frame_index", "atom_id")]
+    found = current.select("frame_index", "row_idx", "atom_id").join(strained, ["frame_index", "atom_id"], "left")
+    return found.select("frame_index", "row_idx", "atom_id", *[F.coalesce(n, nan).alias(n) for n in names])
 
 
 #: Classes of site occupation.
@@ -105,24 +115,26 @@ DEFECTS = {0: "vacancy", 1: "regular", 2: "interstitial", 3: "antisite"}
 
 
 def nearest_sites(atoms: DataFrame, sites: DataFrame, cell: Cell, radius: float) -> DataFrame:
-    """Each atom's nearest site: row_idx, site, distance; ties go to the lower site.
+    """Each atom's nearest site in every frame: frame_index, row_idx, site, distance; ties go to the lower site.
 
-    Both tables have reduced coordinates of ``cell``.  They go through one binned join; atoms without
-    a site within the radius look again within twice the radius.
+    ``sites`` are one frame, which all frames of ``atoms`` are compared with.  Both tables have reduced
+    coordinates of ``cell``.  They go through one binned join; atoms without a site within the radius
+    look again within twice the radius.
     """
     far = float(cell.lengths.sum())
     todo, parts = atoms, []
     width = sites.agg(F.max("row_idx")).first()[0]
     offset = int(width if width is not None else -1) + 1
-    columns = ["frame_index", "row_idx", "sa", "sb", "sc"]
+    frames = atoms.select("frame_index").distinct()
+    everywhere = cut(sites.select("row_idx", "sa", "sb", "sc").withColumn("_all", F.lit(0)).join(frames.withColumn("_all", F.lit(0)), "_all").select("frame_index", "row_idx", "sa", "sb", "sc"))
     while True:
         moved = todo.select("frame_index", (F.col("row_idx") + offset).alias("row_idx"), "sa", "sb", "sc")
         # Only atoms are centres, and only sites are met.
-        found = pairs(sites.select(*columns), cell, radius, moved)
-        best = found.groupBy("i").agg(F.min(F.struct("d2", "j")).alias("b")).select((F.col("i") - offset).alias("row_idx"), F.col("b.j").alias("site"), F.sqrt("b.d2").alias("distance"))
+        found = pairs(everywhere, cell, radius, moved)
+        best = found.groupBy("frame_index", "i").agg(F.min(F.struct("d2", "j")).alias("b")).select("frame_index", (F.col("i") - offset).alias("row_idx"), F.col("b.j").alias("site"), F.sqrt("b.d2").alias("distance"))
         best = cut(best)
         parts.append(best)
-        todo = cut(todo.join(best.select("row_idx"), "row_idx", "left_anti"))
+        todo = cut(todo.join(best.select("frame_index", "row_idx"), ["frame_index", "row_idx"], "left_anti"))
         if radius > far or not todo.limit(1).count():
             break
         radius *= 2
@@ -133,31 +145,33 @@ def nearest_sites(atoms: DataFrame, sites: DataFrame, cell: Cell, radius: float)
 
 
 def wigner_seitz(atoms: DataFrame, sites: DataFrame, cell: Cell, radius: float) -> tuple[DataFrame, DataFrame]:
-    """Per site (site, occupancy, defect) and per atom (row_idx, wsSiteIndex, wsDistance, wsOccupancy, wsDefectClass)."""
-    near = nearest_sites(atoms, sites, cell, radius).join(atoms.select("row_idx", F.col("type_label").alias("atom_type")), "row_idx")
-    site = sites.select(F.col("row_idx").alias("site"), F.col("type_label").alias("site_type"))
-    counted = near.groupBy("site").agg(F.count("*").alias("occupancy"), F.min("atom_type").alias("only_type"))
-    occupied = site.join(counted, "site", "left").fillna(0, ["occupancy"])
+    """Per frame and site (site, occupancy, defect) and per atom (row_idx, wsSiteIndex, wsDistance, wsOccupancy, wsDefectClass)."""
+    key = ["frame_index", "row_idx"]
+    near = nearest_sites(atoms, sites, cell, radius).join(atoms.select(*key, F.col("type_label").alias("atom_type")), key)
+    counted = near.groupBy("frame_index", "site").agg(F.count("*").alias("occupancy"), F.min("atom_type").alias("only_type"))
+    frames = atoms.select("frame_index").distinct().withColumn("_all", F.lit(0))
+    site = sites.select(F.col("row_idx").alias("site"), F.col("type_label").alias("site_type"), F.lit(0).alias("_all")).join(frames, "_all").drop("_all")
+    occupied = site.join(counted, ["frame_index", "site"], "left").fillna(0, ["occupancy"])
     defect = F.when(F.col("occupancy") == 0, 0).when(F.col("occupancy") > 1, 2).when(F.col("only_type") == F.col("site_type"), 1).otherwise(3)
-    occupied = occupied.withColumn("defect", defect).select("site", "site_type", "occupancy", "defect")
-    per_atom = near.join(occupied, "site").select("row_idx", F.col("site").alias("wsSiteIndex"), F.col("distance").alias("wsDistance"), F.col("occupancy").alias("wsOccupancy"), F.col("defect").alias("wsDefectClass"), F.col("site_type").alias("wsSiteType"))
+    occupied = occupied.withColumn("defect", defect).select("frame_index", "site", "site_type", "occupancy", "defect")
+    per_atom = near.join(occupied, ["frame_index", "site"]).select(*key, F.col("site").alias("wsSiteIndex"), F.col("distance").alias("wsDistance"), F.col("occupancy").alias("wsOccupancy"), F.col("defect").alias("wsDefectClass"), F.col("site_type").alias("wsSiteType"))
     return occupied, per_atom
 
 
 def defect_attributes(occupied: DataFrame) -> DataFrame:
-    """name, value: the vacancies, interstitials, antisites and sites of a frame."""
-    counted = occupied.agg(
+    """frame_index, name, value: the vacancies, interstitials, antisites and sites of each frame."""
+    counted = occupied.groupBy("frame_index").agg(
         F.count_if(F.col("occupancy") == 0).alias("vacancy_count"), F.sum(F.greatest(F.col("occupancy") - 1, F.lit(0))).alias("interstitial_count"),
         F.count_if(F.col("defect") == 3).alias("antisite_count"), F.count("*").alias("site_count"),
     )
-    names = counted.columns
+    names = counted.columns[1:]
     pairs_of = [F.struct(F.lit(f"WignerSeitz.{n}").alias("name"), F.coalesce(F.col(n), F.lit(0)).cast("double").alias("value")) for n in names]
-    return counted.select(F.explode(F.array(*pairs_of)).alias("a")).select("a.*")
+    return counted.select("frame_index", F.explode(F.array(*pairs_of)).alias("a")).select("frame_index", "a.*")
 
 
 def defect_summary(occupied: DataFrame) -> DataFrame:
-    """site_type, sites, vacancies, regular, interstitials (extra atoms), antisites."""
-    return occupied.groupBy("site_type").agg(
+    """frame_index, site_type, sites, vacancies, regular, interstitials (extra atoms), antisites."""
+    return occupied.groupBy("frame_index", "site_type").agg(
         F.count("*").alias("sites"), F.count_if(F.col("defect") == 0).alias("vacancies"), F.count_if(F.col("defect") == 1).alias("regular"),
         F.sum(F.greatest(F.col("occupancy") - 1, F.lit(0))).alias("interstitials"), F.count_if(F.col("defect") == 3).alias("antisites"),
     )

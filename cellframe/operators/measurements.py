@@ -46,11 +46,17 @@ def nearest_image(d: list[Column], cell: Cell) -> list[Column]:
     base = [d[k] + sum((turns[i] * float(basis[i, k]) for i in range(len(basis))), F.lit(0.0)) for k in range(3)]
     if np.allclose(basis @ basis.T, np.diag((basis**2).sum(axis=1)), atol=1e-9 * float((basis**2).max())):
         return base
-    options = []
-    for step in itertools.product((0, -1, 1), repeat=len(basis)):
-        moved = [b + float(v) for b, v in zip(base, np.array(step) @ basis, strict=True)]
-        options.append(F.struct((moved[0] * moved[0] + moved[1] * moved[1] + moved[2] * moved[2]).alias("d2"), F.lit(len(options)).alias("k"), *[m.alias(n) for m, n in zip(moved, "xyz", strict=True)]))
-    best = F.array_min(F.array(*options))
+    steps = [np.array(step) @ basis for step in itertools.product((0, -1, 1), repeat=len(basis))]
+
+    def shortest(r: Column) -> Column:
+        options = []
+        for k, step in enumerate(steps):
+            moved = [r[n] + float(v) for n, v in zip("xyz", step, strict=True)]
+            options.append(F.struct((moved[0] * moved[0] + moved[1] * moved[1] + moved[2] * moved[2]).alias("d2"), F.lit(k).alias("k"), *[m.alias(n) for m, n in zip(moved, "xyz", strict=True)]))
+        return F.array_min(F.array(*options))
+
+    # Bound to a name, the vector is computed once, and the generated code stays small.
+    best = F.element_at(F.transform(F.array(F.struct(*[c.alias(n) for c, n in zip(base, "xyz", strict=True)])), shortest), 1)
     return [best[n] for n in "xyz"]
 
 

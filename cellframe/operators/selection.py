@@ -73,13 +73,14 @@ def summaries(members: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def expanded(start: DataFrame, links: DataFrame, iterations: int = 1) -> DataFrame:
-    """row_idx reached from ``start`` over ``links`` (i, j) in so many steps; each step starts from what the last one added."""
+    """frame_index, row_idx reached from ``start`` over ``links`` (frame_index, i, j) in so many steps; each step starts from what the last one added."""
     if not 1 <= iterations <= 100:
         raise ValueError("Between 1 and 100 iterations")
-    known = frontier = start.select("row_idx").distinct()
+    key = ["frame_index", "row_idx"]
+    known = frontier = start.select(*key).distinct()
     for _ in range(iterations):
-        reached = links.join(frontier.select(F.col("row_idx").alias("i")), "i").select(F.col("j").alias("row_idx")).distinct()
-        frontier = cut(reached.join(known, "row_idx", "left_anti"))
+        reached = links.join(frontier.select("frame_index", F.col("row_idx").alias("i")), ["frame_index", "i"]).select("frame_index", F.col("j").alias("row_idx")).distinct()
+        frontier = cut(reached.join(known, key, "left_anti"))
         if not frontier.limit(1).count():
             break
         known = known.union(frontier)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellframe import adapters as A
 from cellframe.functions.expressions import Computed, compile_column, scope_of, select_where, with_computed
-from cellframe.model import Cell
+from cellframe.model import Cell, with_positions
 from cellframe.operators import attributes, clusters, correspondence, crystal, grids, measurements, neighbors, polyhedra, selection, statistics, structure, templates, trajectory
 from cellframe.plans.lineage import cut
 from cellframe.streaming.unwrap import windowed_statistics
@@ -174,7 +174,7 @@ def selection_slices(spark: SparkSession, folder: str) -> DataFrame:
     SELECT DISTINCT row_idx FROM walk""")
 def selection_expanded(spark: SparkSession, folder: str) -> DataFrame:
     atoms = A.points(spark, folder)
-    return selection.expanded(atoms.where("type_label = '0'"), neighbors.pairs(atoms, A.BOX, 0.5), 2)
+    return selection.expanded(atoms.where("type_label = '0'"), neighbors.pairs(atoms, A.BOX, 0.5), 2).select("row_idx")
 
 
 @query(f"""WITH {POINTS} SELECT row_idx FROM pt WHERE type_label NOT IN ('1', '2') AND p4 BETWEEN -0.1 AND 0.1""")
@@ -342,7 +342,7 @@ def _days(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     SELECT atom_id, coalesce(round(x, 6), 'nan'::DOUBLE) AS "displacementX", coalesce(round(y, 6), 'nan'::DOUBLE) AS "displacementY", coalesce(z, 'nan'::DOUBLE) AS "displacementZ", coalesce(round(sqrt(x * x + y * y), 6), 'nan'::DOUBLE) AS "displacementMagnitude" FROM m""")
 def join_displacement(spark: SparkSession, folder: str) -> DataFrame:
     current, reference = _days(spark, folder)
-    found = correspondence.displacement(current, reference, A.BOX)
+    found = correspondence.displacement(current, reference, A.BOX).drop("frame_index")
     return found.withColumns({c: F.round(c, 6) + 0.0 for c in found.columns if c != "atom_id"})
 
 
@@ -531,14 +531,14 @@ def central_symmetry(spark: SparkSession, folder: str) -> DataFrame:
     SELECT site, site_type, occupancy, CASE WHEN occupancy = 0 THEN 0 WHEN occupancy > 1 THEN 2 WHEN ta = site_type THEN 1 ELSE 3 END AS defect FROM o""")
 def wigner_seitz_sites(spark: SparkSession, folder: str) -> DataFrame:
     atoms = A.points(spark, folder)
-    return correspondence.wigner_seitz(atoms.where("row_idx % 2 = 0"), atoms.where("row_idx % 2 = 1"), A.BOX, 1.0)[0]
+    return correspondence.wigner_seitz(atoms.where("row_idx % 2 = 0"), atoms.where("row_idx % 2 = 1"), A.BOX, 1.0)[0].drop("frame_index")
 
 
 @query(SQL["wigner_seitz_sites"].replace("SELECT site, site_type, occupancy, CASE WHEN", "SELECT u.name, u.value::DOUBLE AS value FROM (SELECT count(*) FILTER (WHERE d = 0) AS v, sum(greatest(occupancy - 1, 0)) AS i, count(*) FILTER (WHERE d = 3) AS a, count(*) AS n FROM (SELECT occupancy, CASE WHEN").replace("AS defect FROM o", """AS d FROM o) t) k,
     LATERAL (SELECT unnest(['WignerSeitz.vacancy_count', 'WignerSeitz.interstitial_count', 'WignerSeitz.antisite_count', 'WignerSeitz.site_count']) AS name, unnest([v, i, a, n]) AS value) u"""))
 def wigner_seitz_attributes(spark: SparkSession, folder: str) -> DataFrame:
     atoms = A.points(spark, folder)
-    return correspondence.defect_attributes(correspondence.wigner_seitz(atoms.where("row_idx % 2 = 0"), atoms.where("row_idx % 2 = 1"), A.BOX, 1.0)[0])
+    return correspondence.defect_attributes(correspondence.wigner_seitz(atoms.where("row_idx % 2 = 0"), atoms.where("row_idx % 2 = 1"), A.BOX, 1.0)[0]).drop("frame_index")
 
 
 @query()
@@ -559,7 +559,7 @@ def suggested_cutoff(spark: SparkSession, folder: str) -> DataFrame:
 def reference_strain(spark: SparkSession, folder: str) -> DataFrame:
     reference = A.points(spark, folder)
     current = reference.withColumn("x", F.col("x") * 1.01 + F.col("y") * 0.02).withColumn("y", F.col("y") * 0.99)
-    return correspondence.reference_strain(current, reference, Cell(A.BOX.h, (False, False, False)), Cell(A.BOX.h, (False, False, False)), 1.0)
+    return correspondence.reference_strain(current, reference, Cell(A.BOX.h, (False, False, False)), Cell(A.BOX.h, (False, False, False)), 1.0).drop("frame_index")
 
 
 @query("SELECT count(*) AS cells, CAST(1000.0 AS DOUBLE) AS volume, CAST(0 AS BIGINT) AS boundary FROM embeddings")
@@ -734,3 +734,56 @@ def ideal_strain(spark: SparkSession, folder: str) -> DataFrame:
     named = cut(found.join(atoms.select("frame_index", "row_idx", frame.alias("type_label")), ["frame_index", "row_idx"]))
     estimates = templates.lattice_estimates(named).where("status = 'estimated'")
     return templates.strain_from_references(named, estimates)
+
+
+# --- several frames at once ------------------------------------------------------------------------
+
+
+@query(f"""WITH {TRACK}, d AS (SELECT c.frame_index, c.atom_id, c.sa - r.sa AS a, c.sb - r.sb AS b FROM tr c LEFT JOIN tr r ON r.atom_id = c.atom_id AND r.frame_index = 2 WHERE c.frame_index <> 2),
+    m AS (SELECT frame_index, atom_id, (a - floor(a + 0.5)) * 10 AS x, (b - floor(b + 0.5)) * 10 AS y FROM d)
+    SELECT frame_index, atom_id, coalesce(round(sqrt(x * x + y * y), 6), 'nan'::DOUBLE) AS "displacementMagnitude" FROM m""")
+def displacement_frames(spark: SparkSession, folder: str) -> DataFrame:
+    track = A.trajectory(spark, folder)
+    found = correspondence.displacement(track.where("frame_index <> 2"), track.where("frame_index = 2"), A.BOX)
+    return rounded(found.select("frame_index", "atom_id", "displacementMagnitude"), "displacementMagnitude")
+
+
+ORDERS = """od AS (
+    SELECT CAST(o_orderkey % 40 AS INTEGER) AS frame_index, o_orderkey AS row_idx, o_orderstatus AS type_label, o_totalprice / 977.0 - floor(o_totalprice / 977.0) AS sa,
+           o_custkey * 0.6180339887::DOUBLE - floor(o_custkey * 0.6180339887::DOUBLE) AS sb, o_orderkey * 0.7548776662::DOUBLE - floor(o_orderkey * 0.7548776662::DOUBLE) AS sc
+    FROM orders)"""
+
+
+@query(f"""WITH {ORDERS}, d AS (SELECT a.frame_index, a.row_idx, a.type_label AS ta, q.row_idx AS s, pow(a.sa - q.sa - floor(a.sa - q.sa + 0.5), 2) + pow(a.sb - q.sb - floor(a.sb - q.sb + 0.5), 2) + pow(a.sc - q.sc - floor(a.sc - q.sc + 0.5), 2) AS d2
+        FROM od a JOIN od q ON a.frame_index > 0 AND q.frame_index = 0),
+    b AS (SELECT frame_index, row_idx, any_value(ta) AS ta, arg_min(s, (round(d2, 12), s)) AS s FROM d GROUP BY 1, 2),
+    f AS (SELECT DISTINCT frame_index FROM od WHERE frame_index > 0),
+    o AS (SELECT f.frame_index, q.row_idx AS site, q.type_label AS site_type, count(b.row_idx) AS occupancy, min(b.ta) AS ta FROM od q JOIN f ON q.frame_index = 0 LEFT JOIN b ON b.s = q.row_idx AND b.frame_index = f.frame_index GROUP BY ALL)
+    SELECT frame_index, site, site_type, occupancy, CASE WHEN occupancy = 0 THEN 0 WHEN occupancy > 1 THEN 2 WHEN ta = site_type THEN 1 ELSE 3 END AS defect FROM o""")
+def wigner_seitz_frames(spark: SparkSession, folder: str) -> DataFrame:
+    atoms = A.order_points(spark, folder)
+    return correspondence.wigner_seitz(atoms.where("frame_index > 0"), atoms.where("frame_index = 0"), A.BOX, 1.0)[0]
+
+
+#: A skewed cell that the points are strained into, beside displacements of their own.
+STRAINED = Cell((10.2, 0.0, 0.0, 4.9, 9.9, 0.0, -4.7, 3.1, 10.1))
+_BOND = [" + ".join(f"(d{c} * 0.1 + 0.05 * (pj.{p} - pi.{p})) * {float(STRAINED.matrix[k, i])!r}" for k, (c, p) in enumerate(zip("xyz", ("p4", "p5", "p6"), strict=True))) for i in range(3)]
+_FIT = {
+    "moments": ", ".join([f"sum(r{a} * r{b}) AS m{a}{b}" for a in range(3) for b in range(3)] + [f"sum(v{a} * r{b}) AS n{a}{b}" for a in range(3) for b in range(3)]),
+    "minors": ", ".join(f"m{(a + 1) % 3}{(b + 1) % 3} * m{(a + 2) % 3}{(b + 2) % 3} - m{(a + 1) % 3}{(b + 2) % 3} * m{(a + 2) % 3}{(b + 1) % 3} AS c{a}{b}" for a in range(3) for b in range(3)),
+    "gradient": ", ".join("(" + " + ".join(f"n{a}{k} * c{b}{k}" for k in range(3)) + f") / det AS f{a}{b}" for a in range(3) for b in range(3)),
+    "volume": " + ".join(f"f0{k} * (f1{(k + 1) % 3} * f2{(k + 2) % 3} - f1{(k + 2) % 3} * f2{(k + 1) % 3})" for k in range(3)),
+    "result": ", ".join(f"coalesce(round(CASE WHEN det_f > 0 THEN f{a}{b} END, 4) + 0.0, 'nan'::DOUBLE) AS \"referenceF{a + 1}{b + 1}\"" for a in range(3) for b in range(3)),
+}
+
+
+@query(f"""WITH {PAIRS}, b AS (SELECT i, dx AS r0, dy AS r1, dz AS r2, {", ".join(f"{v} AS v{k}" for k, v in enumerate(_BOND))} FROM pr JOIN pt pi ON pi.row_idx = pr.i JOIN pt pj ON pj.row_idx = pr.j WHERE {D2} <= 1.0 AND i <> j),
+    m AS (SELECT i, count(*) AS bonds, {_FIT["moments"]} FROM b GROUP BY i), c AS (SELECT *, {_FIT["minors"]} FROM m), d AS (SELECT *, m00 * c00 + m01 * c01 + m02 * c02 AS det FROM c),
+    f AS (SELECT i, {_FIT["gradient"]} FROM d WHERE bonds >= 3 AND abs(det) > 1e-12), g AS (SELECT *, {_FIT["volume"]} AS det_f FROM f)
+    SELECT row_idx, {_FIT["result"]} FROM pt LEFT JOIN g ON i = row_idx""")
+def reference_strain_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    reference = A.points(spark, folder)
+    moved = reference.withColumns({a: F.col(a) + 0.05 * F.col(p) for a, p in zip(("sa", "sb", "sc"), ("p4", "p5", "p6"), strict=True)})
+    found = correspondence.reference_strain(with_positions(moved, STRAINED), reference, STRAINED, A.BOX, 1.0)
+    names = [f"referenceF{a}{b}" for a in (1, 2, 3) for b in (1, 2, 3)]
+    return found.select("row_idx", *[(F.round(n, 4) + 0.0).alias(n) for n in names])

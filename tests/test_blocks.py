@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellframe.model import Cell, crystal, with_positions
-from cellframe.operators import blocks, clusters, correspondence, grids, measurements, neighbors, polyhedra, statistics, structure
+from cellframe.operators import blocks, clusters, correspondence, grids, measurements, neighbors, polyhedra, selection, statistics, structure
 
 SKEWED = Cell((6.0, 0, 0, 2.5, 5.0, 0, -1.5, 2.0, 7.0))
 
@@ -211,7 +211,7 @@ def test_tables_of_frames(spark):
     assert statistics.atom_table(atoms, ["e"]).columns == ["frame_index", "id", "type", "x", "y", "z", "e"]
     found = clusters.numbered(spark.range(100).selectExpr("0 as g", "id % 7 as size", "id"), ["g"], [F.desc("size"), F.col("id")], "n").collect()
     assert [r.id for r in sorted(found, key=lambda r: r.n)] == sorted(range(100), key=lambda i: (-(i % 7), i)) and sorted(r.n for r in found) == list(range(1, 101))
-    site = correspondence.defect_attributes(spark.createDataFrame([(1, 0, 0), (2, 3, 2), (3, 1, 3)], "site long, occupancy long, defect int"))
+    site = correspondence.defect_attributes(spark.createDataFrame([(0, 1, 0, 0), (0, 2, 3, 2), (0, 3, 1, 3)], "frame_index int, site long, occupancy long, defect int"))
     assert {r.name: r.value for r in site.collect()} == {"WignerSeitz.vacancy_count": 1, "WignerSeitz.interstitial_count": 2, "WignerSeitz.antisite_count": 1, "WignerSeitz.site_count": 3}
 
 
@@ -236,3 +236,44 @@ def test_isosurface_of_a_sphere_is_closed_and_has_its_measures(spark, pbc):
     assert all(edges.get((b, a), 0) == count for (a, b), count in edges.items())
     holes = samples.withColumn("value", F.when((F.col("i") == 12) & (F.col("j") == 12), float("nan")).otherwise(F.col("value")))
     assert grids.isosurface(holes, (n, n, n), cell, 0.0).count() < triangles.count() and grids.isosurface(samples.limit(0), (n, n, n), cell, 0.0).count() == 0
+
+
+def test_frames_are_kept_apart(spark):
+    rng = np.random.default_rng(21)
+    sites = frame_of(spark, rng.random((3, 3)), SKEWED)
+    atoms = frame_of(spark, rng.random((3, 3)), SKEWED, (4, 5))
+    occupied, per_atom = correspondence.wigner_seitz(atoms, sites, SKEWED, 1.0)
+    assert occupied.count() == per_atom.count() == 6
+    assert {(r.frame_index, r["sum(occupancy)"]) for r in occupied.groupBy("frame_index").sum("occupancy").collect()} == {(4, 3), (5, 3)}
+    moved = correspondence.displacement(atoms, sites, SKEWED)
+    assert moved.count() == 6 and {r.frame_index for r in moved.collect()} == {4, 5}
+    assert {(r.frame_index, r["name"]): r["value"] for r in correspondence.defect_attributes(occupied).collect()}[4, "WignerSeitz.site_count"] == 3
+    start = spark.createDataFrame([(4, 0)], "frame_index int, row_idx long")
+    links = spark.createDataFrame([(4, 0, 1), (5, 1, 2), (5, 0, 2)], "frame_index int, i long, j long")
+    assert {tuple(r) for r in selection.expanded(start, links, 3).collect()} == {(4, 0), (4, 1)}
+    with pytest.raises(ValueError):
+        correspondence.displacement(atoms, atoms, SKEWED)
+
+
+def test_bonds_keep_their_images_in_small_skewed_cells(spark):
+    rng = np.random.default_rng(22)
+    s = rng.random((4, 3))
+    small = Cell((3.1, 0, 0, 1.4, 2.9, 0, -1.2, 0.9, 3.3))
+    f = np.eye(3) + np.array([[0.02, 0.03, 0], [0, -0.01, 0.02], [0.01, 0, 0.03]])
+    strained = Cell(tuple((small.matrix @ f.T).ravel()))
+    reference = frame_of(spark, s, small)
+    current = frame_of(spark, s + rng.integers(-2, 3, s.shape), strained, (1, 2))
+    found = correspondence.reference_strain(current, reference, strained, small, 4.0).collect()
+    assert len(found) == 8
+    for r in found:
+        assert np.allclose([[r[f"referenceF{a}{b}"] for b in (1, 2, 3)] for a in (1, 2, 3)], f, atol=1e-9) and r.referenceD2min == 0
+
+
+def test_voronoi_ends_where_atoms_share_a_place(spark):
+    rng = np.random.default_rng(23)
+    s = rng.random((12, 3))
+    found = {r.row_idx: r for r in polyhedra.voronoi(frame_of(spark, np.vstack([s, s[3], s[3]]), SKEWED), SKEWED).collect()}
+    assert len(found) == 14 and found[12].voronoiIndex == found[13].voronoiIndex == "coincident" and math.isnan(found[12].atomicVolume)
+    assert sum(r.atomicVolume for k, r in found.items() if k < 12) == pytest.approx(SKEWED.volume)
+    pair = frame_of(spark, np.zeros((2, 3)) + 0.5, Cell.cube(10.0))
+    assert {r.row_idx: r.voronoiIndex for r in polyhedra.voronoi(pair, Cell.cube(10.0)).collect()}[1] == "coincident"
