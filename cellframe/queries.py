@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellframe import adapters as A
 from cellframe.functions.expressions import Computed, compile_column, scope_of, select_where, with_computed
 from cellframe.model import Cell, with_positions
-from cellframe.operators import attributes, clusters, correspondence, crystal, grids, measurements, neighbors, polyhedra, selection, statistics, structure, templates, trajectory
+from cellframe.operators import attributes, clusters, correspondence, crystal, grains, grids, measurements, neighbors, polyhedra, selection, statistics, structure, templates, trajectory
 from cellframe.plans.lineage import cut
 from cellframe.streaming.unwrap import windowed_statistics
 
@@ -787,3 +787,21 @@ def reference_strain_periodic(spark: SparkSession, folder: str) -> DataFrame:
     found = correspondence.reference_strain(with_positions(moved, STRAINED), reference, STRAINED, A.BOX, 1.0)
     names = [f"referenceF{a}{b}" for a in (1, 2, 3) for b in (1, 2, 3)]
     return found.select("row_idx", *[(F.round(n, 4) + 0.0).alias(n) for n in names])
+
+
+# --- grains ----------------------------------------------------------------------------------------
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    atoms, cell = A.order_crystals(spark, folder)
+    return templates.template_matching(atoms, cell, tuple(range(1, 9)), lists=True, radius=2.6 * A.BOND)
+
+
+@query()
+def grains_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return grains.grains(_listed(spark, folder), "tree", 3.9, least=20)[0]
+
+
+@query()
+def grains_automatic(spark: SparkSession, folder: str) -> DataFrame:
+    return grains.grains(_listed(spark, folder), least=20)[1]
