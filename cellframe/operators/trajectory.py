@@ -96,3 +96,29 @@ def concatenated(parts: list[DataFrame]) -> DataFrame:
         result = moved if result is None else result.unionByName(moved, allowMissingColumns=True)
         offset += (part.agg(F.max("frame_index")).first()[0] or 0) + 1
     return result
+
+
+def id_digests(atoms: DataFrame) -> DataFrame:
+    """frame_index, n and digests of each frame's ids that do not depend on their order: equal sets have equal digests."""
+    hashed = [F.xxhash64("atom_id"), F.xxhash64(F.lit("id"), "atom_id")]
+    return atoms.groupBy("frame_index").agg(F.count("*").alias("n"), *[F.bit_xor(h).alias(f"xor{k}") for k, h in enumerate(hashed)], F.sum(hashed[0].cast("decimal(38,0)")).alias("sum0"))
+
+
+def continuity(atoms: DataFrame) -> DataFrame:
+    """frame_index, n, continuous: whether a frame has the ids of the first one; one aggregation, and a row a frame.
+
+    Ids that repeat in a frame break it: they change the sum even where they cancel out otherwise.
+    """
+    digests = id_digests(atoms)
+    names = digests.columns[1:]
+    first = digests.agg(F.min_by(F.struct(*names), "frame_index").alias("first"))
+    same = F.struct(*names) == F.col("first")
+    return digests.join(F.broadcast(first)).select("frame_index", "n", same.alias("continuous"))  # one row
+
+
+def continuous(atoms: DataFrame) -> DataFrame:
+    """``atoms``, refused unless every frame of the sequence has the same ids."""
+    broken = continuity(atoms).where("not continuous").agg(F.min("frame_index")).first()[0]
+    if broken is not None:
+        raise ValueError(f"Frame {broken} does not have the ids of the first frame")
+    return atoms

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellframe import adapters as A
 from cellframe.functions.expressions import Computed, compile_column, scope_of, select_where, with_computed
 from cellframe.model import Cell, with_positions
-from cellframe.operators import attributes, clusters, correspondence, crystal, grains, grids, measurements, neighbors, polyhedra, selection, statistics, structure, templates, trajectory
+from cellframe.operators import attributes, clusters, correspondence, crystal, grains, grids, measurements, neighbors, polyhedra, selection, statistics, structure, sums, templates, trajectory
 from cellframe.plans.lineage import cut
 from cellframe.streaming.unwrap import windowed_statistics
 
@@ -805,3 +805,18 @@ def grains_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def grains_automatic(spark: SparkSession, folder: str) -> DataFrame:
     return grains.grains(_listed(spark, folder), least=20)[1]
+
+
+# --- sums and sequences ----------------------------------------------------------------------------
+
+
+@query(f"""WITH {LINES} SELECT type_label, round(sum(l_extendedprice * (1 - l_discount)), 4) AS disc_price, round(sum(l_quantity * l_tax - 1), 6) AS taxed FROM li GROUP BY 1""")
+def sums_exact(spark: SparkSession, folder: str) -> DataFrame:
+    rows = A.lines(spark, folder).select("type_label", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("disc_price"), (F.col("l_quantity") * F.col("l_tax") - 1).alias("taxed"))
+    return rounded(rounded(sums.exact_sums(rows, ["type_label"], ["disc_price", "taxed"]), "disc_price", places=4), "taxed")
+
+
+@query(f"""WITH {TRACK}, s AS (SELECT frame_index, count(*) AS n, string_agg(atom_id, ',' ORDER BY atom_id) AS ids FROM tr GROUP BY 1)
+    SELECT frame_index, n, ids = (SELECT ids FROM s ORDER BY frame_index LIMIT 1) AS continuous FROM s""")
+def sequence_continuity(spark: SparkSession, folder: str) -> DataFrame:
+    return trajectory.continuity(A.trajectory(spark, folder))
