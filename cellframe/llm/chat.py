@@ -3,8 +3,9 @@
 Calls meet their results in a hash join on the identifier; results that share one are reduced to one
 first, so the join cannot multiply.  The order is that of a topological sort: a call's level is one
 more than the highest of the calls that it depends on.  Calls are cut into blocks of bounded size that
-keep a conversation's neighboring calls together, however long the conversation; a task orders what it
-can of its block, and levels that another block waits for reach it in the next round.  Arguments are
+hold conversations whole, and parts of those that are longer; a task orders what it can of its block,
+levels that another block waits for reach it in the next round, and chains through several blocks are
+halved by path doubling in each round, so rounds grow with the logarithm of a chain.  Arguments are
 validated against the schema of the call's tool, joined by name, and each call is written as JSON with
 sorted keys and no white space; numbers without fraction are whole, others have the fewest digits that
 give them back, so equal calls are equal text.
@@ -33,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import discard, materialise
+from cellframe.llm.common import discard, materialise, renewed
 
 #: JSON types by the names that schemas use.
 TYPES = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,), "null": (type(None),)}
 #: Calls of a block, which one task orders.
 BLOCK = 50_000
+#: A level above all that a call without cycle has.
+HIGHEST = 1 << 40
 _halves = re.compile("[\ud800-\udfff]")
 
 
@@ -105,24 +108,24 @@ def violations(arguments: str | None, rules: dict) -> tuple[object, list[str]]:
     return value, [_halves.sub("?", x) for x in found]
 
 
-def _ordered(edges: list[tuple[str, str, int | None]]) -> dict[str, int]:
-    """Levels of the calls that (call, what it needs, that one's level if known) settle."""
+def _ordered(edges: list[tuple[str, str | None, int]]) -> dict[str, int]:
+    """Levels that (call, what it needs, how far above that it is) settle; without a need, the call is that high at least."""
     level: dict[str, int] = {}
     waits: dict[str, int] = {}
-    above: dict[str, list[str]] = {}
-    for call, dep, known in edges:
+    above: dict[str, list[tuple[str, int]]] = {}
+    for call, dep, gain in edges:
         level.setdefault(call, 0)
-        if known is None:
-            waits[call] = waits.get(call, 0) + 1
-            above.setdefault(dep, []).append(call)
+        if dep is None:
+            level[call] = max(level[call], gain)
         else:
-            level[call] = max(level[call], known + 1)
+            waits[call] = waits.get(call, 0) + 1
+            above.setdefault(dep, []).append((call, gain))
     ready, found = [c for c in level if c not in waits], {}
     while ready:
         done = ready.pop()
         found[done] = level[done]
-        for call in above.get(done, ()):
-            level[call] = max(level[call], level[done] + 1)
+        for call, gain in above.get(done, ()):
+            level[call] = max(level[call], level[done] + gain)
             waits[call] -= 1
             if not waits[call]:
                 ready.append(call)
@@ -130,7 +133,7 @@ def _ordered(edges: list[tuple[str, str, int | None]]) -> dict[str, int]:
 
 
 def _order_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Levels that the open edges (block, call_id, dep, known), block after block, settle."""
+    """Levels that the open edges (block, call_id, dep, gain), block after block, settle."""
     held: list[tuple] = []
     at = None
 
@@ -153,32 +156,52 @@ def _order_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield levels_of(held)
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``edges`` where what leads to a call with one open need leads to that need itself, so chains halve.
+
+    Edges do not grow in number.  Those on a cycle lead round it for ever; their gains stop at ``HIGHEST``.
+    """
+    bases, needs = edges.where("dep is null"), edges.where("dep is not null")
+    one = edges.groupBy("call_id").agg(F.count("dep").alias("n"), F.max("dep").alias("next"), F.max(F.when(F.col("dep").isNotNull(), F.col("gain"))).alias("step"), F.max(F.when(F.col("dep").isNull(), F.col("gain"))).alias("base")).where("n = 1")
+    further = needs.join(one.select(F.col("call_id").alias("dep"), "next", "step", "base"), "dep", "left")
+    onward = F.struct(F.coalesce("next", "dep").alias("dep"), (F.col("gain") + F.coalesce("step", F.lit(0))).alias("gain"))
+    least = F.struct(F.lit(None).cast("string").alias("dep"), (F.col("gain") + F.coalesce("base", F.lit(0))).alias("gain"))
+    rows = further.select("block", "call_id", F.explode(F.array(onward, least)).alias("e")).select("block", "call_id", "e.dep", "e.gain")
+    return rows.unionByName(bases).groupBy("block", "call_id", "dep").agg(F.least(F.max("gain"), F.lit(HIGHEST)).alias("gain"))
+
+
 def levels(calls: DataFrame, bound: int = BLOCK) -> DataFrame:
     """call_id and level from calls (conversation, call_id, depends_on); ids on or behind a cycle have none.
 
-    Rounds are as many as the most blocks that one dependency leads through: one where conversations are
-    shorter than a block, and as many as a longer one has blocks where its calls are in order.
+    A conversation of up to ``bound`` calls lies in one block and is ordered in one round, whatever its
+    ids; a longer one is cut by its ids, and chains that lead from block to block are halved in each round.
     """
     own = calls.where("call_id is not null").withColumn("call_id", F.col("call_id").cast("string"))
     ids = materialise(own.groupBy("call_id").agg(F.min(F.coalesce(F.col("conversation").cast("string"), F.lit(""))).alias("conversation")))
     parts = max(1, -(-ids.count() // bound))
-    ranged = ids.repartitionByRange(parts, "conversation", F.length("call_id"), "call_id")
+    long = materialise(ids.groupBy("conversation").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("conversation", F.lit(True).alias("cut")))
+    places = ["conversation", F.when(F.col("cut"), F.length("call_id")), F.when(F.col("cut"), F.col("call_id"))]
+    ranged = ids.join(long, "conversation", "left").repartitionByRange(parts, *places)
     nodes = materialise(ranged.select("call_id", F.spark_partition_id().alias("block")))
     pairs = own.select("call_id", F.explode(F.col("depends_on").cast("array<string>")).alias("dep")).where("dep is not null").distinct()
-    pairs = materialise(pairs.join(nodes.select(F.col("call_id").alias("dep")), "dep").join(nodes, "call_id").select("block", "call_id", "dep"))
-    free = nodes.select("call_id").join(pairs, "call_id", "left_anti").withColumn("level", F.lit(0))
-    solved, edges = materialise(free), pairs.withColumn("known", F.lit(None).cast("int"))
-    done = [solved]
+    pairs = pairs.join(nodes.select(F.col("call_id").alias("dep")), "dep").join(nodes, "call_id").select("block", "call_id", "dep", F.lit(1).cast("long").alias("gain"))
+    edges = materialise(pairs.unionByName(nodes.select("block", "call_id", F.lit(None).cast("string").alias("dep"), F.lit(0).cast("long").alias("gain"))))
+    discard(ids, long, nodes)
+    done: list[DataFrame] = []
     while True:
-        # What the last round settled is told to the calls that wait for it, and its own edges go.
-        told = solved.select(F.col("call_id").alias("dep"), F.col("level").alias("_level"))
-        left = edges.join(told, "dep", "left").withColumn("known", F.coalesce("known", "_level")).join(solved.select("call_id"), "call_id", "left_anti")
-        edges = materialise(left.select("block", "call_id", "dep", "known"))
         solved = materialise(edges.repartition("block").sortWithinPartitions("block").mapInArrow(_order_blocks, "call_id string, level int"))
-        if not solved.limit(1).count():
-            break
         done.append(solved)
-    discard(ids)
+        if not solved.limit(1).count():  # nothing is left, or cycles and what is behind them
+            break
+        # What the round settled is told to the calls that wait for it, and its own edges go.
+        left = edges.join(solved.select("call_id"), "call_id", "left_anti")
+        told = left.where("dep is not null").join(solved.select(F.col("call_id").alias("dep"), F.col("level").alias("_level")), "dep", "left")
+        told = told.select("block", "call_id", F.when(F.col("_level").isNull(), F.col("dep")).alias("dep"), (F.col("gain") + F.coalesce("_level", F.lit(0))).alias("gain"))
+        edges = renewed(edges, told.unionByName(left.where("dep is null")))
+        if not edges.limit(1).count():
+            break
+        edges = renewed(edges, _contracted(edges))
+    discard(edges)
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cellframe.llm import chat, language, quality, toxicity
+from cellframe.llm import chat, common, language, quality, toxicity
 
 SYLLABLES = {"en": "the and ing ou th er st".split(), "de": "der sch und ei zu ück ß".split(), "fr": "le eau é que oi ent".split()}
 
@@ -287,3 +287,20 @@ def test_toxic_samples_are_drawn_by_document(spark):
     assert {r.toxic for r in found} == {0, 1} and len(found) <= 80
     whole = toxicity._sample(docs, labels, 40).collect()
     assert len(whole) == 40 or len({r.text for r in whole}) == len(whole)
+
+
+def test_levels_of_chains_with_random_ids_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    ids = [f"{rng.getrandbits(64):016x}" for _ in range(121)]
+    calls = [("c", a, [b]) for a, b in zip(ids[1:], ids, strict=False)] + [("c", ids[0], [])]
+    ring = [f"r{rng.getrandbits(64):016x}" for _ in range(5)]
+    calls += [("c", a, [b, ids[3]]) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)] + [("c", "behind", [ring[2]]), ("d", "apart", [ids[120], ids[7]])]
+    stored = []
+    monkeypatch.setattr(chat, "materialise", lambda df: stored.append(1) or common.materialise(df))
+    frame = spark.createDataFrame(calls, "conversation string, call_id string, depends_on array<string>")
+    want = {a: n for n, a in enumerate(ids)} | {"apart": 121}
+    assert {r.call_id: r.level for r in chat.levels(frame, 61).collect()} == want
+    assert len(stored) < 20
+    stored.clear()
+    assert {r.call_id: r.level for r in chat.levels(frame, 130).collect()} == want
+    assert len(stored) < 10
