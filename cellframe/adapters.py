@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellframe.model import LATTICES, Cell, lattice_cell, with_positions
@@ -105,3 +105,27 @@ def months(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders")
     month = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1
     return o.select(month.cast("int").alias("frame_index"), F.col("o_orderkey").alias("row_idx"), F.col("o_orderstatus").alias("type_label"), "o_totalprice")
+
+
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``orders`` as dislocation segments: a customer's orders, by key, are nodes of a chain, closed for every seventh customer.
+
+    Every other segment is stored backwards; at urgent orders a short segment of another vector branches off.
+    """
+    o = table(spark, folder, "orders")
+    part = lambda x: x - F.floor(x)
+    s = [part(F.col("o_totalprice") / 977.0), part((F.col("o_custkey") + 0.5) * 0.6180339887), part(F.col("o_orderkey") * 0.7548776662)]
+    kinds = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in ((1 / 2, 1 / 2, 0), (1 / 6, 1 / 6, 1 / 3), (1 / 6, 1 / 6, 0), (1 / 3, 0, 0), (1 / 3, 1 / 3, 1 / 3), (0.4, 0, 0))])
+    own = F.element_at(kinds, (F.col("o_custkey") % 6 + 1).cast("int"))
+    swap = F.col("o_custkey") % 2 == 1
+    nodes = o.select((F.col("o_custkey") % 4).cast("int").alias("frame_index"), F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("i"), F.col("o_orderpriority").startswith("1").alias("urgent"), F.array(*s).alias("s"), F.when(swap, F.reverse(own)).otherwise(own).alias("b"))
+    along = Window.partitionBy("c").orderBy("i")
+    both = F.struct(F.col("i").alias("j"), F.col("s").alias("t"))
+    onward = F.coalesce(F.lead(both).over(along), F.when(F.col("c") % 7 == 0, F.first(both).over(along)))
+    chain = nodes.withColumn("n", onward).where("n is not null").select("frame_index", (F.col("i") * 2).alias("segment"), "i", "n.j", "s", F.transform("n.t", lambda t, k: t + F.when(k == F.col("i") % 3, F.col("i") % 5 - 2).otherwise(0)).alias("t"), "b", (F.col("i") % 2 == 1).alias("back"))
+    short = nodes.where("urgent").select("frame_index", (F.col("i") * 2 + 1).alias("segment"), "i", (-F.col("i")).alias("j"), "s", F.transform("s", lambda x, k: x + F.when(k == 0, 0.25).otherwise(0.0)).alias("t"), F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0)).alias("b"), F.lit(False).alias("back"))
+    rows = chain.unionByName(short)
+    back = F.col("back")
+    at = lambda a, b, k: F.element_at(F.when(back, F.col(b)).otherwise(F.col(a)), k + 1)
+    burgers = [F.when(back, -F.element_at("b", k + 1)).otherwise(F.element_at("b", k + 1)).alias(n) for k, n in enumerate(("bx", "by", "bz"))]
+    return rows.select("frame_index", "segment", F.when(back, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(back, F.col("i")).otherwise(F.col("j")).alias("j"), *burgers, *[at("s", "t", k).alias(n) for k, n in enumerate(("sa", "sb", "sc"))], *[at("t", "s", k).alias(n) for k, n in enumerate(("ta", "tb", "tc"))])

@@ -31,4 +31,21 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and of known size, so that joins of the next round can be planned by it."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def renewed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after`` in the place of ``before``, the table that it was computed from."""
+    found = stored(after)
+    discard(before)
+    return found

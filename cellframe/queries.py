@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellframe import adapters as A
 from cellframe.functions.expressions import Computed, compile_column, scope_of, select_where, with_computed
 from cellframe.model import Cell, with_positions
-from cellframe.operators import attributes, clusters, correspondence, crystal, grains, grids, measurements, neighbors, polyhedra, selection, statistics, structure, sums, templates, trajectory
+from cellframe.operators import attributes, clusters, correspondence, crystal, grains, grids, lines, measurements, neighbors, polyhedra, selection, statistics, structure, sums, templates, trajectory
 from cellframe.plans.lineage import cut
 from cellframe.streaming.unwrap import windowed_statistics
 
@@ -820,3 +820,36 @@ def sums_exact(spark: SparkSession, folder: str) -> DataFrame:
     SELECT frame_index, n, ids = (SELECT ids FROM s ORDER BY frame_index LIMIT 1) AS continuous FROM s""")
 def sequence_continuity(spark: SparkSession, folder: str) -> DataFrame:
     return trajectory.continuity(A.trajectory(spark, folder))
+
+
+# --- networks of lines -----------------------------------------------------------------------------
+
+#: The segments of the adapter with their lines: stretches of a customer's orders between urgent ones, joined over the start where the chain is closed.
+NETWORK = """od AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority LIKE '1%' AS urgent, o_totalprice / 977.0 - floor(o_totalprice / 977.0) AS sa, (o_custkey + 0.5) * 0.6180339887::DOUBLE - floor((o_custkey + 0.5) * 0.6180339887::DOUBLE) AS sb, o_orderkey * 0.7548776662::DOUBLE - floor(o_orderkey * 0.7548776662::DOUBLE) AS sc FROM orders),
+    nx AS (SELECT *, lead(k) OVER w AS nk, first_value(k) OVER w AS fk, sum(urgent::INTEGER) OVER w AS isl FROM od WINDOW w AS (PARTITION BY c ORDER BY k ROWS UNBOUNDED PRECEDING)),
+    sg AS (SELECT nx.*, coalesce(nk, CASE WHEN c % 7 = 0 THEN fk END) AS j, max(isl) OVER (PARTITION BY c) AS m FROM nx),
+    ch AS (SELECT c, k, 2 * k AS segment, s.sa, s.sb, s.sc, e.sa + CASE WHEN s.k % 3 = 0 THEN s.k % 5 - 2 ELSE 0 END AS ta, e.sb + CASE WHEN s.k % 3 = 1 THEN s.k % 5 - 2 ELSE 0 END AS tb, e.sc + CASE WHEN s.k % 3 = 2 THEN s.k % 5 - 2 ELSE 0 END AS tc,
+        CASE WHEN c % 7 = 0 THEN isl % greatest(m, 1) ELSE isl END AS isl, c % 7 = 0 AND m = 0 AS closed, ['perfect', 'shockley', 'stairRod', 'hirth', 'frank', 'other'][c % 6 + 1] AS family
+        FROM sg s JOIN (SELECT k AS ek, sa, sb, sc FROM od) e ON s.j = e.ek),
+    me AS (SELECT CAST(c % 4 AS INTEGER) AS frame_index, min(segment) OVER (PARTITION BY c, isl) AS line, family, closed, sa, sb, sc, ta, tb, tc FROM ch
+        UNION ALL SELECT CAST(c % 4 AS INTEGER), 2 * k + 1, 'other', false, sa, sb, sc, sa + 0.25, sb, sc FROM od WHERE urgent),
+    ln AS (SELECT frame_index, line, family, closed, count(*) AS segments, sum(10 * sqrt((ta - sa) ** 2 + (tb - sb) ** 2 + (tc - sc) ** 2)) AS length,
+        sum(""" + " + ".join(f"greatest(ceil(greatest(s{a}, t{a})) - floor(least(s{a}, t{a})) - 1, 0)" for a in "abc") + """) AS crossings FROM me GROUP BY ALL)"""
+
+
+@query(f"WITH {NETWORK} SELECT frame_index, line, family, closed, segments, round(length, 6) AS length FROM ln")
+def line_network(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(lines.lines(lines.network(A.order_lines(spark, folder)), A.BOX, "fcc"), "length")
+
+
+@query(f"""WITH {NETWORK}, s AS (SELECT frame_index, family, count(*) AS n, sum(length) AS l FROM ln GROUP BY ALL)
+    SELECT frame_index, family, coalesce(n, 0) AS lines, round(coalesce(l, 0), 5) AS length, round(coalesce(l, 0) / 1000, 8) AS density
+    FROM (SELECT DISTINCT frame_index FROM ln) CROSS JOIN (SELECT unnest(['perfect', 'shockley', 'stairRod', 'hirth', 'frank', 'other']) AS family) LEFT JOIN s USING (frame_index, family)""")
+def line_families(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.lines(lines.network(A.order_lines(spark, folder)), A.BOX, "fcc")
+    return rounded(rounded(lines.family_totals(found, A.BOX, "fcc"), "length", places=5), "density", places=8)
+
+
+@query(f"WITH {NETWORK} SELECT frame_index, line, CAST(1 + crossings AS BIGINT) AS pieces, CAST(segments + crossings AS BIGINT) AS parts, round(length, 6) AS length FROM ln")
+def line_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(lines.pieces(lines.split(lines.network(A.order_lines(spark, folder)), A.BOX)), "length")
