@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellframe import adapters as A
 from cellframe.functions.expressions import Computed, compile_column, scope_of, select_where, with_computed
 from cellframe.model import Cell, with_positions
-from cellframe.operators import attributes, clusters, correspondence, crystal, grains, grids, lines, measurements, neighbors, polyhedra, selection, statistics, structure, sums, templates, trajectory
+from cellframe.operators import attributes, clusters, correspondence, crystal, grains, grids, lines, measurements, neighbors, polyhedra, selection, statistics, structure, sums, symmetry, templates, trajectory
 from cellframe.plans.lineage import cut
 from cellframe.streaming.unwrap import windowed_statistics
 
@@ -853,3 +853,42 @@ def line_families(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {NETWORK} SELECT frame_index, line, CAST(1 + crossings AS BIGINT) AS pieces, CAST(segments + crossings AS BIGINT) AS parts, round(length, 6) AS length FROM ln")
 def line_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(lines.pieces(lines.split(lines.network(A.order_lines(spark, folder)), A.BOX)), "length")
+
+
+# --- symmetry --------------------------------------------------------------------------------------
+
+#: A group of 96 operations, as SQL writes the images of a point under it.
+HALL = "-I 4bd 2c 3"
+_IMAGES = ", ".join("[" + ", ".join(" + ".join([f"{r[3 * k + i]} * {a}" for i, a in enumerate(("sa", "sb", "sc"))] + [f"{t[k]} / 24.0"]) for k in range(3)) + "]" for r, t in symmetry.operations(HALL))
+#: Every third site lies on a lattice of eighths, where images fall together.
+SNAPPED = POINTS + ", sn AS (SELECT row_idx, " + ", ".join(f"CASE WHEN row_idx % 3 = 0 THEN floor(s{a} * 8) / 8 ELSE s{a} END AS s{a}" for a in "abc") + " FROM pt)"
+
+
+@query(f"""WITH {SNAPPED}, im AS (SELECT row_idx, unnest([{_IMAGES}]::DOUBLE[][]) AS p FROM sn),
+    un AS (SELECT DISTINCT row_idx, round(p[1] - floor(p[1]), 6) % 1 AS a, round(p[2] - floor(p[2]), 6) % 1 AS b, round(p[3] - floor(p[3]), 6) % 1 AS c FROM im)
+    SELECT row_idx, CAST(count(*) AS INTEGER) AS multiplicity, count(*) AS images FROM un GROUP BY 1""")
+def symmetry_orbits(spark: SparkSession, folder: str) -> DataFrame:
+    snapped = {a: F.when(F.col("row_idx") % 3 == 0, F.floor(F.col(a) * 8) / 8).otherwise(F.col(a)) for a in ("sa", "sb", "sc")}
+    found = symmetry.orbits(A.points(spark, folder).withColumns(snapped), HALL, 1e-6)
+    return found.groupBy("row_idx", "multiplicity").agg(F.count("*").alias("images"))
+
+
+#: Eigenvalues in closed form, after the change to Cartesian axes of the skewed cell.
+_CELL_BASIS = symmetry._basis(STRAINED)
+_U = {(i, j): f"(p{4 + i} * p{4 + j} * p7 * p7 + {('0.0' if i != j else f'0.001 * {i + 1}')})" for i in range(3) for j in range(3)}
+_CART = ", ".join(f"({' + '.join(f'{float(_CELL_BASIS[i, a] * _CELL_BASIS[j, b])!r} * {_U[a, b]}' for a in range(3) for b in range(3))}) AS u{i}{j}" for i, j in symmetry.TENSOR)
+_PROBABLE = symmetry.probability_scale(0.5)
+
+
+@query(f"""WITH {POINTS}, u AS (SELECT row_idx, {_CART} FROM pt),
+    q AS (SELECT *, (u00 + u11 + u22) / 3 AS q FROM u), p AS (SELECT *, sqrt(((u00 - q) ** 2 + (u11 - q) ** 2 + (u22 - q) ** 2 + 2 * (u01 ** 2 + u02 ** 2 + u12 ** 2)) / 6) AS p FROM q),
+    r AS (SELECT *, ((u00 - q) * ((u11 - q) * (u22 - q) - u12 * u12) - u01 * (u01 * (u22 - q) - u12 * u02) + u02 * (u01 * u12 - (u11 - q) * u02)) / (2 * p ** 3) AS r FROM p),
+    f AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS phi FROM r)
+    SELECT row_idx, round({_PROBABLE!r} * sqrt(q + 2 * p * cos(phi + 2 * pi() / 3)), 6) AS r1, round({_PROBABLE!r} * sqrt(q + 2 * p * cos(phi - 2 * pi() / 3)), 6) AS r2, round({_PROBABLE!r} * sqrt(q + 2 * p * cos(phi)), 6) AS r3 FROM f""")
+def thermal_ellipsoids(spark: SparkSession, folder: str) -> DataFrame:
+    p = [F.col(n) for n in ("p4", "p5", "p6")]
+    own = [p[i] * p[j] * F.col("p7") * F.col("p7") + (0.001 * (i + 1) if i == j else 0.0) for i, j in symmetry.TENSOR]
+    names = [f"displacementU{c}" for c in ("xx", "yy", "zz", "xy", "xz", "yz")]
+    rows = A.points(spark, folder).select("row_idx", *[c.alias(n) for c, n in zip(symmetry.cartesian_tensor(own, STRAINED), names, strict=True)])
+    found = symmetry.ellipsoids(rows, names, 0.5)
+    return found.select("row_idx", *[F.round(F.col("radii")[k], 6).alias(f"r{k + 1}") for k in range(3)])
