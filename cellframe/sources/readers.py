@@ -43,6 +43,19 @@ def _numbered(records: DataFrame) -> DataFrame:
     return records.withColumn("record", F.row_number().over(Window.orderBy(padded, "file", "block", "place")) - 1)
 
 
+#: Lines and characters that tell a format.
+HEAD_LINES, HEAD = 1000, 1 << 16
+
+
+def _kind(spark: SparkSession, paths: list[str]) -> str:
+    """The format that the first lines of a file tell; files of any size are read no further."""
+    lines = spark.read.text(paths).select(F.substring("value", 1, HEAD).alias("v"), F.col("_metadata.file_path").alias("f")).limit(HEAD_LINES).collect()
+    if not lines:
+        raise FormatError("No file")
+    name = lines[0]["f"]
+    return formats.detect("\n".join(r["v"] for r in lines if r["f"] == name)[:HEAD], name)
+
+
 def read(spark: SparkSession, paths: list[str] | str, kind: str | None = None, projection: str = "full") -> tuple[DataFrame, DataFrame]:
     """(frames, atoms) of structure files.
 
@@ -50,10 +63,7 @@ def read(spark: SparkSession, paths: list[str] | str, kind: str | None = None, p
     Properties are those of all frames; where a frame lacks one its atoms have NaN.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    first = spark.read.text(paths, wholetext=True).limit(1).select(F.substring("value", 1, 1 << 16).alias("v"), F.col("_metadata.file_path").alias("f")).first()
-    if first is None:
-        raise FormatError("No file")
-    kind = kind or formats.detect(first["v"], first["f"])
+    kind = kind or _kind(spark, paths)
     parse = formats.PARSERS[kind]
     records = _records(spark, paths, kind)
     # Frames are numbered by records; only names and places, not texts, go through the numbering.
