@@ -7,10 +7,13 @@ bytes instead: sets of three positions of which every choice of four shared posi
 Every pair that can pass the count filter meets in at least one list; there its shared positional
 bytes are tallied, pairs under the minimum are dropped, and the others are verified bit by bit.
 
-Fingerprints of 128 bits serve similarities as low as 0.8 of word shingles, where 15 % of the bits
-differ and no number of shared bytes is certain: pairs must share three of their sixteen positional
-bytes, which pairs of that similarity do mostly and closer ones nearly always, and lists are keyed on
-the pairs of positions of which every choice of three contains one.
+Wider fingerprints serve similarities as low as 0.8 of word shingles, where 15 % of the bits differ and
+no number of shared bytes is certain.  Positions lie in groups of eight, and lists are keyed on the pairs
+within a group: every choice of one position more than there are groups contains such a pair, and that
+number is the minimum of shared bytes.  Of 192 bits, pairs of similarity 0.8 share four of 24 bytes with a
+probability of 0.92, closer ones nearly always.  Lists are then joined by their nearest links, and each of
+these is verified by the similarity of the two texts' shingles: of their sets, or of the smallest hashes
+of longer ones (``SKETCH``).
 
 Equal fingerprints are one entry of the index, however many documents carry them.  A list that is
 longer than a bound is keyed anew with a further shared position, and what is still too long is dealt
@@ -46,8 +49,10 @@ LIST_BOUND = 1024
 SHORT, AT_ONCE = 8, 256
 #: Keys over which the documents of one fingerprint are dealt.
 SALTS = 64
-#: Bits in which fingerprints of 128 bits differ at most where five-word shingles have a similarity of 0.8.
-SIMILAR = 24
+#: Bits in which fingerprints of 192 bits may differ where five-word shingles have a similarity of 0.8: two deviations above the mean.
+SIMILAR = 40
+#: Shingles' hashes that verify a link; texts with more distinct shingles are compared by the smallest of them.
+SKETCH = 1024
 
 
 def word_stretches(text: bytes) -> Iterator[list[bytes]]:
@@ -64,7 +69,7 @@ def word_stretches(text: bytes) -> Iterator[list[bytes]]:
 def fingerprint(text: str, shingle: int = 4, width: int = 1) -> tuple[int, ...]:
     """The SimHash of the word shingles' hashes, repeats included, as ``width`` 64-bit integers; zero without words.
 
-    One integer is made of XXH64, two of the 128 bits of XXH3.
+    One integer is made of XXH64, two of the 128 bits of XXH3, three of both.
     """
     ones, total, held = np.zeros(64 * width, dtype=np.int64), 0, []
     digest = xxhash.xxh64_intdigest if width == 1 else xxhash.xxh3_128_digest
@@ -72,6 +77,8 @@ def fingerprint(text: str, shingle: int = 4, width: int = 1) -> tuple[int, ...]:
     def hashes(runs) -> np.ndarray:
         if width == 1:
             return np.array([digest(r, SEED) for r in runs], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        if width == 3:
+            return np.frombuffer(b"".join([digest(r, SEED) + xxhash.xxh64_digest(r, SEED) for r in runs]), dtype=np.uint8).reshape(-1, 24)
         return np.frombuffer(b"".join([digest(r, SEED) for r in runs]), dtype=np.uint8).reshape(-1, 16)
 
     for words in word_stretches(text.encode().lower()):
@@ -90,6 +97,27 @@ def fingerprint(text: str, shingle: int = 4, width: int = 1) -> tuple[int, ...]:
     return tuple(np.packbits(ones * 2 > total, bitorder="little").view("<u8").tolist())
 
 
+def sketch(text: str, shingle: int = 5, size: int = SKETCH) -> np.ndarray:
+    """The ``size`` smallest distinct 32-bit hashes of the word shingles, in order; none without words."""
+    least, held, some = np.zeros(0, dtype=np.uint32), [], False
+    for words in word_stretches(text.encode().lower()):
+        held += words
+        if len(held) < shingle:
+            continue
+        runs = map(b" ".join, zip(*(held[i:] for i in range(shingle)), strict=False))
+        least = np.unique(np.concatenate([least, np.array([xxhash.xxh32_intdigest(r, SEED) for r in runs], dtype=np.uint32)]))[:size]
+        held, some = held[len(held) - shingle + 1 :], True
+    if held and not some:
+        return np.array([xxhash.xxh32_intdigest(b" ".join(held), SEED)], dtype=np.uint32)
+    return least
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Jaccard similarity of two sets by their sketches: exact where the union is within ``size``, of its smallest hashes beyond."""
+    union, both = np.unique(np.concatenate([a, b]), return_counts=True)
+    return float((both[:size] == 2).mean()) if len(union) else 1.0
+
+
 def names(width: int) -> list[str]:
     """The columns of a fingerprint."""
     return [f"fp{i}" for i in range(width)]
@@ -124,9 +152,9 @@ def covering_triples() -> list[tuple[int, ...]]:
     return [t for t in combinations(range(8), 3) if chosen(t)]
 
 
-def covering_pairs() -> list[tuple[int, ...]]:
-    """The pairs of sixteen byte positions of which every three positions contain one: those of either half."""
-    return [p for half in (range(8), range(8, 16)) for p in combinations(half, 2)]
+def covering_pairs(width: int) -> list[tuple[int, ...]]:
+    """The pairs of byte positions of which every width + 1 positions contain one: those within each eight."""
+    return [p for at in range(0, 8 * width, 8) for p in combinations(range(at, at + 8), 2)]
 
 
 def _byte(position: int):
@@ -142,7 +170,7 @@ def _keyed(fps: DataFrame, covering: list[tuple[int, ...]], width: int) -> DataF
 def _rekeyed(lists: DataFrame, covering: list[tuple[int, ...]], width: int) -> DataFrame:
     """Entries of long lists under each further position and its byte; a pair that passes the count filter shares one."""
     own = F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in covering]), (F.shiftright("key", 24) + 1).cast("int"))
-    further = [F.when(~F.array_contains(own, p), -1 - (F.col("key") * 4096 + p * 256 + _byte(p))) for p in range(8 * width)]
+    further = [F.when(~F.array_contains(own, p), -1 - (F.col("key") * (2048 * width) + p * 256 + _byte(p))) for p in range(8 * width)]
     return lists.select(*names(width), F.explode(F.array_compact(F.array(*further))).alias("key"))
 
 
@@ -185,6 +213,24 @@ def spanning_links(members: np.ndarray, radius: int, least: int) -> np.ndarray:
     return np.array(links, dtype=np.int64).reshape(-1, 2)
 
 
+def nearest_links(members: np.ndarray, radius: int, least: int) -> np.ndarray:
+    """Like ``spanning_links``, with the nearest of the links: a tree of the least differing bits grows member by member."""
+    rest, links = np.arange(1, len(members)), []
+    bits, reached_from, at = np.full(len(rest), 1 << 30), np.zeros(len(rest), dtype=np.int64), 0
+    while len(rest):
+        differing = members[rest] ^ members[at]
+        shared = (differing.view(np.uint8).reshape(len(rest), -1) == 0).sum(axis=1)
+        own = np.bitwise_count(differing.view(np.uint64)).sum(axis=1).astype(np.int64)
+        nearer = (own < bits) & (own <= radius) & (shared >= least)
+        bits[nearer], reached_from[nearer] = own[nearer], at
+        next_one = int(bits.argmin())
+        at = int(rest[next_one])
+        if bits[next_one] <= radius:
+            links.append((int(reached_from[next_one]), at))
+        rest, bits, reached_from = (np.delete(x, next_one) for x in (rest, bits, reached_from))
+    return np.array(links, dtype=np.int64).reshape(-1, 2)
+
+
 def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
     """Of links between ``n`` members those that join what no earlier one has joined, if there are more than members."""
     if len(pairs) <= n:
@@ -201,8 +247,8 @@ def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
     return pairs[kept]
 
 
-def links_of_lists(values: np.ndarray, offsets: np.ndarray, radius: int, least: int) -> np.ndarray:
-    """Links in lists (``values`` between ``offsets``) as pairs of places; short lists of one length are compared together."""
+def links_of_lists(values: np.ndarray, offsets: np.ndarray, radius: int, least: int, tree=spanning_links) -> np.ndarray:
+    """Links in lists (``values`` between ``offsets``) as pairs of places; short lists of one length are compared together, others by ``tree``."""
     sizes, found = np.diff(offsets), []
     for n in range(2, SHORT + 1):
         starts = offsets[:-1][sizes == n]
@@ -215,18 +261,19 @@ def links_of_lists(values: np.ndarray, offsets: np.ndarray, radius: int, least:
     for k in np.flatnonzero(sizes > SHORT).tolist():
         own = values[offsets[k] : offsets[k + 1]]
         order = np.lexsort(own.T[::-1])
-        found.append(offsets[k] + order[spanning_links(own[order], radius, least)])
+        found.append(offsets[k] + order[tree(own[order], radius, least)])
     return np.concatenate([np.zeros((0, 2), dtype=np.int64), *found])
 
 
 def links(fps: DataFrame, radius: int = 4, bound: int = LIST_BOUND, width: int = 1) -> DataFrame:
     """Links a, b between distinct fingerprints at ``radius`` or fewer bits, sparse but with the same components.
 
-    Fingerprints of one integer are nodes as they are, those of two as their hexadecimal digits.
+    Fingerprints of one integer are nodes as they are, wider ones as their hexadecimal digits.  Of three
+    integers the links of a list are its nearest ones, as they are to be verified.
     """
     if width == 1 and not 0 <= radius <= 4:
         raise ValueError("the index finds pairs that share at least four of eight bytes")
-    covering, least = (covering_triples(), max(4, 8 - radius)) if width == 1 else (covering_pairs(), 3)
+    covering, least = (covering_triples(), max(4, 8 - radius)) if width == 1 else (covering_pairs(width), width + 1)
     entries = _keyed(fps, covering, width)
 
     def counted(entries: DataFrame) -> DataFrame:
@@ -237,13 +284,13 @@ def links(fps: DataFrame, radius: int = 4, bound: int = LIST_BOUND, width: int =
     long = counted(_rekeyed(sized.where(F.col("n") > bound), covering, width))
     grouped = _blocks(sized.where(F.col("n") <= bound), bound, width).unionByName(_blocks(long, bound, width))
     lists = grouped.groupBy("key", "i", "j").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    ends = [f"{end}{i}" for end in "ab" for i in range(width)]
+    ends, tree = [f"{end}{i}" for end in "ab" for i in range(width)], nearest_links if width == 3 else spanning_links
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             offsets, values = np.asarray(lists.offsets), np.column_stack([lists.values.field(i).to_numpy() for i in range(width)])
-            pairs = links_of_lists(values, offsets.astype(np.int64), radius, least)
+            pairs = links_of_lists(values, offsets.astype(np.int64), radius, least, tree)
             yield pa.RecordBatch.from_arrays([pa.array(values[pairs[:, side], i]) for side in (0, 1) for i in range(width)], ends)
 
     found = lists.mapInArrow(linked, ", ".join(f"{end} long" for end in ends)).distinct()
@@ -263,12 +310,48 @@ def _salted(hashed: DataFrame) -> DataFrame:
     return materialise(hashed.withColumn("salt", F.pmod(number, F.lit(SALTS)).cast("int")))
 
 
-def _labelled(hashed: DataFrame, radius: int, width: int) -> DataFrame:
-    """Stored rows (doc_id, fingerprint, salt) with their component's node ``root`` and component_id, the smallest doc_id that links reach."""
+def similar_links(found: DataFrame, rows: DataFrame, shingle: int, similarity: float, width: int) -> DataFrame:
+    """Those of the links ``found`` (a, b) between fingerprints whose texts have the ``similarity``.
+
+    ``rows`` (row, fingerprint, text) are stored and ``row`` is unique; of rows with one fingerprint the
+    first is read.  Texts are sketched once where a link names them; only sketches, at most 4 KB each,
+    go to the links.
+    """
+    fp = names(width)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_slices(batch, 1):
+                part = batch.slice(a, b - a)
+                found = [sketch(t, shingle).view(np.int32) for t in filled(part.column(1)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["node", "sketch"])
+        let_go()
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            keep = [similarity_of(left[i].values.to_numpy().view(np.uint32), right[i].values.to_numpy().view(np.uint32)) >= similarity for i in range(len(batch))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        let_go()
+
+    found = materialise(found)
+    named = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = rows.groupBy(*fp).agg(F.min("row").alias("row")).select("row", _node("fp", width).alias("node")).join(named, "node", "left_semi")
+    texts = rows.select("row", "text").join(first, "row").select("node", "text")
+    sketches = materialise(texts.mapInArrow(sketched, "node string, sketch array<int>"))
+    pairs = found.join(sketches.toDF("a", "left"), "a").join(sketches.toDF("b", "right"), "b")
+    return pairs.select("a", "b", "left", "right").mapInArrow(verified, "a string, b string")
+
+
+def _labelled(hashed: DataFrame, radius: int, width: int, verify=None) -> DataFrame:
+    """Stored rows (doc_id, fingerprint, salt) with their component's node ``root`` and component_id, the smallest doc_id that links reach.
+
+    ``verify`` takes links and returns those that hold."""
     fp = names(width)
     groups = materialise(hashed.groupBy(*fp, "salt").agg(F.min("doc_id").alias("first")))
     fps = materialise(groups.groupBy(*fp).agg(F.min("first").alias("first")))
-    components = connected_components(links(fps.select(*fp), radius, width=width))
+    found = links(fps.select(*fp), radius, width=width)
+    components = connected_components(verify(found) if verify else found)
     # Only fingerprints with a link can take another document's id.
     nodes = fps.withColumn("node", _node("fp", width))
     members = components.join(nodes, "node")
@@ -287,19 +370,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, width: i
     return _labelled(hashed, radius, width).select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
 
 
-def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = SIMILAR, width: int = 2) -> DataFrame:
+def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = SIMILAR, width: int = 3, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; all columns are kept.
 
+    Links of wide fingerprints are verified by the ``similarity`` of the texts' shingles.
+
     Of rows that share that id, all whose text is another stay if they are of other components, and of
     those with its fingerprint the first in the order of their text; rows without id cannot be told
     apart and all stay.
     """
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     key, text = (f"c{docs.columns.index(name)}" for name in ("doc_id", "text"))
-    told = plain.withColumn("doc_id", F.col(key).cast("long")).withColumn("text", F.col(text))
+    told = plain.withColumn("doc_id", F.col(key).cast("long")).withColumn("text", F.col(text)).withColumn("row", F.monotonically_increasing_id())
     marked = materialise(fingerprints(told, shingle, width))
     fp = names(width)
-    labelled = _labelled(_salted(marked.select("doc_id", *fp)), radius, width).where("doc_id is not null")
+    rows = marked.select("row", *fp, F.col(text).alias("text"))
+    verify = (lambda found: similar_links(found, rows, shingle, similarity, width)) if width > 1 else None
+    labelled = _labelled(_salted(marked.select("doc_id", *fp)), radius, width, verify).where("doc_id is not null")
     # Of a component the row of the smallest id, and of several with it that of the smallest fingerprint.
     firsts = labelled.where("doc_id = component_id").groupBy("root", "doc_id", *fp).agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("doc_id", *fp, "n")).alias("row")).select("row.*")
     kept = marked.join(firsts, ["doc_id", *fp])
