@@ -278,7 +278,8 @@ def links(fps: DataFrame, radius: int = 4, bound: int = LIST_BOUND, width: int =
 
     def counted(entries: DataFrame) -> DataFrame:
         sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        return entries.join(sizes, "key")
+        # Entries are read off the fingerprints by an explode, which Spark's estimate of their size leaves out: it would broadcast them.
+        return entries.join(sizes.hint("merge"), "key")
 
     sized = counted(entries)
     long = counted(_rekeyed(sized.where(F.col("n") > bound), covering, width))

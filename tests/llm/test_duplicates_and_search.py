@@ -306,3 +306,14 @@ def test_repeated_ids_do_not_push_out_other_ids(spark):
     rows = [(0, v)] * 30 + [(i, v) for i in range(1, 26)] + [(100 + i, list(map(float, 0.5 * x / np.linalg.norm(x)))) for i, x in enumerate(rng.normal(size=(60, 4)))]
     found = hamming.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0, k=5)
     assert {(r["rank"], r.vec_id, round(r.score, 9)) for r in found.collect()} == {(k, k, 1.0) for k in range(1, 6)}
+
+
+def test_entries_of_the_index_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    fps = simhash.materialise(spark.range(3000).select(*[F.xxhash64(F.floor(F.col("id") / 2), F.lit(k)).bitwiseXOR(F.when(F.lit(k) == 0, F.col("id") % 2).otherwise(0)).alias(f"fp{k}") for k in range(3)]))
+    found = simhash.links(fps, 40, width=3)
+    assert found.count() == 1500
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
