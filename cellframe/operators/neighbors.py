@@ -61,8 +61,8 @@ def distinct_pairs(found: DataFrame) -> DataFrame:
 GROWTH, WIDER = 1.5, 2.0
 
 
-def of_nearest(atoms: DataFrame, cell: Cell, k: int, each: Callable, schema: str, radius: float | None = None, centres: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
-    """What ``each`` makes of the ``k`` nearest images of each atom (or of each of the ``centres``).
+def of_nearest(atoms: DataFrame, cell: Cell, k: int, each: Callable, schema: str, radius: float | None = None, centres: DataFrame | None = None, also: tuple[str, ...] = (), strange: bool = False) -> DataFrame:
+    """What ``each`` makes of the ``k`` nearest images of each atom (or of each of the ``centres``; ``strange`` ones are not among the atoms).
 
     ``each`` gets a block, places of centres, of their neighbors (centres, k), vectors (centres, k, 3),
     squared lengths and the number of neighbors, which is less than k only without periodic axes in
@@ -116,7 +116,7 @@ def of_nearest(atoms: DataFrame, cell: Cell, k: int, each: Callable, schema: str
         short = found.where("_short >= 0").select("frame_index", F.col("_short").alias("row_idx"), "_have")
         if open_cell:
             sizes = atoms.groupBy("frame_index").agg(F.count("*").alias("_n"))
-            short = short.join(sizes, "frame_index").where(F.col("_have") < F.least(F.lit(k), F.col("_n") - 1))
+            short = short.join(sizes, "frame_index").where(F.col("_have") < F.least(F.lit(k), F.col("_n") - (0 if strange else 1)))
         key = F.col(names[1]).alias("row_idx")
         if not short.limit(1).count():
             parts.append(found.where("_short < 0").select(*names))

@@ -82,3 +82,13 @@ def test_angles_and_bonds_are_counted_where_blocks_lie(spark, monkeypatch, full)
     assert sorted((r.i, r.j) for r in typed.collect()) == wanted
     typed.collect()
     assert "Join" not in typed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_sites_make_no_table_of_pairs(spark, monkeypatch):
+    from cellframe.operators import correspondence
+
+    monkeypatch.setattr(correspondence, "pairs", None)
+    atoms = spark.createDataFrame([(0, 0, 0.1, 0.1, 0.1), (0, 1, 0.9, 0.9, 0.9), (0, 2, float("nan"), 0.0, 0.0)], "frame_index int, row_idx long, sa double, sb double, sc double")
+    site = spark.createDataFrame([(0, 5, 0.2, 0.1, 0.1)], atoms.schema)
+    found = correspondence.nearest_sites(atoms, site, Cell.cube(10.0, (False, False, False)), 1.0)
+    assert sorted((r.row_idx, r.site) for r in found.collect()) == [(0, 5), (1, 5)]
