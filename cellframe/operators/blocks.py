@@ -27,6 +27,8 @@ CANDIDATES = 1 << 20
 FINER, FULL, TILE = 2, 1 << 14, 1 << 19
 #: Candidate pairs of a block from which on its centres are dealt to several tasks.
 HOT = 1 << 31
+#: Atoms of a box that are tried first for a link to another box.
+TRIED = 16
 #: Parts of a histogram's bin; pairs in the first and last one of a bin are measured exactly.
 FINE = 4096
 SHIFTS = ("na", "nb", "nc")
@@ -231,6 +233,73 @@ class Block:
         order = np.lexsort((*shift.T, rows))
         return not ((np.diff(rows[order]) == 0) & (np.diff(shift[order], axis=0) == 0).all(axis=1)).any()
 
+    def boxes(self, cutoff: float, places: np.ndarray) -> tuple[np.ndarray, float]:
+        """Of places their boxes, in whole numbers, and how many boxes the cutoff reaches; atoms of one box lie within the cutoff."""
+        edge = cutoff / self.cell.heights
+        corners = np.array([[1, b, c] for b in (-1, 1) for c in (-1, 1)]) * edge
+        scale = cutoff * (1 - SLACK) / np.sqrt(((corners @ self.cell.matrix) ** 2).sum(axis=1).max())
+        at = np.floor(self.s[places] / (edge * scale)).astype(np.int64)
+        return at - at.min(axis=0), 1 / scale
+
+    def joined(self, cutoff: float) -> np.ndarray:
+        """Of each place a label that it shares with what chains of pairs within the cutoff, whose one end is a centre, connect it with.
+
+        Atoms of one box hang together, so chains are looked for between boxes alone, the nearest first, and only
+        between boxes that nothing has connected yet: no table of pairs is made.
+        """
+        sound = np.flatnonzero(np.isfinite(self.s).all(axis=1))
+        label = np.arange(len(self.rows)) + len(self.rows)  # what lies nowhere is alone
+        if not len(sound) or not len(self.centres):
+            return label
+        at, steps = self.boxes(cutoff, sound)
+        reach = int(np.ceil(steps))
+        at = at + reach
+        size = at.max(axis=0) + reach + 1
+        keys = (at[:, 0] * size[1] + at[:, 1]) * size[2] + at[:, 2]
+        order = np.argsort(keys, kind="stable")
+        boxes, first, box = np.unique(keys[order], return_index=True, return_inverse=True)
+        end = np.append(first[1:], len(order))
+        of = np.empty(len(keys), dtype=np.int64)
+        of[order] = box
+        role = np.zeros(len(self.rows), dtype=bool)
+        role[self.centres] = True
+        asks = np.zeros(len(boxes), dtype=bool)
+        asks[of[role[sound]]] = True
+        place = (self.s[sound] @ self.cell.matrix)[order]
+        own = np.arange(len(boxes))
+        spans = range(-reach, reach + 1)
+        ahead = [(a, b, c) for a in spans for b in spans for c in spans if (a, b, c) > (0, 0, 0)]
+        for step in sorted(ahead, key=lambda n: sum(x * x for x in n)):
+            move = (step[0] * size[1] + step[1]) * size[2] + step[2]
+            there = np.minimum(np.searchsorted(boxes, boxes + move), len(boxes) - 1)
+            a = np.flatnonzero(boxes[there] == boxes + move)
+            b = there[a]
+            for most in (TRIED, None):
+                open_ = (own[a] != own[b]) & (asks[a] | asks[b])
+                a, b = a[open_], b[open_]
+                if not len(a):
+                    break
+                met = _meet(place, cutoff, first[a], end[a], first[b], end[b], most)
+                own = _merged(own, a[met], b[met])
+        label[sound] = own[of]
+        return label
+
+    def met(self, cutoff: float) -> np.ndarray:
+        """Whether each of the centres has a neighbor within the cutoff; a box that holds a neighbor answers for all of its centres."""
+        found, asks = np.zeros((2, len(self.rows)), dtype=bool)
+        asks[self.centres] = True
+        sound = np.flatnonzero(np.isfinite(self.s).all(axis=1))
+        if not len(self.centres) or not len(self.neighbor) or not len(sound):
+            return found[self.centres]
+        _, box = np.unique(self.boxes(cutoff, sound)[0], axis=0, return_inverse=True)
+        box, near = box.ravel(), np.isin(sound, self.neighbor)
+        held = np.zeros(len(sound), dtype=bool)
+        held[box[near]] = True
+        found[sound] = held[box] & asks[sound]
+        for i, *_ in self.pairs(cutoff, self.centres[~found[self.centres]]):
+            found[i] = True
+        return found[self.centres]
+
     def counts(self, cutoff: float) -> np.ndarray:
         """How many pairs within the cutoff each place has."""
         counts = np.zeros(len(self.rows), dtype=np.int64)
@@ -294,6 +363,48 @@ class Block:
         return counts
 
 
+def _meet(place: np.ndarray, cutoff: float, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: int | None) -> np.ndarray:
+    """Whether places a0 to a1 and b0 to b1 of each row hold a pair within the cutoff, or the ``most`` first of them do."""
+    if most is not None:
+        a1, b1 = np.minimum(a1, a0 + most), np.minimum(b1, b0 + most)
+    n, m = a1 - a0, b1 - b0
+    found = np.zeros(len(a0), dtype=bool)
+    few = np.flatnonzero(n * m <= CANDIDATES)
+    upto = np.cumsum(n[few] * m[few])
+    at = 0
+    while at < len(few):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CANDIDATES, side="right")))
+        own = few[at:stop]
+        sizes = n[own] * m[own]
+        starts = np.cumsum(sizes) - sizes
+        k = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+        wide = np.repeat(m[own], sizes)
+        d = place[np.repeat(a0[own], sizes) + k // wide] - place[np.repeat(b0[own], sizes) + k % wide]
+        found[own] = np.logical_or.reduceat((d**2).sum(axis=1) <= cutoff**2, starts)
+        at = stop
+    for k in np.flatnonzero(n * m > CANDIDATES):
+        one, two = place[a0[k] : a1[k]], place[b0[k] : b1[k]]
+        beside = lambda p, q: p[(np.maximum(np.maximum(q.min(axis=0) - p, p - q.max(axis=0)), 0.0) ** 2).sum(axis=1) <= cutoff**2 * (1 + SLACK)]
+        one = beside(one, two)
+        two = beside(two, one) if len(one) else two[:0]
+        step = max(1, CANDIDATES // max(1, len(two)))
+        found[k] = any(((one[x : x + step, None] - two) ** 2).sum(axis=2).min() <= cutoff**2 for x in range(0, len(one), step)) if len(two) else False
+    return found
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, the least of its set, after the sets of a and b were joined."""
+    label = label.copy()
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        while (label != label[label]).any():
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
 def in_blocks(rows: DataFrame, cell: Cell, of: Callable[[Block], Iterator[dict[str, np.ndarray]]], schema: str) -> DataFrame:
     """Runs ``of`` on every block of ``rows``; it gives columns by name in the order of ``schema``."""
     names = [part.split()[0] for part in schema.split(", ")]
