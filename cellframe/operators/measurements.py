@@ -60,6 +60,28 @@ def nearest_image(d: list[Column], cell: Cell) -> list[Column]:
     return [best[n] for n in "xyz"]
 
 
+def nearest_vectors(d: np.ndarray, cell: Cell) -> np.ndarray:
+    """``nearest_image`` of many vectors (n, 3)."""
+    periodic = np.array([v for v, p in zip(cell.matrix, cell.pbc, strict=True) if p]).reshape(-1, 3)
+    if not len(periodic):
+        return d
+    basis = reduced_basis(periodic)
+    base = d - np.floor(d @ np.linalg.pinv(basis) + 0.5) @ basis
+    best, least = base, (base**2).sum(axis=1)
+    for step in itertools.product((0, -1, 1), repeat=len(basis)):
+        moved = base + np.array(step) @ basis
+        d2 = (moved**2).sum(axis=1)
+        nearer = d2 < least * (1 - 1e-12)
+        best, least = np.where(nearer[:, None], moved, best), np.where(nearer, d2, least)
+    return best
+
+
+def shortest_image(cell: Cell) -> float:
+    """The length of the shortest vector between two images of one point."""
+    periodic = np.array([v for v, p in zip(cell.matrix, cell.pbc, strict=True) if p]).reshape(-1, 3)
+    return float(np.linalg.norm(reduced_basis(periodic), axis=1).min()) if len(periodic) else float("inf")
+
+
 def _dot(a: list[Column], b: list[Column]) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
