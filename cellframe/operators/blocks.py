@@ -424,6 +424,12 @@ def in_blocks(rows: DataFrame, cell: Cell, of: Callable[[Block], Iterator[dict[s
 
 def ranked(block: Block, i: np.ndarray, j: np.ndarray, vectors: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The total order of pairs by centre, distance, row and vector, and each one's rank from 1."""
-    order = np.lexsort((vectors[:, 2], vectors[:, 1], vectors[:, 0], block.rows[j], d2, i))
-    sorted_i = i[order]
+    order = np.lexsort((d2, i))
+    sorted_i, sorted_d2 = i[order], d2[order]
+    tied = np.zeros(len(order), dtype=bool)
+    same = (np.diff(sorted_i) == 0) & (np.diff(sorted_d2) == 0)
+    tied[1:] |= same
+    tied[:-1] |= same
+    at = order[tied]  # few, so the other keys are looked at for them alone
+    order[tied] = at[np.lexsort((vectors[at, 2], vectors[at, 1], vectors[at, 0], block.rows[j[at]], d2[at], i[at]))]
     return order, np.arange(len(order)) - np.searchsorted(sorted_i, sorted_i) + 1
