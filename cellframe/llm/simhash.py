@@ -12,8 +12,9 @@ no number of shared bytes is certain.  Positions lie in groups of eight, and lis
 within a group: every choice of one position more than there are groups contains such a pair, and that
 number is the minimum of shared bytes.  Of 192 bits, pairs of similarity 0.8 share four of 24 bytes with a
 probability of 0.92, closer ones nearly always.  Lists are then joined by their nearest links, and each of
-these is verified by the similarity of the two texts' shingles: of their sets, or of the smallest hashes
-of longer ones (``SKETCH``).
+these is verified by the similarity of the two texts' shingles.  Where one fails, what it joined is searched
+anew for all other links between what is not joined yet, so that no link is lost that the filters let pass.
+Short texts are compared by the sketches that all links carry (``SKETCH``), longer ones by their whole sets.
 
 Equal fingerprints are one entry of the index, however many documents carry them.  A list that is
 longer than a bound is keyed anew with a further shared position, and what is still too long is dealt
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import filled, let_go, materialise, text_slices
+from cellframe.llm.common import filled, let_go, materialise, renewed, text_slices
 from cellframe.llm.components import connected_components
 
 #: Fixed value: the seed of the shingles' hash.
@@ -51,8 +52,10 @@ SHORT, AT_ONCE = 8, 256
 SALTS = 64
 #: Bits in which fingerprints of 192 bits may differ where five-word shingles have a similarity of 0.8: two deviations above the mean.
 SIMILAR = 40
-#: Shingles' hashes that verify a link; texts with more distinct shingles are compared by the smallest of them.
+#: Shingles' hashes that links carry; pairs of which a text has as many or more are compared by whole sets.
 SKETCH = 1024
+#: Links that a list gives at first between two groups of members that a failed link left apart.
+BETWEEN = 16
 
 
 def word_stretches(text: bytes) -> Iterator[list[bytes]]:
@@ -112,6 +115,21 @@ def sketch(text: str, shingle: int = 5, size: int = SKETCH) -> np.ndarray:
     return least
 
 
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of the word shingles, in order; none without words."""
+    whole, held, some = np.zeros(0, dtype=np.uint64), [], False
+    for words in word_stretches(text.encode().lower()):
+        held += words
+        if len(held) < shingle:
+            continue
+        runs = map(b" ".join, zip(*(held[i:] for i in range(shingle)), strict=False))
+        whole = np.unique(np.concatenate([whole, np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], dtype=np.uint64)]))
+        held, some = held[len(held) - shingle + 1 :], True
+    if held and not some:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], dtype=np.uint64)
+    return whole
+
+
 def similarity_of(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     """Jaccard similarity of two sets by their sketches: exact where the union is within ``size``, of its smallest hashes beyond."""
     union, both = np.unique(np.concatenate([a, b]), return_counts=True)
@@ -164,14 +182,14 @@ def _byte(position: int):
 def _keyed(fps: DataFrame, covering: list[tuple[int, ...]], width: int) -> DataFrame:
     """Each fingerprint under each of the index's keys: the covering set's number and its bytes."""
     keys = [sum((F.shiftleft(_byte(p), 8 * i) for i, p in enumerate(t)), F.lit(n).cast("long") * (1 << 24)) for n, t in enumerate(covering)]
-    return fps.select(*names(width), F.explode(F.array(*keys)).alias("key"))
+    return fps.select(*fps.columns, F.explode(F.array(*keys)).alias("key"))
 
 
 def _rekeyed(lists: DataFrame, covering: list[tuple[int, ...]], width: int) -> DataFrame:
     """Entries of long lists under each further position and its byte; a pair that passes the count filter shares one."""
     own = F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in covering]), (F.shiftright("key", 24) + 1).cast("int"))
     further = [F.when(~F.array_contains(own, p), -1 - (F.col("key") * (2048 * width) + p * 256 + _byte(p))) for p in range(8 * width)]
-    return lists.select(*names(width), F.explode(F.array_compact(F.array(*further))).alias("key"))
+    return lists.select(*(c for c in lists.columns if c not in ("key", "n")), F.explode(F.array_compact(F.array(*further))).alias("key"))
 
 
 def _blocks(lists: DataFrame, bound: int, width: int) -> DataFrame:
@@ -179,7 +197,7 @@ def _blocks(lists: DataFrame, bound: int, width: int) -> DataFrame:
     blocks = F.ceil(F.col("n") / bound).cast("int")
     own = F.pmod(F.xxhash64(*names(width)), F.col("blocks")).cast("int")
     dealt = lists.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct(*names(width)).alias("fp"))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.struct(*(c for c in lists.columns if c not in ("key", "n"))).alias("fp"))
 
 
 def near_by(differing: np.ndarray, radius: int, least: int) -> np.ndarray:
@@ -231,6 +249,24 @@ def nearest_links(members: np.ndarray, radius: int, least: int) -> np.ndarray:
     return np.array(links, dtype=np.int64).reshape(-1, 2)
 
 
+def links_between(members: np.ndarray, labels: np.ndarray, radius: int, least: int, most: int) -> tuple[np.ndarray, bool]:
+    """Links between distinct ``members`` (rows, in order) of different labels, of each two labels the ``most`` nearest; and whether there are more."""
+    found = []
+    for at in range(len(members) - 1):
+        rest = at + 1 + np.flatnonzero(labels[at + 1 :] != labels[at])
+        if len(rest):
+            rest = rest[near_by(members[rest] ^ members[at], radius, least)]
+            bits = np.bitwise_count((members[rest] ^ members[at]).view(np.uint64)).sum(axis=1).astype(np.int64)
+            found.append(np.column_stack([np.minimum(labels[rest], labels[at]), np.maximum(labels[rest], labels[at]), bits, np.full(len(rest), at), rest]))
+    if not found:
+        return np.zeros((0, 2), dtype=np.int64), False
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort(pairs.T[::-1])]
+    first = np.r_[True, (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]
+    place = np.arange(len(pairs)) - np.maximum.accumulate(np.where(first, np.arange(len(pairs)), 0))
+    return pairs[place < most, 3:], bool((place >= most).any())
+
+
 def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
     """Of links between ``n`` members those that join what no earlier one has joined, if there are more than members."""
     if len(pairs) <= n:
@@ -273,7 +309,51 @@ def links(fps: DataFrame, radius: int = 4, bound: int = LIST_BOUND, width: int =
     """
     if width == 1 and not 0 <= radius <= 4:
         raise ValueError("the index finds pairs that share at least four of eight bytes")
-    covering, least = (covering_triples(), max(4, 8 - radius)) if width == 1 else (covering_pairs(width), width + 1)
+    least = max(4, 8 - radius) if width == 1 else width + 1
+    ends, tree = _ends(width), nearest_links if width == 3 else spanning_links
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            offsets, values = np.asarray(lists.offsets), np.column_stack([lists.values.field(i).to_numpy() for i in range(width)])
+            pairs = links_of_lists(values, offsets.astype(np.int64), radius, least, tree)
+            yield pa.RecordBatch.from_arrays([pa.array(values[pairs[:, side], i]) for side in (0, 1) for i in range(width)], ends)
+
+    found = _lists(fps.select(*names(width)), bound, width).mapInArrow(linked, ", ".join(f"{end} long" for end in ends)).distinct()
+    return found.select(*(_node(end, width).alias(end) for end in "ab"))
+
+
+def further_links(fps: DataFrame, radius: int, most: int, bound: int = LIST_BOUND, width: int = 3) -> DataFrame:
+    """Links a < b between ``fps`` of different ``label``, of each list and two labels the ``most`` nearest; null where a list has more."""
+    ends = _ends(width)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, found, more = batch.column(0), [np.zeros((0, 2), dtype=np.int64)], False
+            offsets, values = np.asarray(lists.offsets).astype(np.int64), np.column_stack([lists.values.field(i).to_numpy() for i in range(width)])
+            labels = lists.values.field(width).to_numpy()
+            for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if (labels[start:end] != labels[start]).any():
+                    order = start + np.lexsort(values[start:end].T[::-1])
+                    pairs, cut = links_between(values[order], labels[order], radius, width + 1, most)
+                    found.append(order[pairs])
+                    more |= cut
+            pairs = np.concatenate(found)
+            columns = [pa.array(values[pairs[:, side], i]) for side in (0, 1) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c, pa.nulls(int(more), pa.int64())]) for c in columns], ends)
+
+    found = _lists(fps, bound, width).mapInArrow(linked, ", ".join(f"{end} long" for end in ends)).distinct()
+    a, b = (_node(end, width) for end in "ab")
+    return found.select(F.when(a < b, a).otherwise(b).alias("a"), F.when(a < b, b).otherwise(a).alias("b")).distinct()
+
+
+def _ends(width: int) -> list[str]:
+    return [f"{end}{i}" for end in "ab" for i in range(width)]
+
+
+def _lists(fps: DataFrame, bound: int, width: int) -> DataFrame:
+    """The index's lists of two and more of ``fps``, in blocks of bounded size, as arrays ``fps``; further columns go along."""
+    covering = covering_triples() if width == 1 else covering_pairs(width)
     entries = _keyed(fps, covering, width)
 
     def counted(entries: DataFrame) -> DataFrame:
@@ -284,18 +364,7 @@ def links(fps: DataFrame, radius: int = 4, bound: int = LIST_BOUND, width: int =
     sized = counted(entries)
     long = counted(_rekeyed(sized.where(F.col("n") > bound), covering, width))
     grouped = _blocks(sized.where(F.col("n") <= bound), bound, width).unionByName(_blocks(long, bound, width))
-    lists = grouped.groupBy("key", "i", "j").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-    ends, tree = [f"{end}{i}" for end in "ab" for i in range(width)], nearest_links if width == 3 else spanning_links
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            offsets, values = np.asarray(lists.offsets), np.column_stack([lists.values.field(i).to_numpy() for i in range(width)])
-            pairs = links_of_lists(values, offsets.astype(np.int64), radius, least, tree)
-            yield pa.RecordBatch.from_arrays([pa.array(values[pairs[:, side], i]) for side in (0, 1) for i in range(width)], ends)
-
-    found = lists.mapInArrow(linked, ", ".join(f"{end} long" for end in ends)).distinct()
-    return found.select(*(_node(end, width).alias(end) for end in "ab"))
+    return grouped.groupBy("key", "i", "j").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
 
 def _node(prefix: str, width: int):
@@ -316,7 +385,7 @@ def similar_links(found: DataFrame, rows: DataFrame, shingle: int, similarity: f
 
     ``rows`` (row, fingerprint, text) are stored and ``row`` is unique; of rows with one fingerprint the
     first is read.  Texts are sketched once where a link names them; only sketches, at most 4 KB each,
-    go to the links.
+    go to the links.  Where a text has more shingles than a sketch, whole sets go to the links of that text.
     """
     fp = names(width)
 
@@ -331,17 +400,62 @@ def similar_links(found: DataFrame, rows: DataFrame, shingle: int, similarity: f
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
-            keep = [similarity_of(left[i].values.to_numpy().view(np.uint32), right[i].values.to_numpy().view(np.uint32)) >= similarity for i in range(len(batch))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            pairs = ((left[i].values.to_numpy().view(np.uint32), right[i].values.to_numpy().view(np.uint32)) for i in range(len(batch)))
+            holds = [None if max(map(len, pair)) >= SKETCH else similarity_of(*pair) >= similarity for pair in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(holds, pa.bool_())], ["a", "b", "holds"])
+        let_go()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_slices(batch, 1):
+                part = batch.slice(a, b - a)
+                found = [shingle_set(t, shingle).view(np.int64) for t in filled(part.column(1)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
         let_go()
 
+    def texts_of(links: DataFrame) -> DataFrame:
+        named = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        first = rows.groupBy(*fp).agg(F.min("row").alias("row")).select("row", _node("fp", width).alias("node")).join(named, "node", "left_semi")
+        return rows.select("row", "text").join(first, "row").select("node", "text")
+
     found = materialise(found)
-    named = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = rows.groupBy(*fp).agg(F.min("row").alias("row")).select("row", _node("fp", width).alias("node")).join(named, "node", "left_semi")
-    texts = rows.select("row", "text").join(first, "row").select("node", "text")
-    sketches = materialise(texts.mapInArrow(sketched, "node string, sketch array<int>"))
+    sketches = materialise(texts_of(found).mapInArrow(sketched, "node string, sketch array<int>"))
     pairs = found.join(sketches.toDF("a", "left"), "a").join(sketches.toDF("b", "right"), "b")
-    return pairs.select("a", "b", "left", "right").mapInArrow(verified, "a string, b string")
+    told = materialise(pairs.select("a", "b", "left", "right").mapInArrow(verified, "a string, b string, holds boolean"))
+    long = told.where("holds is null").select("a", "b")
+    sets = materialise(texts_of(long).mapInArrow(whole, "node string, shingles array<bigint>"))
+    met = long.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    both = F.size(F.array_intersect("left", "right"))
+    return told.where("holds").select("a", "b").unionByName(met.where(both / (F.size("left") + F.size("right") - both) >= similarity).select("a", "b"))
+
+
+def verified_components(nodes: DataFrame, found: DataFrame, radius: int, width: int, verify) -> DataFrame:
+    """(node, root) of all links within the filters that ``verify`` lets hold; ``nodes`` has node and fingerprint, ``found`` trees of links.
+
+    A tree's link that fails may stand for others that hold.  Only what such a link joined is searched anew, for links
+    between what no link that holds has joined: the nearest ones of each list and two parts first, then ever more, as
+    long as a list has more.
+    """
+    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = materialise(ordered)
+    holding = materialise(verify(tried))
+    joined = connected_components(tried)
+    failed = tried.join(holding, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node"))
+    roots = materialise(joined.join(failed, "node", "left_semi").select("root").distinct())
+    if roots.isEmpty():
+        return joined
+    open_ = materialise(joined.join(roots, "root", "left_semi").select("node"))
+    tried, holding = (materialise(links.join(open_.toDF("a"), "a", "left_semi")) for links in (tried, holding))
+    members, most = materialise(nodes.join(open_, "node")), BETWEEN
+    while True:
+        parts = members.join(connected_components(holding), "node", "left")
+        between = materialise(further_links(parts.select(*names(width), F.xxhash64(F.coalesce("root", "node")).alias("label")), radius, most, width=width))
+        new = materialise(between.where("a is not null").join(tried, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            tried, holding = renewed(tried, tried.unionByName(new)), renewed(holding, holding.unionByName(verify(new)))
+        if between.where("a is null").isEmpty():
+            return joined.join(roots, "root", "left_anti").unionByName(connected_components(holding))
+        most *= BETWEEN
 
 
 def _labelled(hashed: DataFrame, radius: int, width: int, verify=None) -> DataFrame:
@@ -352,9 +466,9 @@ def _labelled(hashed: DataFrame, radius: int, width: int, verify=None) -> DataFr
     groups = materialise(hashed.groupBy(*fp, "salt").agg(F.min("doc_id").alias("first")))
     fps = materialise(groups.groupBy(*fp).agg(F.min("first").alias("first")))
     found = links(fps.select(*fp), radius, width=width)
-    components = connected_components(verify(found) if verify else found)
     # Only fingerprints with a link can take another document's id.
     nodes = fps.withColumn("node", _node("fp", width))
+    components = verified_components(nodes.drop("first"), found, radius, width, verify) if verify else connected_components(found)
     members = components.join(nodes, "node")
     roots = members.groupBy("root").agg(F.min("first").alias("component_id"))
     named = members.join(roots, "root").select(*fp, "root", "component_id")

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cellframe.llm import hamming, simhash, topk
 from cellframe.llm.components import connected_components
@@ -317,3 +318,53 @@ def test_entries_of_the_index_are_not_broadcast(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("first", [2, 16])
+def test_links_that_a_failed_one_stood_for_are_found(spark, monkeypatch, first):
+    """A list passes a tree of its nearest links; where some fail, farther ones must hold the same documents together."""
+    monkeypatch.setattr(simhash, "BETWEEN", first)
+    rng = np.random.default_rng(21)
+    values = []
+    for c in rng.integers(0, 256, (5, 24), dtype=np.uint8):
+        for _ in range(9):
+            own = np.unpackbits(c)
+            own[rng.choice(24, rng.integers(3, 8), replace=False)] ^= 1
+            values.append(np.packbits(own).view(np.int64).tolist())
+    names = ["".join(f"{v & (1 << 64) - 1:016X}" for v in own) for own in values]
+    near = lambda i, j: (xor := np.array(values[i]) ^ np.array(values[j])) is not None and (xor.view(np.uint8) == 0).sum() >= 4 and np.bitwise_count(xor.view(np.uint64)).sum() <= 40
+    holds = {(i, j) for i in range(len(values)) for j in range(i) if rng.random() < 0.15}
+    allowed = spark.createDataFrame([(min(names[i], names[j]), max(names[i], names[j])) for i, j in holds], "a string, b string")
+    label = list(range(len(values)))
+    for i, j in holds:
+        if near(i, j):
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    hashed = spark.createDataFrame([(k, *v, 0) for k, v in enumerate(values)], "doc_id long, fp0 long, fp1 long, fp2 long, salt int")
+    verify = lambda found: found.select(*(f(*"ab").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b")))).join(allowed, ["a", "b"], "left_semi")
+    found = {r.doc_id: r.component_id for r in simhash._labelled(hashed, 40, 3, verify).collect()}
+    assert [found[k] for k in range(len(values))] == label and 5 < len(set(label)) < 30
+
+
+def test_long_texts_are_compared_by_whole_sets(spark):
+    """Pairs near the limit of which the smallest 1024 hashes say the wrong."""
+    rng = random.Random(17)
+    words, rows, lost = [f"w{k}" for k in range(5000)], [], set()
+    wanted = {True: 3, False: 3}
+    while any(wanted.values()):
+        text = rng.choices(words, k=2500)
+        other = list(text)
+        for at in rng.sample(range(2500), 58):
+            other[at] = "x"
+        one, two = " ".join(text), " ".join(other)
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (text, other))
+        similar = len(a & b) / len(a | b) >= 0.8
+        apart = np.array(simhash.fingerprint(one, 5, 3), dtype=np.uint64) ^ np.array(simhash.fingerprint(two, 5, 3), dtype=np.uint64)
+        passes = np.bitwise_count(apart).sum() <= simhash.SIMILAR and (apart.view(np.uint8) == 0).sum() >= 4
+        told = simhash.similarity_of(simhash.sketch(one), simhash.sketch(two)) >= 0.8
+        if passes and told != similar and wanted[similar]:
+            wanted[similar] -= 1
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+            lost |= {len(rows) - 1} if similar else set()
+    kept = {r.doc_id for r in simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(len(rows))) - kept == lost and len(lost) == 3
