@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm.common import filled, let_go, materialise, renewed, text_slices
+from cellframe.llm.common import filled, let_go, materialise, text_slices
 from cellframe.llm.components import connected_components
 
 #: Fixed value: the seed of the shingles' hash.
@@ -432,29 +432,37 @@ def similar_links(found: DataFrame, rows: DataFrame, shingle: int, similarity: f
 def verified_components(nodes: DataFrame, found: DataFrame, radius: int, width: int, verify) -> DataFrame:
     """(node, root) of all links within the filters that ``verify`` lets hold; ``nodes`` has node and fingerprint, ``found`` trees of links.
 
-    A tree's link that fails may stand for others that hold.  Only what such a link joined is searched anew, for links
-    between what no link that holds has joined: the nearest ones of each list and two parts first, then ever more, as
-    long as a list has more.
+    A tree's link that fails may stand for others that hold.  Only the parts that failed links leave apart are searched
+    anew, for links between two of them: the nearest ones of each list first, then ever more, as long as a list has more.
     """
-    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = materialise(ordered)
+    tried = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     holding = materialise(verify(tried))
-    joined = connected_components(tried)
-    failed = tried.join(holding, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node"))
-    roots = materialise(joined.join(failed, "node", "left_semi").select("root").distinct())
-    if roots.isEmpty():
+    joined, most = connected_components(holding), BETWEEN
+    parts = joined.toDF("node", "part")
+
+    def apart(links: DataFrame) -> DataFrame:
+        """Links as those of parts, without those within one; a node that has no link is a part."""
+        a, b = (F.coalesce(f"part_{end}", end) for end in "ab")
+        ends = (parts.toDF(end, f"part_{end}") for end in "ab")
+        return links.join(next(ends), "a", "left").join(next(ends), "b", "left").select(a.alias("a"), b.alias("b")).where("a <> b")
+
+    failed = apart(tried.join(holding, ["a", "b"], "left_anti"))
+    touched = materialise(failed.select(F.explode(F.array("a", "b")).alias("part")).distinct())
+    if touched.isEmpty():
         return joined
-    open_ = materialise(joined.join(roots, "root", "left_semi").select("node"))
-    tried, holding = (materialise(links.join(open_.toDF("a"), "a", "left_semi")) for links in (tried, holding))
-    members, most = materialise(nodes.join(open_, "node")), BETWEEN
+    members = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    members = materialise(members.join(touched, "part", "left_semi").select("node", "part", *names(width)))
     while True:
-        parts = members.join(connected_components(holding), "node", "left")
-        between = materialise(further_links(parts.select(*names(width), F.xxhash64(F.coalesce("root", "node")).alias("label")), radius, most, width=width))
-        new = materialise(between.where("a is not null").join(tried, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            tried, holding = renewed(tried, tried.unionByName(new)), renewed(holding, holding.unionByName(verify(new)))
+        between = materialise(further_links(members.select(*names(width), F.xxhash64("part").alias("label")), radius, most, width=width))
+        held = materialise(verify(between.where("a is not null").join(tried, ["a", "b"], "left_anti")))
+        if not held.isEmpty():
+            parts = members.select("node", "part")
+            roots = connected_components(apart(held))
+            joined = joined.unionByName(members.select("node", F.col("part").alias("root"))).distinct()
+            joined = joined.join(roots.toDF("root", "further"), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+            members = materialise(members.join(roots.toDF("part", "further"), "part", "left").select("node", F.coalesce("further", "part").alias("part"), *names(width)))
         if between.where("a is null").isEmpty():
-            return joined.join(roots, "root", "left_anti").unionByName(connected_components(holding))
+            return joined
         most *= BETWEEN
 
 
