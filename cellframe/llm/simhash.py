@@ -55,7 +55,7 @@ SIMILAR = 40
 #: Shingles' hashes that links carry; pairs of which a text has as many or more are compared by whole sets.
 SKETCH = 1024
 #: Links that a list gives at first between two groups of members that a failed link left apart.
-BETWEEN = 16
+BETWEEN = 64
 
 
 def word_stretches(text: bytes) -> Iterator[list[bytes]]:
